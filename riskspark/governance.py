@@ -90,7 +90,9 @@ def reconcile(rows: DataFrame, contracts: DataFrame) -> DataFrame:
 def scope_check(app: DataFrame, classes: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Universe rows and rows inside classes by cohort and by null per field; in scope if no filter came between them."""
     by = lambda df, n: df.groupBy("derived_race", "derived_ethnicity").agg(n.alias("n"), *[F.sum(F.when(F.col(f).isNull(), F.lit(1) if "k" not in df.columns else F.col("k")).otherwise(0)).alias(f"null_{f}") for f in fields])
-    a, b = by(app, F.count("*")), by(classes, F.sum("k"))
-    same = reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in a.columns[2:]])
-    j = a.join(b, a["derived_race"].eqNullSafe(b["derived_race"]) & a["derived_ethnicity"].eqNullSafe(b["derived_ethnicity"]), "full")
-    return j.select(F.coalesce(a["derived_race"], b["derived_race"]).alias("derived_race"), F.coalesce(a["derived_ethnicity"], b["derived_ethnicity"]).alias("derived_ethnicity"), a["n"].alias("universe_records"), b["n"].alias("class_records"), F.coalesce(same, F.lit(False)).alias("in_scope"))
+    a = by(app, F.count("*"))
+    b = by(classes, F.sum("k"))
+    b = b.toDF(*[f"b_{c}" for c in b.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in a.columns[2:]])
+    j = a.join(b, F.col("derived_race").eqNullSafe(F.col("b_derived_race")) & F.col("derived_ethnicity").eqNullSafe(F.col("b_derived_ethnicity")), "full")
+    return j.select(F.coalesce("derived_race", "b_derived_race").alias("derived_race"), F.coalesce("derived_ethnicity", "b_derived_ethnicity").alias("derived_ethnicity"), F.col("n").alias("universe_records"), F.col("b_n").alias("class_records"), F.coalesce(same, F.lit(False)).alias("in_scope"))
