@@ -1,0 +1,165 @@
+import zlib
+
+import brute
+import pytest
+
+import corpus_pipeline
+from riskspark.llm import decontam, langid, line_dedup, minhash, mixing, ogg, pii, queries, sharding, suffix_dedup, url_graph
+
+SF = "/root/testdata/sf0.001"
+ROWS = [
+    (1, "a " * 30 + "the quick brown fox jumps over the lazy dog again and again", "en", "s1"), (2, None, None, None), (3, "", "en", "s1"), (4, "x" * 30_000, "en", "s2"), (5, "Call +1 (555) 123-4567 or me@mail.example.com\n" * 6, "en", "s1"),
+    (6, "é" * 250, "fr", "s2"), (6, "é" * 250, "fr", "s2"), (7, "9" * 60_000, None, "s1"), (8, "1 2-" * 20_000, "en", None), (9, "a@" * 5_000 + "b.c" + ".d" * 9_000, "en", "s2"),
+]
+
+
+@pytest.fixture
+def odd(spark):
+    rows = [(*r, 1) for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_op1(spark, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert rows(queries.op1_decontamination(spark, SF), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.op1(docs, items))
+
+
+def test_op1_odd(spark, odd):
+    items = spark.createDataFrame([(1, "The quick, brown FOX"), (2, None), (3, ""), (4, "a a a a a a a a a a a a")], "item_id long, text string")
+    got = rows(decontam.contamination(odd, items), "doc_id", "n_words", "n_hit")
+    assert got == sorted(x[:3] for x in brute.op1([r[:2] for r in ROWS], [(r.item_id, r.text) for r in items.collect()]))
+    assert decontam.contamination(odd.where("false"), items).count() == 0
+    assert all(r.n_hit == 0 for r in decontam.contamination(odd, items.where("false")).collect())
+
+
+def test_proximity(spark):
+    df = spark.createDataFrame([(1, "red x x green"), (2, "red x x x x green")], "doc_id long, text string")
+    terms = spark.createDataFrame([("red", 1), ("green", 2)], "term string, tid long")
+    near = decontam.proximity_matches(decontam.build_index(df, terms), terms, spark.createDataFrame([("q", ["red", "green"])], "query string, terms array<string>"), 4)
+    assert [(r.doc_id, r.start) for r in near.collect()] == [(1, 0)]
+
+
+def test_op2(spark, odd):
+    got = queries.op2_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out")
+    assert got.where("lang = lang_pred").count() > 0.97 * got.count()
+    assert got.where("score < 0 or score > 1").count() == 0
+    found = {r.doc_id: r.lang_pred for r in langid.identify(odd, langid.train_profiles(odd)).collect()}
+    assert found[2] == found[3] == found[7] == "und" and found[6] == "fr"
+    assert {r.lang_pred for r in langid.identify(odd, langid.train_profiles(odd.where("false"))).collect()} == {"und"}
+
+
+def test_op3(spark, docs, odd):
+    assert rows(queries.op3_suffix_dedup(spark, SF), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op3(docs))
+    assert rows(suffix_dedup.remove_repeats(odd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op3([r[:2] for r in ROWS]))
+
+
+def test_op3_hot_groups_equal_sorted_shards(spark, monkeypatch):
+    base = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(260))
+    df = [(i, f"{i:04d}{'q' * (i % 5)}" + base + f"{i * 7919 % 10007}" * 30) for i in range(40)]
+    frame = spark.createDataFrame(df, "doc_id long, text string")
+    cols = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    sorted_ = rows(suffix_dedup.remove_repeats(frame), *cols)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 0)
+    assert rows(suffix_dedup.remove_repeats(frame), *cols) == sorted_ == sorted((x[0], *x[2:]) for x in brute.op3(df))
+
+
+def test_op4(spark):
+    r = queries.op4_source_mix(spark, SF)
+    assert r.where("taken > 2 * size or taken < 0").count() == 0
+    named = r.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source"), "doc_id")
+    by = named.groupBy("source", "target").agg({"taken": "sum", "size": "max"}).collect()
+    assert all(abs(x["sum(taken)"] - x["target"]) <= x["max(size)"] for x in by)
+    assert rows(r, "doc_id", "taken") == rows(queries.op4_source_mix(spark, SF), "doc_id", "taken")
+    assert mixing.route([10, 10], [[0, 1], [1]], [15, 20]) and sum(mixing.route([10, 10], [[0, 1], [1]], [15, 20]).values()) == 35
+    assert mixing.source_targets([10, 100], [5, 2], 165) == [20, 145]
+
+
+def test_op5(spark, docs, odd):
+    got = rows(queries.op5_ogg_media(spark, SF), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    assert got == sorted((d, *brute.op5(t)) for d, t in docs)
+    assert ogg.read_media(ogg.text_to_media(odd)).count() == len(ROWS)
+    for n in (0, 1, 254, 255, 256, 4096, 70_000):
+        data = bytes(i * 31 % 251 for i in range(n))
+        for lacings in (1, 3, 255):
+            media = ogg.encode(data, packet=510, page_lacings=lacings)
+            assert ogg.decode(media)["payload"] == data
+    with pytest.raises(ValueError):
+        ogg.decode(media[:100] + bytes([media[100] ^ 1]) + media[101:])
+    head = media[:26]
+    crc = 0
+    page_end = 27 + media[26] + sum(media[27 : 27 + media[26]])
+    for byte in head[:22] + b"\0\0\0\0" + media[26:page_end]:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = ((crc << 1) ^ (0x04C11DB7 if crc & 0x80000000 else 0)) & 0xFFFFFFFF
+    assert crc == int.from_bytes(head[22:26], "little")
+
+
+def test_op6(spark, docs):
+    assert rows(queries.op6_minmax_near_dedup(spark, SF), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.op6(docs))
+
+
+def test_op7(spark, docs, odd):
+    assert rows(queries.op7_line_dedup(spark, SF), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.op7(docs))
+    same = spark.createDataFrame([(i, f"own {i}\n" + "A line that is found in many documents, always the same\n" * 2) for i in range(300)], "doc_id long, text string")
+    got = line_dedup.keep_bitmaps(same)
+    assert got.where("n_dropped = 2").count() == 299 and got.where("doc_id = 299 and n_dropped = 0").count() == 1
+    assert line_dedup.keep_bitmaps(odd).where("n_lines < 1").count() == 0
+    assert line_dedup.keep_bitmaps(odd.where("false")).count() == 0
+
+
+def test_op8(spark, docs, odd):
+    got = queries.op8_byte_shards(spark, SF).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {d: (len(t.encode()) + 16, zlib.crc32(t.encode())) for d, t in docs}
+    for s in range(40):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    order = [r.shard for r in sorted(got, key=lambda r: r.doc_id)]
+    assert order == sorted(order)
+    few = sharding.assign_shards(sharding.sized(odd), shards=3, partitions=2)
+    assert few.count() == len(ROWS) and few.agg({"shard": "max"}).first()[0] <= 2
+    assert sharding.assign_shards(sharding.sized(odd.where("false"))).count() == 0
+
+
+def test_op9(spark):
+    urls = [None, "no scheme", "http://a.example.net/en/1", "http://EXAMPLE.net/de?x", "https://x.org/fr/#a", "https://b.example.com/de/", "https://b.example.com/en/", "http://good.org/en/", "://", "http://"]
+    links = ["", None, '<a href="http://b.example.com/x">', "", "<a href='//good.org/'>", "", "", "", "", ""]
+    pages = spark.createDataFrame(list(zip(range(10), urls, links, strict=True)), "page_id long, url string, html string")
+    rules = spark.createDataFrame(url_graph.RULES, "action string, host string, path string")
+    got = {r.page_id: r for r in url_graph.judge(pages, rules).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(7)] == [("", "", None), ("", "", None), ("a.example.net", "/en/1", "example.net/en/"), ("example.net", "/de", "net/"), ("x.org", "/fr/", "org/fr/"), ("b.example.com", "/de/", "example.com/de/"), ("b.example.com", "/en/", None)]
+    assert [got[i].verdict for i in (0, 2, 3, 4, 5, 7)] == ["allow", "allow", "block", "allow", "block", "allow"]
+    assert url_graph.judge(pages.where("false"), rules).count() == 0
+
+
+def test_op10(spark, docs, odd):
+    got = rows(queries.op10_boosted_pii(spark, SF), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert got == sorted((d, *brute.op10(t)) for d, t in docs)
+    found = {r.doc_id: [(s.k, s.start, s.end) for s in r.spans if s.base] for r in pii.find(odd).collect()}
+    for d, t, *_ in ROWS:
+        want = brute.op10(t)[:4]
+        assert tuple(sum(k == i for k, *_ in found.get(d, [])) for i in range(4)) == want
+    assert pii.find(odd.where("false")).count() == 0
+
+
+def test_pipeline(spark, odd):
+    out = corpus_pipeline.run(spark, SF)
+    kept = {r.doc_id for r in out.collect()}
+    near = {r.doc_id for r in minhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).where("kept").collect()}
+    dirty = {r.doc_id for r in queries.op1_decontamination(spark, SF).where("contaminated").collect()}
+    assert kept and kept <= near and not kept & dirty
+    docs = odd.withColumnRenamed("n", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        result = stage(spark, docs, SF)
+        assert result.count() >= 0 and stage(spark, docs.where("false"), SF).count() == 0
+        if name != "sharding":
+            assert result.columns == docs.columns
