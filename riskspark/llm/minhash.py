@@ -13,9 +13,8 @@ from riskspark.llm.common import materialize, text_hash
 
 PERMUTATIONS = 90
 MISS = 1e-6
-#: Buckets above this size get further rounds of star links before what is left of them is compared in full.
-LARGE_BUCKET = 16
-STAR_ROUNDS = 3
+#: In a bucket of this many classes at most, those left in different components are compared one by one.
+SMALL_BUCKET = 64
 _NODE = "struct<d:bigint,h:bigint>"
 _SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -121,17 +120,24 @@ def _to_sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler.hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "hashes"])
+            found = [shingler.hashes(t).view(np.int64) for t in b.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int64), *found])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "hashes"])
 
     return run
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for u, v in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True):
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 ok.append(100 * both >= percent * (len(u) + len(v) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
@@ -141,11 +147,28 @@ def _confirm(percent: int):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach percent of their union."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), f"a {_NODE}, b {_NODE}")
 
 
+def _edits(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True)]
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int64), *rows])
+    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in _lists(b.column(2))], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["g", "node", "n", "edits"])
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, node, n, edits): each member's symmetric difference with its group's consensus, the elements that most members hold."""
+    held = members.join(sets, "node")
+    size = members.groupBy("g").agg(F.count("*").alias("size"))
+    often = held.select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count("*").alias("c"))
+    core = often.join(size, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("e").alias("core"))  # at most twice a mean set
+    both = held.join(core, "g", "left").select("g", "node", "hashes", F.coalesce("core", F.array().cast("array<bigint>")).alias("core"))
+    return both.mapInArrow(lambda batches: (r for b in batches for r in _edits(b)), f"g long, node {_NODE}, n long, edits array<bigint>")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; root is the smallest node reachable. Each round takes the neighbours' smallest
     label and then the label of that label, until nothing changes; rounds grow with the logarithm of the longest chain."""
@@ -169,10 +192,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     """(doc_id, th, n_shingles, component_id, kept) for every row of docs; th = xxhash64(text) tells rows of one doc_id apart.
 
     Documents with equal shingle sets form a class, whose first document stands for it. Band hashes of min-max signatures
-    put classes into buckets. In each bucket every class is compared with one centre (never all pairs); a link is confirmed on
-    the full sets. Buckets that still hold several components get more rounds with other centres, and the classes that remain
-    apart from their bucket's other components are compared with these in full, so no link inside a bucket is lost and
-    pairs already joined are never compared. A pair at the threshold shares no bucket with a chance under 1e-6.
+    put classes into buckets, and each class is compared with its bucket's first, on the full sets. In buckets of a few
+    classes, what is still apart is compared directly. Larger groups that still hold several components go on: every member's difference with the group's consensus is taken. With r = (100 - percent) / (100 + percent),
+    two sets are linked if they differ in r times their summed sizes at most. If their differences with the consensus share
+    nothing, both are then linked with the member of least (difference - r * size), so one star finds them. Any other link
+    shares a number of differing elements known from below, so it is found among sets that share one of the first few. These
+    make the groups of the next round; less than half of a group differs from its consensus in any element, so rounds grow with
+    the logarithm of the group and work with the number of differences, never with the number of pairs. No link inside a bucket is lost.
+    A pair at the threshold shares no bucket with a chance under 1e-6.
     component_id is the smallest doc_id of the component, kept tells whether the row's doc_id is that one.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing, as are rows with a null doc_id
@@ -186,44 +213,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
 
     cells = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = cells.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
-    members = materialize(cells.join(shared, "bucket"), "buckets")
+    members = materialize(cells.join(shared, "bucket").select("bucket", "node", "centre", "size"), "buckets")
     wanted = members.select("node").distinct()
     texts = docs.where(F.col("doc_id").isNotNull()).select(_node(F.col("doc_id").cast("long"), text_hash(F.col(text))).alias("node"), F.col(text).alias("t"))
     texts = texts.join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    sets = materialize(texts.mapInArrow(_to_sets(words), f"node {_NODE}, hashes binary").dropDuplicates(["node"]), "sets")
-
-    size_fits = F.expr(f"100L * least(n, cn) >= {percent}L * greatest(n, cn)")
-    sized = classes.select(F.col("node").alias("centre"), F.col("n").alias("cn"))
+    sets = materialize(texts.mapInArrow(_to_sets(words), f"node {_NODE}, hashes array<bigint>").dropDuplicates(["node"]), "sets")
 
-    def star(of: DataFrame) -> DataFrame:
-        """Pairs of each bucket's centre with its other members; sets whose sizes differ too much can't be linked."""
-        pairs = of.where("node <> centre").select("centre", "node", "n").distinct().join(sized, "centre").where(size_fits)
-        return pairs.select(F.col("centre").alias("a"), F.col("node").alias("b"))
-
-    links = materialize(confirmed(star(members), sets, percent), "links")
+    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialize(confirmed(stars, sets, percent), "links")
     roots = components(links)
-    open_ = members.where("size > 2")
-    for k in range(STAR_ROUNDS + 1):
-        labelled = open_.select("bucket", "size", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("main"), F.min_by("node", F.xxhash64(F.lit(k), "bucket", "node")).alias("centre"), F.min_by("root", F.xxhash64(F.lit(k), "bucket", "node")).alias("croot"))
-        labelled = materialize(labelled.join(apart.where("lo <> hi").drop("lo", "hi"), "bucket"), "open-buckets")
-        if labelled.isEmpty():
+    labelled = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    open_ = materialize(labelled.join(mixed, "bucket"), "open-buckets")
+    cells = open_.select(F.when(F.col("size") > SMALL_BUCKET, F.xxhash64("centre")).otherwise(F.xxhash64("bucket", "centre")).alias("g"), "node").distinct()
+    while True:
+        labelled = cells.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+        apart = labelled.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
+        apart = apart.where("lo <> hi").groupBy("size", "who", "lo", "hi").agg(F.min("g").alias("g")).select("g", "size")  # groups of the same members count once
+        groups = materialize(labelled.join(apart, "g"), "groups")
+        if groups.isEmpty():
             break
-        open_ = labelled.select("bucket", "size", "node", "n")
-        if k < STAR_ROUNDS:
-            large = labelled.where(F.col("size") > LARGE_BUCKET).where("root <> croot")
-            if large.isEmpty():
-                continue
-            found = confirmed(star(large), sets, percent)
-        else:  # what isn't in a bucket's main component, against the other components
-            left = labelled.where("root <> main").select("bucket", "node", F.col("n").alias("cn"), F.col("root").alias("ra")).withColumnRenamed("node", "a")
-            right = labelled.select("bucket", F.col("node").alias("b"), "n", F.col("root").alias("rb"))
-            pairs = left.join(right, "bucket").where("ra <> rb").where(size_fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            found = confirmed(pairs, sets, percent)
-        found = materialize(found, "links")
-        if not found.isEmpty():
-            links = links.union(found)
+        few = groups.where(F.col("size") <= SMALL_BUCKET)
+        pairs = few.select("g", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("g", F.col("node").alias("b"), F.col("root").alias("rb")), "g")
+        pairs = pairs.where("a < b and ra <> rb").select("a", "b")
+        slack = (100 + percent) * F.size("edits") - (100 - percent) * F.col("n")
+        edits = differences(groups.where(F.col("size") > SMALL_BUCKET).select("g", "node"), sets)
+        edits = materialize(edits.withColumn("slack", slack.cast("long")), "edits")
+        best = edits.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("m")).select("g", F.col("m.slack").alias("least"), F.col("m.node").alias("centre"))
+        edits = edits.join(best, "g")
+        beyond = F.col("slack") + F.col("least") > 0  # not linked with the centre for certain
+        outer = edits.where(beyond).groupBy("g").agg(F.min("slack").alias("outer"))
+        edits = edits.where("node <> centre")
+        pairs = pairs.union(edits.select(F.col("centre").alias("a"), F.col("node").alias("b")))
+        new = materialize(confirmed(pairs.distinct(), sets, percent), "links")
+        if not new.isEmpty():
+            links = links.union(new)
             roots = components(links)
+        least = F.col("slack") + F.when(beyond, F.col("least")).otherwise(F.col("outer"))
+        k = F.greatest(F.lit(1), F.ceil(least / (2 * (100 + percent)))).cast("int")
+        prefix = F.slice("edits", F.lit(1), F.greatest(F.size("edits") - k + 1, F.lit(0)))
+        cells = edits.join(outer, "g").select("g", "node", F.explode(prefix).alias("e")).select(F.xxhash64("g", "e").alias("g"), "node")
 
     of_class = classes.join(roots, "node", "left").select("n", "f1", "f2", F.coalesce("root", "node")["d"].alias("component"))
     out = signed.drop("bands").join(of_class, ["n", "f1", "f2"], "left")
