@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskspark.llm import decontam, langid, line_dedup, minhash, mixing, ogg, pii, sharding, suffix_dedup, url_graph
 from riskspark.llm.common import table, text_hash
+from riskspark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +95,3 @@ QUERIES = {
     "op9_host_trust": op9_host_trust,
     "op10_boosted_pii": op10_boosted_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
