@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     nothing, both are then linked with the member of least (difference - r * size), so one star finds them. Any other link
     shares a number of differing elements known from below, so it is found among sets that share one of the first few. These
     make the groups of the next round; less than half of a group differs from its consensus in any element, so rounds grow with
-    the logarithm of the group and work with the number of differences, never with the number of pairs. No link inside a bucket is lost.
+    the logarithm of the group. Within a round work goes with the number of differences; all members of a group take part, so where
+    groups grow with the input, work grows faster than it. No link inside a bucket is lost.
     A pair at the threshold shares no bucket with a chance under 1e-6.
     component_id is the smallest doc_id of the component, kept tells whether the row's doc_id is that one.
 
