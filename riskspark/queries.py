@@ -510,8 +510,9 @@ def group_size_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adjusted_disparity(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.modeling_cohort(load(spark, d), [_STATE]).drop("configuration")
-    return stats.adjusted_disparity(rows)
+    app = load(spark, d)
+    parts = [stats.adjusted_disparity(P.modeling_cohort(app, [p]).drop("configuration")).withColumn("configuration", F.lit(p.name)) for p in PROTECTIONS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @query()

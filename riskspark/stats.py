@@ -196,8 +196,8 @@ MAX_COLUMNS = 2000
 def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float = 1e-8) -> DataFrame:
     """Logistic model of denial on race and covariates by iteratively reweighted least squares; one row.
 
-    Records collapse to covariate cells with counts first. Each pass sums the weighted cross products of cells inside tasks; only
-    matrices of at most MAX_COLUMNS columns reach the driver, wider designs get a status instead.
+    Records collapse to covariate cells with counts first. Each pass sums the weighted cross products of cells inside tasks and then
+    row by row on Spark; one matrix of at most MAX_COLUMNS columns reaches the driver, wider designs get a status instead.
     """
     spark = rows.sparkSession
     cells = rows.groupBy("is_black", *CONTINUOUS, *CATEGORICAL).agg(F.count("*").alias("n"), F.sum("is_denied").alias("d"))
@@ -247,12 +247,14 @@ def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float
                 m += float((n * p * (1 - p)).sum())
             yield pd.DataFrame({"i": np.arange(at), "h": list(h), "g": g, "m": m})
 
-        got = cells.mapInPandas(run, "i int, h array<double>, g double, m double").collect()
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"i": [key[0]], "h": [np.sum(np.stack(pdf["h"].to_list()), axis=0)], "g": [pdf["g"].sum()], "m": [pdf["m"].sum()]})
+
+        shape = "i int, h array<double>, g double, m double"
         h, g, m = np.zeros((at, at)), np.zeros(at), 0.0
-        for r in got:
-            h[r["i"]] += r["h"]
-            g[r["i"]] += r["g"]
-            m += r["m"] if r["i"] == 0 else 0
+        for r in cells.mapInPandas(run, shape).groupBy("i").applyInPandas(add, shape).collect():  # a row for each column
+            h[r["i"]], g[r["i"]] = r["h"], r["g"]
+            m = r["m"] if r["i"] == 0 else m
         return h, g, m
 
     beta, ridge = np.zeros(at), np.eye(at) * 1e-8

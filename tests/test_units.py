@@ -126,3 +126,11 @@ def test_adjusted_model(spark):
     r = stats.adjusted_disparity(df).first()
     assert r.converged and r.odds_ratio_ci_low < np.exp(0.65) < r.odds_ratio_ci_high
     assert stats.adjusted_disparity(df.where("is_black = 0")).first().status == "insufficient_retained_comparison"
+
+
+def test_adjusted_disparity_has_every_configuration(spark):
+    from riskspark import queries
+    from riskspark.config import PROTECTIONS
+
+    got = queries.QUERIES["adjusted_disparity"](spark, "/root/testdata/sf0.001")
+    assert sorted(r.configuration for r in got.collect()) == sorted(p.name for p in PROTECTIONS)
