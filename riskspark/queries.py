@@ -469,26 +469,23 @@ def release_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def population_uniqueness_subsample(spark: SparkSession, d: str) -> DataFrame:
-    return stats.subsample_uniqueness(load(spark, d), DEMO_GEO, 0.5)
+    return stats.subsample_uniqueness(load(spark, d), INSTITUTION, 0.5)
 
 
 @query()
 def gamma_poisson_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    return stats.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), DEMO_GEO)))
-
-
-_SYN = ("applicant_age", "applicant_sex", "derived_race", "derived_ethnicity", "lei")
+    return stats.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
 
 
 @query()
 def synthetic_auxiliary(spark: SparkSession, d: str) -> DataFrame:
-    return stats.synthetic_auxiliary(load(spark, d), _SYN, 10_000)
+    return stats.synthetic_auxiliary(load(spark, d), INSTITUTION, 10_000)
 
 
 @query()
 def synthetic_linkage(spark: SparkSession, d: str) -> DataFrame:
     app = load(spark, d)
-    return stats.linkage_summary(stats.synthetic_auxiliary(app, _SYN, 10_000), C.equivalence_classes(app, _SYN), _SYN)
+    return stats.linkage_summary(stats.synthetic_auxiliary(app, INSTITUTION, 10_000), C.equivalence_classes(app, INSTITUTION), INSTITUTION)
 
 
 @query()

@@ -134,3 +134,13 @@ def test_adjusted_disparity_has_every_configuration(spark):
 
     got = queries.QUERIES["adjusted_disparity"](spark, "/root/testdata/sf0.001")
     assert sorted(r.configuration for r in got.collect()) == sorted(p.name for p in PROTECTIONS)
+
+
+def test_release_risk_takes_all_quasi_identifiers(spark):
+    from riskspark import queries
+    from riskspark.config import INSTITUTION
+
+    sf = "/root/testdata/sf0.001"
+    assert set(INSTITUTION) <= set(queries.QUERIES["synthetic_auxiliary"](spark, sf).columns)
+    classes = C.equivalence_classes(queries.load(spark, sf), INSTITUTION).count()
+    assert {r.observed_equivalence_classes for r in queries.QUERIES["gamma_poisson_uniqueness"](spark, sf).collect()} == {classes}
