@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.classes import equivalence_classes, score_k, share
-from riskspark.config import BLACK, NON_HISPANIC, WHITE
-from riskspark.measures import MISSING, score_demographic
+from riskspark.config import BLACK, DEMO_GEO, NON_HISPANIC, WHITE
+from riskspark.measures import MISSING
 
 SEED = 20260823
 
@@ -131,31 +131,46 @@ def linkage_summary(synthetic: DataFrame, classes: DataFrame, fields: Sequence[s
     return j.agg(F.count("*").alias("synthetic_records"), share(F.count("k"), F.count("*")).alias("exact_match_rate"), share(F.count_if(F.col("k") == 1), F.count("*")).alias("unique_match_rate"), F.round(F.coalesce(F.sum(F.lit(1.0) / F.col("k")), F.lit(0.0)), 9).alias("expected_correct_matches"))
 
 
+BLOCK = 100
+
+
+def permutation_counts(df: DataFrame) -> DataFrame:
+    """(census_tract, cell, pair, who, n): records of each tract by age-sex cell and race-ethnicity pair; nulls are one literal value."""
+    keys = df.groupBy(*DEMO_GEO).agg(F.count("*").alias("n")).select(*[F.coalesce(c, F.lit(MISSING)).alias(c) for c in DEMO_GEO], "n")
+    who = F.when(F.col("derived_ethnicity") != NON_HISPANIC, 0).when(F.col("derived_race") == BLACK, 1).when(F.col("derived_race") == WHITE, 2).otherwise(0)
+    coded = keys.select("census_tract", F.xxhash64("applicant_age", "applicant_sex").alias("cell"), F.xxhash64("derived_race", "derived_ethnicity").alias("pair"), who.alias("who"), "n")
+    return coded.groupBy("census_tract", "cell", "pair", "who").agg(F.sum("n").alias("n"))
+
+
 def permutation_null(df: DataFrame, iterations: int = 1000, seed: int = SEED) -> DataFrame:
     """Ratio of uniqueness rates when (race, ethnicity) labels are shuffled inside each tract; one row.
 
-    Tracts are shuffled with a seed of their own; only coded cells and labels travel. A tract's labels must meet in one task; tracts
-    are bounded by geography (the block of missing tracts is one of them).
+    A shuffled tract is a table of cells by pairs with the observed margins, so it is drawn as one (multivariate hypergeometric) from the
+    tract's counts. A task gets a tract's counts, whatever its records, for a block of iterations with a seed of its own.
     """
-    base = score_demographic(df).select("census_tract", F.xxhash64("applicant_age", "applicant_sex").alias("cell"), F.xxhash64("derived_race", "derived_ethnicity").alias("pair"), F.when(F.col("derived_ethnicity") != NON_HISPANIC, 0).when(F.col("derived_race") == BLACK, 1).when(F.col("derived_race") == WHITE, 2).otherwise(0).alias("who"), "is_unique")
+    base = permutation_counts(df)
 
     def tract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cell", "pair"])
-        cell, pair = np.unique(pdf["cell"], return_inverse=True)[1], np.unique(pdf["pair"], return_inverse=True)[1]
-        who, width = pdf["who"].to_numpy(), int(pair.max()) + 1
-        rng = np.random.default_rng(_key_seed(seed, key[0]))
-        out = np.zeros((iterations, 2), np.int64)
-        for i in range(iterations):
-            order = rng.permutation(len(pair))
-            code = cell * width + pair[order]
-            single = np.bincount(code)[code] == 1
-            w = who[order]
-            out[i] = (single & (w == 1)).sum(), (single & (w == 2)).sum()
-        return pd.DataFrame({"iteration": np.arange(iterations), "ub": out[:, 0], "uw": out[:, 1]})
-
-    sums = base.groupBy("census_tract").applyInPandas(tract, "iteration int, ub long, uw long").groupBy("iteration").agg(F.sum("ub").alias("ub"), F.sum("uw").alias("uw"))
-    n = lambda w: F.count_if(F.col("who") == w)
-    u = lambda w: F.count_if((F.col("who") == w) & F.col("is_unique"))
+        cells = pdf.groupby("cell")["n"].sum().sort_index().to_numpy()
+        pairs = pdf.groupby("pair").agg(n=("n", "sum"), who=("who", "first")).sort_index()
+        size = min(BLOCK, iterations - key[1] * BLOCK)
+        rng = np.random.default_rng(_key_seed(seed, *key))
+        left = np.tile(pairs["n"].to_numpy(), (size, 1))
+        out = np.zeros((size, 3), np.int64)
+        for c in cells:
+            need, rest = np.full(size, c), left.sum(axis=1)
+            for j, w in enumerate(pairs["who"]):
+                rest = rest - left[:, j]
+                got = rng.hypergeometric(left[:, j], rest, need)
+                left[:, j] -= got
+                need = need - got
+                out[:, w] += got == 1
+        return pd.DataFrame({"iteration": key[1] * BLOCK + np.arange(size), "ub": out[:, 1], "uw": out[:, 2]})
+
+    blocks = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK))))
+    sums = blocks.groupBy("census_tract", "block").applyInPandas(tract, "iteration int, ub long, uw long").groupBy("iteration").agg(F.sum("ub").alias("ub"), F.sum("uw").alias("uw"))
+    n = lambda w: F.coalesce(F.sum(F.when(F.col("who") == w, F.col("n"))), F.lit(0).cast("long"))
+    u = lambda w: F.count_if((F.col("who") == w) & (F.col("n") == 1))
     seen = base.agg(n(1).alias("nb"), n(2).alias("nw"), u(1).alias("ob"), u(2).alias("ow"))
     ratio = lambda b, w: (F.col(b) / F.nullif(F.col("nb"), F.lit(0))) / F.nullif(F.col(w) / F.nullif(F.col("nw"), F.lit(0)), F.lit(0.0))
     per = sums.crossJoin(seen).select(ratio("ub", "uw").alias("r"), ratio("ob", "ow").alias("o")).where("r is not null")  # seen: one row

@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import UTC, datetime
 
 import numpy as np
@@ -136,6 +137,28 @@ def test_adjusted_disparity_has_every_configuration(spark):
     assert sorted(r.configuration for r in got.collect()) == sorted(p.name for p in PROTECTIONS)
 
 
+def test_permutation_null_draws_tables_from_counts(spark):
+    black, white, hispanic = ("Black or African American", "Not Hispanic or Latino"), ("White", "Not Hispanic or Latino"), ("White", "Hispanic or Latino")
+    rows = [("t", str(i % 7), "1", *[black, white, white, hispanic][i * i % 11 % 4]) for i in range(45)]
+    df = spark.createDataFrame(rows, "census_tract string, applicant_age string, applicant_sex string, derived_race string, derived_ethnicity string")
+    got = stats.permutation_null(df, 1000).first()
+    rng = np.random.default_rng(5)
+    labels, ratios = [r[3:] for r in rows], []
+    size = [sum(x == y for x in labels) for y in (black, white)]
+    for _ in range(4000):
+        mixed = [(rows[i][1], labels[j]) for i, j in enumerate(rng.permutation(len(rows)))]
+        count = Counter(mixed)
+        u = [sum(v == 1 for (_, x), v in count.items() if x == y) for y in (black, white)]
+        if u[1]:
+            ratios.append(u[0] / size[0] / (u[1] / size[1]))
+    assert abs(got.null_mean - np.mean(ratios)) < 5 * np.std(ratios) / np.sqrt(800)
+    assert abs(got.null_sd / np.std(ratios) - 1) < 0.25
+    copies = df.crossJoin(spark.range(20_000).select())  # 900,000 records of one tract
+    counts = stats.permutation_counts(copies)
+    assert counts.count() <= 7 * 3 and counts.agg(F.sum("n")).first()[0] == 900_000
+    assert stats.permutation_null(copies, 100).first().iterations == 0  # no record is unique
+
+
 def test_release_risk_takes_all_quasi_identifiers(spark):
     from riskspark import queries
     from riskspark.config import INSTITUTION
