@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What a task gets of a frame sent to all of them at most.
+MAX_BROADCAST_BYTES = 1 << 25
 _OWN_DIR: list[str] = []
 
 
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir; where that is unset, a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-"))
     return _OWN_DIR[0]
@@ -34,9 +38,19 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a frame for broadcast if it counts max_rows rows at most; beyond that Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a materialized frame that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
+def broadcast_within(df: DataFrame, row_bytes: Column | int = 64, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark a frame for broadcast if its rows, of row_bytes each (a number or a column), stay within max_bytes; beyond that Spark
+    shuffles both sides and hashes this one."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df.hint("shuffle_hash")
 
 
 def ascii_lower(text: Column) -> Column:

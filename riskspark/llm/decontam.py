@@ -11,7 +11,6 @@ from riskspark.llm.common import ascii_lower, broadcast_within, materialize, tex
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Term lists intersected for a phrase, from the rarest on, before its other words are compared.
 LISTS = 2
-MAX_BROADCAST_ROWS = 1_000_000
 _DOC = ["doc_id", "th"]
 
 
@@ -38,7 +37,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> D
     words = F.concat(words_of(F.col(text)), F.array(F.lit("")))
     tokens = docs.select("doc_id", text_hash(F.col(text)).alias("th"), F.posexplode(words).alias("pos", "term"))
     ends = docs.sparkSession.createDataFrame([("", -1)], vocabulary.select("term", F.col("tid").cast("long").alias("tid")).schema)
-    terms = broadcast_within(vocabulary.select("term", F.col("tid").cast("long").alias("tid")).union(ends), MAX_BROADCAST_ROWS)
+    terms = broadcast_within(vocabulary.select("term", F.col("tid").cast("long").alias("tid")).union(ends))
     postings = tokens.join(terms, "term").select("tid", "doc_id", "th", "pos")
     return materialize(postings.sortWithinPartitions("tid"), "postings")
 
@@ -62,14 +61,14 @@ def phrase_matches(docs: DataFrame, index: DataFrame, terms: DataFrame, phrases:
     }).where("least > 0")
     ranked = ranked.where(F.col("nth") <= lists).select("tid", "phrase", "offset", F.col("nth").alias("nth"), F.least("len", F.lit(lists)).alias("need"), "len")
     ranked = materialize(ranked, "rarest")
-    moved = index.join(broadcast_within(ranked, MAX_BROADCAST_ROWS), "tid").where("pos >= offset")
+    moved = index.join(broadcast_within(ranked, 120 + F.octet_length("phrase")), "tid").where("pos >= offset")
     moved = moved.select(*_DOC, "phrase", (F.col("pos") - F.col("offset")).alias("start"), "len", F.expr("shiftleft(1, nth - 1)").alias("bit"), "need")
     starts = moved.groupBy(*_DOC, "phrase", "start", "len").agg(F.bit_or("bit").alias("bits"), F.max("need").alias("need")).where("bits = shiftleft(1, need) - 1")
     found = starts.groupBy(*_DOC).agg(F.collect_list(F.struct("start", (F.col("start") + F.col("len")).alias("end"), "phrase")).alias("found"))  # bounded by the document's length
     found = materialize(found.withColumnsRenamed({"doc_id": "fd", "th": "ft"}), "candidates")
-    side = broadcast_within(found, 50_000).hint("shuffle_hash")
+    side = broadcast_within(found, 64 + F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + 48 + F.octet_length(x["phrase"])))
     texts = docs.select("doc_id", text_hash(F.col(text)).alias("th"), F.col(text).alias("t"))
-    near = texts.join(side, _same_doc(texts, found, ("fd", "ft")))
+    near = texts.join(side, _same_doc(texts, side, ("fd", "ft")))
     near = near.select(*_DOC, words_of(F.col("t")).alias("w"), "found")
     exact = F.filter("found", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["end"] - x["start"]), " ") == x["phrase"])
     return near.select(*_DOC, F.sort_array(exact).alias("matches")).where("size(matches) > 0").dropDuplicates(_DOC)
@@ -81,7 +80,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, queries: DataFrame, sp
     queries: (query, terms array<string>). A query with a term that isn't in the vocabulary has no match.
     """
     asked = queries.select("query", F.size(F.array_distinct("terms")).alias("need"), F.explode(F.array_distinct("terms")).alias("term")).join(terms, "term")
-    lists = index.join(broadcast_within(asked, MAX_BROADCAST_ROWS), "tid").distinct()
+    lists = index.join(broadcast_within(asked), "tid").distinct()
     within = Window.partitionBy("query", *_DOC).orderBy("pos").rangeBetween(0, span - 1)
     return lists.withColumn("got", F.size(F.collect_set("tid").over(within))).where("got = need").select("query", *_DOC, F.col("pos").alias("start"))
 
@@ -90,7 +89,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", length:
     """One row for each row of docs: doc_id, th, n_words, n_hit, items (sorted item ids, as strings).
 
     A document word is hit if it lies inside an occurrence of one of the items' windows. Null and empty texts have no words.
-    Rows alike in doc_id and text get the same result; th = xxhash64(text) tells other rows of one doc_id apart. Without
+    Rows alike in doc_id and text get the same result; th = xxhash64(text) tells other rows of one doc_id apart. A null doc_id is
+    an id like others. Texts of any length are taken whole; other columns play no part, whatever their names. Without
     items nothing is hit; without documents the result is empty.
     """
     phrases, of_item = phrase_windows(items, length)
@@ -105,7 +105,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", length:
     )["n"]
     hits = matches.select(F.col("doc_id").alias("hd"), F.col("th").alias("ht"), covered.alias("n_hit"))
     of_doc = matches.select("doc_id", "th", F.explode(F.array_distinct(F.transform("matches", lambda x: x["phrase"]))).alias("phrase"))
-    found = of_doc.join(broadcast_within(of_item, MAX_BROADCAST_ROWS), "phrase").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    found = of_doc.join(broadcast_within(of_item, 120 + F.octet_length("phrase")), "phrase").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = found.withColumnsRenamed({"doc_id": "id", "th": "it"})
     hits = hits.join(found, F.col("hd").eqNullSafe(F.col("id")) & F.col("ht").eqNullSafe(F.col("it"))).select("hd", "ht", "n_hit", "items")
     lengths = index.where("tid = -1").select(*_DOC, F.col("pos").cast("long").alias("n_words"))

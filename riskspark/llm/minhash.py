@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import materialize, text_hash
+from riskspark.llm.common import discard, materialize, text_hash
 
 PERMUTATIONS = 90
 MISS = 1e-6
-#: In a bucket of this many classes at most, those left in different components are compared one by one.
-SMALL_BUCKET = 64
+#: Bytes of shingle hashes that one task compares at a time; larger groups are dealt in blocks of about this size.
+BLOCK_BYTES = 1 << 22
+#: Bytes of shingle hashes in a batch that leaves a task.
+BATCH_BYTES = 1 << 23
 _NODE = "struct<d:bigint,h:bigint>"
 _SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -77,8 +79,8 @@ class Shingler:
         return np.unique(_mix(h))
 
 
-def _signer(words: int, bands: int, rows: int):
-    shingler = Shingler(words)
+def band_signer(bands: int, rows: int):
+    """A function from a set of hashes to its band hashes."""
     rng = np.random.default_rng(77)
     factor = rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
     band_factor = rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,6 +95,12 @@ def _signer(words: int, bands: int, rows: int):
         values = np.concatenate([low, high])[: bands * rows].reshape(bands, rows)
         return _mix((_mix(values) * band_factor).sum(1, dtype=np.uint64) + band_salt)
 
+    return sign
+
+
+def _signer(words: int, bands: int, rows: int):
+    shingler, sign = Shingler(words), band_signer(bands, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, f1, f2, bs = [], [], [], []
@@ -115,15 +123,39 @@ def signatures(docs: DataFrame, text: str, words: int, bands: int, rows: int) ->
     return source.mapInArrow(_signer(words, bands, rows), "doc_id long, th long, n long, f1 long, f2 long, bands array<long>")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    g, a, b, role, root, d, h, sets = zip(*rows, strict=True)
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+    longs = [pa.array(c, pa.int64()) for c in (g, a, b, role, root, d, h)]
+    return pa.RecordBatch.from_arrays([*longs, hashes], _DEALT)
+
+
+_DEALT = ["g", "a", "b", "role", "root", "d", "h", "hashes"]
+_DEAL = "struct<g:bigint,a:bigint,b:bigint,role:bigint,root:bigint>"
+
+
 def _to_sets(words: int):
+    """Rows (d, h, text, deals) to one row for each deal, with the text's shingle hashes. Rows that repeat in a task count once."""
     shingler = Shingler(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingler.hashes(t).view(np.int64) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "hashes"])
+        seen, rows, size = set(), [], 0
+        for batch in batches:
+            for d, h, t, deals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                node = (d, h)
+                if node in seen:
+                    continue
+                seen.add(node)
+                hashes = shingler.hashes(t.as_py()).view(np.int64)
+                for x in deals.as_py():
+                    rows.append((x["g"], x["a"], x["b"], x["role"], x["root"], *node, hashes))
+                    size += hashes.nbytes
+                    if size >= BATCH_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     return run
 
@@ -133,40 +165,123 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for u, v in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True):
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _ranges(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one range after the other."""
+    stop = np.cumsum(width)
+    return np.arange(stop[-1]) + np.repeat(begin - (stop - width), width)
 
-    return run
 
+def merge_labels(sets: list[np.ndarray], labels: np.ndarray, pivots: np.ndarray, percent: int, main: int | None = None) -> np.ndarray:
+    """Labels after merging those of all linked pairs that have a pivot in them and start with different labels.
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach percent of their union."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), f"a {_NODE}, b {_NODE}")
+    A pivot is compared with the members of other labels that hold one of its rarest elements: whoever shares percent of
+    its union shares one of the |pivot| - ceil(percent * |pivot|) + 1 rarest. Pivots closest to the common
+    elements come first. Members of the label `main` need not be pivots, since each link out of it has a pivot at its other end;
+    without a given one it is the most frequent label, so comparing ends when all others have been pivots.
+    """
+    labels, m = labels.copy(), len(sets)
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), size)
+    _, element, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rarity = np.empty(len(count), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
+    order = np.lexsort((rarity[element], owner))
+    element = element[order]  # each set's elements, the rarest first
+    begin = np.concatenate([[0], np.cumsum(size)])
+    holders = owner[np.argsort(element, kind="stable")]  # element by element
+    first = np.concatenate([[0], np.cumsum(count)])
+    common = np.add.reduceat(count[element], begin[:-1]) / size
+    mark = np.zeros(len(count), bool)
+    left = pivots.copy()
+    queue = np.argsort(-common, kind="stable")
+    while True:
+        most = main if main is not None else np.bincount(labels).argmax()
+        queue = queue[left[queue]]
+        outside = labels[queue] != most
+        if not outside.any():
+            return labels
+        p = queue[outside.argmax()]
+        left[p] = False
+        own = element[begin[p] : begin[p + 1]]
+        rare = own[: len(own) - -(-percent * len(own) // 100) + 1]
+        rare = rare[count[rare] > 1]
+        if not len(rare):
+            continue
+        near = np.zeros(m, bool)
+        near[holders[_ranges(first[rare], count[rare])]] = True
+        low, high = np.minimum(size, len(own)), np.maximum(size, len(own))
+        near = np.flatnonzero(near & (labels != labels[p]) & (100 * low >= percent * high))
+        if not len(near):
+            continue
+        mark[own] = True
+        width = size[near]
+        both = np.add.reduceat(mark[element[_ranges(begin[near], width)]].astype(np.int64), np.cumsum(width) - width)
+        mark[own] = False
+        linked = near[100 * both >= percent * (len(own) + width - both)]
+        if len(linked):
+            joined = np.isin(labels, np.append(labels[linked], labels[p]))
+            labels[joined] = main if main is not None and (labels[joined] == main).any() else labels[joined].min()
+
+
+def _link_groups(percent: int):
+    """Over rows sorted by (g, a, b): links (a, b) that join the members of each such group as its confirmed pairs do, fewer than members."""
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        nodes, sets = [(r[1], r[2]) for r in rows], [r[3] for r in rows]
+        if len(rows) == 2 and rows[0][5] != rows[1][5]:
+            both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+            return [(*nodes[0], *nodes[1])] if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else []
+        _, start = np.unique(np.array([r[5] for r in rows]), return_inverse=True)
+        role = np.array([r[4] for r in rows])
+        if role.any():  # outsiders (1) meet a block of the main component (2) and outsiders (3)
+            labels = merge_labels(sets, start, role == 1, percent, int(start[role == 2].max(initial=-1)))
+        else:
+            labels = merge_labels(sets, start, role == 0, percent)
+        out, head, known = [], {}, set()
+        for i in range(len(rows)):
+            if labels[i] in head and (labels[i], start[i]) not in known:
+                out.append((*head[labels[i]], *nodes[i]))
+            head.setdefault(labels[i], nodes[i])
+            known.add((labels[i], start[i]))
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b, c, d = (pa.array(x, pa.int64()) for x in (zip(*links, strict=True) if links else [[]] * 4))
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([a, b], ["d", "h"]), pa.StructArray.from_arrays([c, d], ["d", "h"])], ["a", "b"])
+
+        key, rows = None, []
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            for g, a, b, role, root, d, h, x in zip(*cols, _lists(batch.column(7)), strict=True):
+                if (g, a, b) != key:
+                    links += solve(rows) if len(rows) > 1 else []
+                    key, rows = (g, a, b), []
+                rows.append((key, int(d), int(h), x.copy(), role, root))
+            if len(links) >= 10_000:
+                yield flush()
+        links += solve(rows) if len(rows) > 1 else []
+        yield flush()
+
+    return run
 
-def _edits(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    rows = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(_lists(b.column(2)), _lists(b.column(3)), strict=True)]
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.int64), *rows])
-    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in _lists(b.column(2))], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["g", "node", "n", "edits"])
 
+def _linked(docs: DataFrame, text: str, deals: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Links found by dealing each node's set to the tasks (g, a, b) that deals (node, g, a, b, role, root) names."""
+    asked = deals.groupBy("node").agg(F.collect_list(F.struct("g", "a", "b", "role", "root")).alias("deals"))  # a node's bands, and blocks of its groups
+    texts = docs.where(F.col("doc_id").isNotNull()).select(_node(F.col("doc_id").cast("long"), text_hash(F.col(text))).alias("node"), F.col(text).alias("t"))
+    found = texts.join(asked.hint("shuffle_hash"), "node").select("node.d", "node.h", "t", "deals")
+    dealt = found.mapInArrow(_to_sets(words), "g long, a long, b long, role long, root long, d long, h long, hashes array<bigint>")
+    dealt = dealt.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
+    return materialize(dealt.mapInArrow(_link_groups(percent), f"a {_NODE}, b {_NODE}"), name)
 
-def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(g, node, n, edits): each member's symmetric difference with its group's consensus, the elements that most members hold."""
-    held = members.join(sets, "node")
-    size = members.groupBy("g").agg(F.count("*").alias("size"))
-    often = held.select("g", F.explode("hashes").alias("e")).groupBy("g", "e").agg(F.count("*").alias("c"))
-    core = often.join(size, "g").where("2 * c > size").groupBy("g").agg(F.collect_list("e").alias("core"))  # at most twice a mean set
-    both = held.join(core, "g", "left").select("g", "node", "hashes", F.coalesce("core", F.array().cast("array<bigint>")).alias("core"))
-    return both.mapInArrow(lambda batches: (r for b in batches for r in _edits(b)), f"g long, node {_NODE}, n long, edits array<bigint>")
+
+def _blocks(size: Column) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(8 * size / BLOCK_BYTES).cast("long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,9 +294,11 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
         step = materialize(step.join(up, "root").select("node", "was", F.least("root", "above").alias("root")), "labels")
-        labels = step.select("node", "root")
+        discard(labels)
+        labels = step
         if step.where("root <> was").isEmpty():
-            return labels
+            discard(edges)
+            return labels.select("node", "root")
 
 
 def _node(d: Column, h: Column) -> Column:
@@ -191,69 +308,53 @@ def _node(d: Column, h: Column) -> Column:
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept) for every row of docs; th = xxhash64(text) tells rows of one doc_id apart.
 
-    Documents with equal shingle sets form a class, whose first document stands for it. Band hashes of min-max signatures
-    put classes into buckets, and each class is compared with its bucket's first, on the full sets. In buckets of a few
-    classes, what is still apart is compared directly. Larger groups that still hold several components go on: every member's difference with the group's consensus is taken. With r = (100 - percent) / (100 + percent),
-    two sets are linked if they differ in r times their summed sizes at most. If their differences with the consensus share
-    nothing, both are then linked with the member of least (difference - r * size), so one star finds them. Any other link
-    shares a number of differing elements known from below, so it is found among sets that share one of the first few. These
-    make the groups of the next round; less than half of a group differs from its consensus in any element, so rounds grow with
-    the logarithm of the group. Within a round work goes with the number of differences; all members of a group take part, so where
-    groups grow with the input, work grows faster than it. No link inside a bucket is lost.
+    Documents with equal shingle sets form a class, whose first document stands for it. Band hashes of min-max signatures put
+    classes into buckets; the buckets whose first class is the same are one group. Each group's sets are dealt once to a task, which compares
+    its members with those not yet in their component (an inverted index over rare elements finds them) and returns
+    spanning links, fewer than members. A group over BLOCK_BYTES is dealt in blocks by hash, its first class to each, and
+    what then is outside the group's most frequent component is dealt, in blocks again, to meet every block. So no link inside a
+    bucket is lost, no task holds more than two blocks, and data sent grows with members, times the blocks of outsiders.
     A pair at the threshold shares no bucket with a chance under 1e-6.
     component_id is the smallest doc_id of the component, kept tells whether the row's doc_id is that one.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing, as are rows with a null doc_id
-    (component_id null, kept true). Rows that repeat share their verdict. An empty input gives an empty result.
+    (component_id null, kept true). Rows that repeat share their verdict. Texts of any length are taken whole; other columns of docs
+    play no part, whatever their names. An empty input gives an empty result.
     """
     bands, rows = banding(percent / 100)
     signed = materialize(signatures(docs, text, words, bands, rows), "signatures")
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    classes = signed.where(linkable).groupBy("n", "f1", "f2").agg(F.min(_node(F.col("doc_id"), F.col("th"))).alias("node"), F.min_by("bands", _node(F.col("doc_id"), F.col("th"))).alias("bands"))
+    this = _node(F.col("doc_id"), F.col("th"))
+    classes = signed.where(linkable).groupBy("n", "f1", "f2").agg(F.min(this).alias("node"), F.min_by("bands", this).alias("bands"))
     classes = materialize(classes, "classes")
 
     cells = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1")
-    members = materialize(cells.join(shared, "bucket").select("bucket", "node", "centre", "size"), "buckets")
-    wanted = members.select("node").distinct()
-    texts = docs.where(F.col("doc_id").isNotNull()).select(_node(F.col("doc_id").cast("long"), text_hash(F.col(text))).alias("node"), F.col(text).alias("t"))
-    texts = texts.join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    sets = materialize(texts.mapInArrow(_to_sets(words), f"node {_NODE}, hashes array<bigint>").dropDuplicates(["node"]), "sets")
-
-    stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(confirmed(stars, sets, percent), "links")
+    shared = cells.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("centre")).where("size > 1").select("bucket", "centre")
+    members = cells.join(shared, "bucket").select(F.xxhash64("centre").alias("g"), "node", "n", (F.col("node") == F.col("centre")).alias("first")).distinct()
+    members = materialize(members, "groups")
+    blocks = members.groupBy("g").agg(_blocks(F.sum("n")).alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
+    spots = F.when(F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
+    zero = F.lit(0).cast("long")
+    deals = members.join(blocks, "g").select("node", "g", zero.alias("a"), F.explode(spots).alias("b"), zero.alias("role"), F.xxhash64("node").alias("root"))
+    links = _linked(docs, text, deals, words, percent, "links")
     roots = components(links)
-    labelled = members.where("size > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = materialize(labelled.join(mixed, "bucket"), "open-buckets")
-    cells = open_.select(F.when(F.col("size") > SMALL_BUCKET, F.xxhash64("centre")).otherwise(F.xxhash64("bucket", "centre")).alias("g"), "node").distinct()
-    while True:
-        labelled = cells.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-        apart = labelled.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node") % (1 << 40)).alias("who"))
-        apart = apart.where("lo <> hi").groupBy("size", "who", "lo", "hi").agg(F.min("g").alias("g")).select("g", "size")  # groups of the same members count once
-        groups = materialize(labelled.join(apart, "g"), "groups")
-        if groups.isEmpty():
-            break
-        few = groups.where(F.col("size") <= SMALL_BUCKET)
-        pairs = few.select("g", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("g", F.col("node").alias("b"), F.col("root").alias("rb")), "g")
-        pairs = pairs.where("a < b and ra <> rb").select("a", "b")
-        slack = (100 + percent) * F.size("edits") - (100 - percent) * F.col("n")
-        edits = differences(groups.where(F.col("size") > SMALL_BUCKET).select("g", "node"), sets)
-        edits = materialize(edits.withColumn("slack", slack.cast("long")), "edits")
-        best = edits.groupBy("g").agg(F.min(F.struct("slack", "node")).alias("m")).select("g", F.col("m.slack").alias("least"), F.col("m.node").alias("centre"))
-        edits = edits.join(best, "g")
-        beyond = F.col("slack") + F.col("least") > 0  # not linked with the centre for certain
-        outer = edits.where(beyond).groupBy("g").agg(F.min("slack").alias("outer"))
-        edits = edits.where("node <> centre")
-        pairs = pairs.union(edits.select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        new = materialize(confirmed(pairs.distinct(), sets, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            roots = components(links)
-        least = F.col("slack") + F.when(beyond, F.col("least")).otherwise(F.col("outer"))
-        k = F.greatest(F.lit(1), F.ceil(least / (2 * (100 + percent)))).cast("int")
-        prefix = F.slice("edits", F.lit(1), F.greatest(F.size("edits") - k + 1, F.lit(0)))
-        cells = edits.join(outer, "g").select("g", "node", F.explode(prefix).alias("e")).select(F.xxhash64("g", "e").alias("g"), "node")
+
+    large = materialize(blocks.where("blocks > 1"), "large-groups")
+    if not large.isEmpty():
+        inside = members.join(large, "g").join(roots, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node"))).select("g", "node", "n", "blocks", "root")
+        inside = materialize(inside, "large-members")
+        held = inside.groupBy("g", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+        most = held.groupBy("g").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("n").alias("all"), F.max_by("n", F.struct("c", "root")).alias("in_main"))
+        most = most.where(F.col("all") > F.col("in_main")).select("g", "main", _blocks(F.col("all") - F.col("in_main")).alias("outside"))
+        open_ = inside.join(most, "g")
+        out = F.col("root") != F.col("main")
+        spot = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n))
+        every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+        met = open_.select("node", "g", every("outside").alias("a"), spot("blocks").alias("b"), F.when(out, 3).otherwise(2).cast("long").alias("role"), "root")
+        asking = open_.where(out).select("node", "g", spot("outside").alias("a"), every("blocks").alias("b"), F.lit(1).cast("long").alias("role"), "root")
+        links = links.union(_linked(docs, text, met.union(asking), words, percent, "links"))
+        roots = components(links)
 
     of_class = classes.join(roots, "node", "left").select("n", "f1", "f2", F.coalesce("root", "node")["d"].alias("component"))
     out = signed.drop("bands").join(of_class, ["n", "f1", "f2"], "left")

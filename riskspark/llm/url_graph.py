@@ -10,7 +10,6 @@ from riskspark.llm.common import ascii_lower, broadcast_within, materialize
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
-MAX_BROADCAST_ROWS = 500_000
 
 
 def parse_urls(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -34,10 +33,10 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     hosts = pages.select("host").distinct().withColumn("suffix", F.explode(_suffixes("host")))
     named = rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "action", F.concat("host", "path").alias("rule"))
-    fits = hosts.join(broadcast_within(named, MAX_BROADCAST_ROWS), "suffix").groupBy("host").agg(
+    fits = hosts.join(broadcast_within(named), "suffix").groupBy("host").agg(
         F.collect_list(F.struct(F.length("rule").alias("len"), "rule", (F.col("action") == "block").alias("b"), "prefix", "action")).alias("_rules")
     )
-    joined = pages.join(broadcast_within(materialize(fits, "host-rules"), MAX_BROADCAST_ROWS), "host", "left")
+    joined = pages.join(broadcast_within(materialize(fits, "host-rules"), 64 + 128 * F.size("_rules")), "host", "left")
     best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["prefix"])))
     return joined.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "action": F.col("_best.action")}).drop("_rules", "_best")
 
@@ -90,7 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     ruled = apply_rules(parse_urls(pages, url), rules)
     facts = materialize(ruled.groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("trusted"), F.count_if(F.col("action") == "block").alias("blocked")).where("host <> ''"), "host-facts")
     scores = materialize(propagate(host_edges(parse_urls(pages, url), html), facts), "host-scores")
-    out = ruled.join(broadcast_within(scores, MAX_BROADCAST_ROWS), "host", "left").fillna(0.0, ["trust", "distrust"])
+    out = ruled.join(broadcast_within(scores), "host", "left").fillna(0.0, ["trust", "distrust"])
     share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
     by_host = F.when(F.col("trust") + F.col("distrust") > 0, F.when(share > threshold, "block").otherwise("allow")).otherwise("allow")
     return out.select(*kept, "host", "path", "rule", F.coalesce("action", by_host).alias("verdict"), "trust", "distrust")
