@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import brute
 
 import corpus_pipeline
+from riskspark.llm import queries
 
 SF = "/root/testdata/sf0.001"
 TOP = 600
@@ -63,6 +64,39 @@ def targets(sizes, weights, total):
     return found
 
 
+def test_op2_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    taught = [d for d in docs if zlib.crc32(str(d.doc_id).encode()) % 3 != 1]
+    by, profiles = defaultdict(Counter), {}
+    for d in taught:
+        if d.lang is not None:
+            by[d.lang].update(grams(d.text))
+    profiles = {lang: {g: i for i, g in enumerate(ranking(c))} for lang, c in sorted(by.items())}
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, SF).collect()}
+    for d in docs:
+        own = ranking(grams(d.text))
+        score = {lang: 1 - sum(min(TOP, abs(p[g] - i)) if g in p else TOP for i, g in enumerate(own)) / len(own) / TOP for lang, p in profiles.items()} if own else {"und": 0.0}
+        r = got[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 3 == 1)
+        assert r.lang_pred == max(score, key=score.get) and abs(r.score - max(score.values())) < 1e-9
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    text = [" ".join(f"word{chr(97 + i)}{j}x" for j in range(40)).replace("0", "o") for i in range(6)]
+    rows = [(1, text[0], "en", "s"), (1, text[0], "en", "s"), (None, text[1], None, None), (None, text[1], "en", "t"), (4, None, None, "s"), (5, text[2] + " more", "en", "s"), (6, text[2], "en", "s"), (7, text[3], "en", "s"), (7, text[4], "en", "t"), (8, "", "en", "s")]
+    names = ["_th", "th", "kd", "kt", "copies", "copy", "doc", "id", "size", "sources", "lang_pred", "score", "n", "word"]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and stage(spark, df.where("false"), SF).count() == 0
+        left[name] = Counter((r.doc_id, r.text) for r in out.collect())
+    assert left["language_id"] == Counter(r[:2] for r in rows if r[1])
+    assert left["near_dedup"] == Counter([(1, text[0]), (None, text[1]), (4, None), (5, text[2] + " more"), (7, text[3]), (7, text[4]), (8, "")])
+    assert left["decontamination"] == Counter(r[:2] for r in rows)
+    assert corpus_pipeline.shard(spark, df, SF).count() == len(rows)
+
+
 def test_run_equals_brute_force(spark, tmp_path):
     given, test = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     long = max((r.text for r in given.collect()), key=len)
