@@ -73,14 +73,14 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = docs.select("doc_id", text_hash(F.col("text")).alias("th"))
     out = keys.join(found, keys["doc_id"].eqNullSafe(found["fd"]) & keys["th"].eqNullSafe(found["ft"]), "left")
     spans = F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
-    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    names = F.array(*[F.lit(k) for k in pii.ALL_KINDS])
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(i: int) -> Column:
         return F.size(F.filter(spans, lambda s: s["base"] & (s["k"] == i))).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
-    return out.select("doc_id", *counts, F.sha2(joined(F.filter(spans, lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(joined(F.filter(spans, lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
 QUERIES = {

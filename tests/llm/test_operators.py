@@ -156,11 +156,12 @@ def test_op10_adds_what_the_rules_miss(spark):
     check = lambda n: str(-sum(int(x) if i % 2 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(n))) % 10)
     card = [n + check(n) for n in card]
     texts = [f"call +1 ({200 + i}) 555-{1000 + 37 * i} or write user.{i}@mail{i % 7}.example.com, card {n}, host 10.{i}.7.{i + 9}, order {i * 7919 + 10**9}, serial {n[:15]}{(int(n[15]) + 1) % 10}, on 2023-10-{10 + i % 20}, 3 @ 4.50" for i, n in enumerate(card)]
-    planted = {"0": "jane.roe (at) mail3 (dot) example (dot) com", "3": "(310) 555-4510", "2": "4111.1111.1111.1111"}
-    texts += [f"please see {m} for it" for m in planted.values()] + ["on 2023-10-12 we paid 4 @ 9.95 for 4111.1111.1111.1112, sum 1234567890"]
+    planted = {"0": "jane.roe (at) mail3 (dot) example (dot) com", "3": "(310) 555-4510", "2": "4111.1111.1111.1111", "4": "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"}
+    texts += [f"please see {m} for it" if k != "4" else f'so token = "{m}" it is' for k, m in planted.items()]
+    texts += ["on 2023-10-12 we paid 4 @ 9.95 for 4111.1111.1111.1112, sum 1234567890", "see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff of mod_rewrite_2023_tables at 2023-10-12T10-11-12Z"]
     got = {r.doc_id: [(str(s.k), texts[r.doc_id][s.start : s.end]) for s in r.spans if not s.base] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[80 + i] for i in range(3)] == [[x] for x in planted.items()]
-    assert all(not found for d, found in got.items() if d < 80) and 83 not in got
+    assert [got[80 + i] for i in range(4)] == [[x] for x in planted.items()]
+    assert all(not found for d, found in got.items() if d < 80) and not got.get(84) and not got.get(85)
 
 
 def test_pipeline(spark, odd):
