@@ -69,8 +69,8 @@ def phrase_matches(docs: DataFrame, index: DataFrame, terms: DataFrame, phrases:
     side = broadcast_within(found, 64 + F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + 48 + F.octet_length(x["phrase"])))
     texts = docs.select("doc_id", text_hash(F.col(text)).alias("th"), F.col(text).alias("t"))
     near = texts.join(side, _same_doc(texts, side, ("fd", "ft")))
-    near = near.select(*_DOC, words_of(F.col("t")).alias("w"), "found")
-    exact = F.filter("found", lambda x: F.array_join(F.slice("w", x["start"] + 1, x["end"] - x["start"]), " ") == x["phrase"])
+    # a lambda over the words, so that a text is split once and not for each candidate
+    exact = F.get(F.transform(F.array(words_of(F.col("t"))), lambda w: F.filter("found", lambda x: F.array_join(F.slice(w, x["start"] + 1, x["end"] - x["start"]), " ") == x["phrase"])), F.lit(0))
     return near.select(*_DOC, F.sort_array(exact).alias("matches")).where("size(matches) > 0").dropDuplicates(_DOC)
 
 
