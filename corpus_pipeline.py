@@ -43,9 +43,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without any labelled row nothing can be told and nothing stays. An empty input gives an empty result.
     """
     profiles = materialize(langid.train_profiles(docs), "profiles")
-    own = docs.select(F.struct("*").alias("doc"), "text", "lang")
-    known = langid.identify(own, profiles).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return known.select(F.col("doc").withField("lang", F.coalesce("lang", "lang_pred")).alias("doc")).select("doc.*")
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column's name can clash
+    known = langid.identify(docs.toDF(*names.values()), profiles, names["text"]).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return known.select(*[(F.coalesce(n, "lang_pred") if c == "lang" else F.col(n)).alias(c) for c, n in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
