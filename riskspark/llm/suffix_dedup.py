@@ -21,16 +21,21 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import broadcast_within, materialize, text_hash
 
 ANCHOR = 32
-CHUNK = 1 << 23  # bytes of a text looked at together; positions inside fit the low bits of the minimizer keys
+CHUNK = 1 << 20  # bytes of a text looked at together; positions inside fit the low bits of the minimizer keys
 SHARD_BYTES = 1 << 21
+#: Windows that leave a task together when they are compared by fingerprints.
+PRINTS = 1 << 17
 #: Runs of one minimizer hash above this many bytes are compared by window fingerprints summed on Spark, not in one task.
 HOT_BYTES = 1 << 22
-_RUN = "struct<mh:bigint,sh:bigint,at:bigint,n:int>"
+_RUN = "struct<mh:bigint,sh:bigint,at:bigint,n:int,times:bigint>"
 
 
-def runs_of(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
-    """(minimizer hash, hash of the run's bytes, first window, windows) for the whole text, in order."""
-    out = []
+def runs_of(data: bytes, length: int) -> list[list[int]]:
+    """[minimizer hash, hash of the run's bytes, first window, windows, times] for the whole text, in order.
+
+    A run that follows itself with the same bytes (in periodic text) is one entry that counts how often it comes.
+    """
+    out: list[list[int]] = []
     for base in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[base : base + CHUNK + length - 1]
         b = np.frombuffer(part, np.uint8)
@@ -54,23 +59,28 @@ def runs_of(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
         starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         counts = np.diff(np.concatenate([starts, [len(least)]]))
         mh = h[(least[starts] & np.uint64(0xFFFFFF)).astype(np.int64)].view(np.int64)
-        view = memoryview(part)
+        last, last_m, last_c = b"", 0, 0
         for m, s, c in zip(mh.tolist(), starts.tolist(), counts.tolist(), strict=True):
-            sh = xxhash.xxh3_64_intdigest(view[s : s + c + length - 1])
-            out.append((m, sh - (1 << 64) if sh >> 63 else sh, base + s, c))
+            body = part[s : s + c + length - 1]
+            if c == last_c and m == last_m and body == last:
+                out[-1][4] += 1
+                continue
+            last, last_m, last_c = body, m, c
+            sh = xxhash.xxh3_64_intdigest(body)
+            out.append([m, sh - (1 << 64) if sh >> 63 else sh, base + s, c, 1])
     return out
 
 
 def _emit_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ends, mh, sh, at, cn = [], [0], [], [], [], []
-            for t in b.column(2).to_pylist():
-                data = (t or "").encode()
-                for m, s, a, c in runs_of(data, length):
-                    mh.append(m), sh.append(s), at.append(a), cn.append(c)
-                n.append(len(data)), ends.append(len(mh))
-            flat = pa.StructArray.from_arrays([pa.array(mh, pa.int64()), pa.array(sh, pa.int64()), pa.array(at, pa.int64()), pa.array(cn, pa.int32())], ["mh", "sh", "at", "n"])
+            ends, runs = [0], []
+            for t in b.column(2):
+                runs += runs_of((t.as_py() or "").encode(), length)
+                ends.append(len(runs))
+            cols = list(zip(*runs, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            flat = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["mh", "sh", "at", "n", "times"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "th", "runs"])
 
     return run
@@ -274,28 +284,30 @@ def _cut_runs(length: int):
 def _fingerprints(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, mh, sh, i = [], [], [], []
-            for m, s, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n = len(body) - length + 1
-                w += [xxhash.xxh3_128_digest(body[k : k + length]) for k in range(n)]
-                mh += [m] * n
-                sh += [s] * n
-                i += range(n)
-            v = np.frombuffer(b"".join(w), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(v[:, 0]), pa.array(v[:, 1]), pa.array(mh, pa.int64()), pa.array(sh, pa.int64()), pa.array(i, pa.int32())], ["w1", "w2", "mh", "sh", "i"])
+            for m, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                body = x.as_py()
+                for at in range(0, len(body) - length + 1, PRINTS):
+                    i = np.arange(at, min(at + PRINTS, len(body) - length + 1), dtype=np.int32)
+                    w = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[k : k + length]) for k in i.tolist()]), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(np.full(len(i), m)), pa.array(np.full(len(i), s)), pa.array(i)], ["w1", "w2", "mh", "sh", "i"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
-    """(doc_id, th, found): per document with repeats, ranges (a, z) of window starts whose `length` bytes also start anywhere else."""
+    """(doc_id, th, found): per document with repeats, ranges (a, z) of window starts whose `length` bytes also start anywhere else.
+
+    Counts are summed in the tasks first, and what is joined back by a minimizer hash is a written table, so that Spark splits the
+    rows of a passage that many documents share.
+    """
     source = docs.select("doc_id", text_hash(F.col(text)).alias("th"), F.col(text).alias("t"))
     runs = materialize(source.mapInArrow(_emit_runs(length), f"doc_id long, th long, runs array<{_RUN}>"), "runs")
-    twice = runs.select(F.explode("runs.mh").alias("mh")).groupBy("mh").count().where("count > 1").select("mh")
-    shared = materialize(runs.select("doc_id", "th", F.inline("runs")).join(twice.hint("shuffle_hash"), "mh", "left_semi"), "shared-runs")
-    classes = materialize(shared.groupBy("mh", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "at", "n")).alias("one")), "run-classes")
+    each = runs.select("doc_id", "th", F.inline("runs"))
+    twice = materialize(each.groupBy("mh").agg(F.sum("times").alias("c")).where("c > 1").select("mh"), "repeated-minimizers")
+    shared = materialize(each.join(twice, "mh", "left_semi"), "shared-runs")
+    classes = materialize(shared.groupBy("mh", "sh").agg(F.sum("times").alias("c"), F.min(F.struct("doc_id", "th", "at", "n")).alias("one")), "run-classes")
     groups = classes.groupBy("mh").agg(F.count("*").alias("kinds"), F.sum(F.col("one.n") + (length - 1)).alias("bytes")).where("kinds > 1")
-    differing = materialize(classes.join(groups, "mh"), "differing-runs")
+    differing = materialize(classes.join(materialize(groups, "run-groups"), "mh"), "differing-runs")
 
     asked = differing.groupBy(F.col("one.doc_id").alias("fd"), F.col("one.th").alias("ft")).agg(F.collect_list(F.struct("mh", "sh", F.col("one.at").alias("at"), F.col("one.n").alias("n"))).alias("want"))  # one document's runs
     asked = broadcast_within(materialize(asked, "asked-runs"), 64 + 40 * F.size("want"))
@@ -312,9 +324,10 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = 200) ->
     counted = prints.join(again, ["w1", "w2"]).groupBy("mh", "sh").agg(F.transform(F.sort_array(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("z"))).alias("ranges"))  # a run's windows
 
     whole = classes.where("c > 1").select("mh", "sh", F.array(F.struct(F.lit(0).alias("a"), F.col("one.n").alias("z"))).alias("ranges"))
-    partly = materialize(sorted_.union(counted), "partly-repeated").join(whole.select("mh", "sh"), ["mh", "sh"], "left_anti")
-    hits = shared.join(whole.union(partly), ["mh", "sh"])
-    placed = hits.select("doc_id", "th", "at", F.explode("ranges").alias("r")).select("doc_id", "th", F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.z")).alias("z")).alias("r"))
+    partly = sorted_.union(counted).join(whole.select("mh", "sh"), ["mh", "sh"], "left_anti")
+    hits = shared.join(materialize(whole.union(partly), "repeated-runs"), ["mh", "sh"])
+    upto = F.col("at") + F.col("r.z") + (F.col("times") - 1) * F.col("n")  # a run that follows itself is repeated as a whole
+    placed = hits.select("doc_id", "th", "at", "n", "times", F.explode("ranges").alias("r")).select("doc_id", "th", F.struct((F.col("at") + F.col("r.a")).alias("a"), upto.alias("z")).alias("r"))
     return placed.groupBy("doc_id", "th").agg(F.collect_set("r").alias("found"))  # one document's runs
 
 
@@ -353,7 +366,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
 
     Every byte inside a string of `length` bytes that also starts anywhere else, in the same or another document, goes; null and
     empty texts and texts shorter than `length` lose nothing. Rows that repeat are separate documents, so all their
-    repeated bytes go. kept is binary: a cut may fall inside a character. An empty input gives an empty result.
+    repeated bytes go. A null doc_id is an id like others. Texts of any length are taken whole, a megabyte at a time. Other columns
+    play no part, whatever their names. kept is binary: a cut may fall inside a character. An empty input gives an empty result.
     """
     found = repeated_windows(docs, text, length).withColumnsRenamed({"doc_id": "fd", "th": "ft"}).hint("shuffle_hash")
     source = docs.select("doc_id", text_hash(F.col(text)).alias("th"), F.col(text).alias("t"))

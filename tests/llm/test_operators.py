@@ -62,6 +62,15 @@ def test_op3(spark, docs, odd):
     assert rows(suffix_dedup.remove_repeats(odd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op3([r[:2] for r in ROWS]))
 
 
+def test_op3_periodic_texts(spark):
+    assert len(suffix_dedup.runs_of(b"a" * 300_000, 200)) == 1 and suffix_dedup.runs_of(b"a" * 300_000, 200)[0][3:] == [1, 299_801]
+    texts = ["a" * 1000, "abc" * 400, "z" + "abc" * 90, "0123456789abcdef" * 40 + "tail", "q" * 199, "q" * 200, "r" * 201, None, "", "x" + "a" * 230]
+    df = list(enumerate(texts))
+    frame = spark.createDataFrame(df, "doc_id long, text string").repartition(3)
+    assert rows(suffix_dedup.remove_repeats(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op3(df))
+    assert suffix_dedup.remove_repeats(frame.where("false")).count() == 0
+
+
 def test_op3_hot_groups_equal_sorted_shards(spark, monkeypatch):
     base = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(260))
     df = [(i, f"{i:04d}{'q' * (i % 5)}" + base + f"{i * 7919 % 10007}" * 30) for i in range(40)]
