@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RATE = 8000
 UNIT = 64
@@ -72,9 +74,11 @@ def encode(payload: bytes, streams: int = 2, packet: int = PACKET, page_lacings:
 
 
 def decode(media: bytes) -> dict:
-    """Demultiplex an Ogg file: {payload, pages, packets, streams: {serial: {packets, seconds}}}.
+    """Demultiplex an Ogg file: {payload, pages, packets, streams: {serial: {packets, seconds, times}}}.
 
-    Raises ValueError on a bad capture pattern, checksum, page sequence, lacing or stream header.
+    times has (start, end) of each data packet in samples: a page's granule position is the end of the last packet that it completes, and
+    packets completed before on that page end one packet of each other stream before the next starts.
+    Raises ValueError on a bad capture pattern, checksum, page sequence, lacing, stream header or granule positions that don't rise.
     """
     at, pages, found = 0, 0, {}
     while at < len(media):
@@ -86,7 +90,7 @@ def decode(media: bytes) -> dict:
         end = body + sum(lacing)
         if end > len(media) or checksum(media[at : at + 22] + b"\0\0\0\0" + media[at + 26 : end]) != crc:
             raise ValueError(f"bad checksum at byte {at}")
-        s = found.setdefault(serial, {"packets": [], "open": [], "next": 0, "granule": 0, "ended": False})
+        s = found.setdefault(serial, {"packets": [], "open": [], "next": 0, "granule": 0, "ended": False, "marks": []})
         if s["next"] != sequence or bool(flags & BEGIN) != (sequence == 0) or bool(flags & CONTINUED) != bool(s["open"]) or s["ended"]:
             raise ValueError(f"page {sequence} of stream {serial} out of order")
         s["next"] += 1
@@ -96,7 +100,9 @@ def decode(media: bytes) -> dict:
             if v < 255:
                 s["packets"].append(media[s["open"][0][0] : s["open"][-1][1]] if s["open"][-1][1] - s["open"][0][0] == sum(b - a for a, b in s["open"]) else b"".join(media[a:b] for a, b in s["open"]))
                 s["open"] = []
-        s["granule"] = granule if granule >= 0 else s["granule"]
+        if granule >= 0:
+            s["granule"] = granule
+            s["marks"].append((len(s["packets"]) - 1, granule))
         s["ended"] = bool(flags & END)
         at, pages = end, pages + 1
     if any(s["open"] or not s["ended"] for s in found.values()):
@@ -107,19 +113,33 @@ def decode(media: bytes) -> dict:
     payload = b"".join(dealt[s][i] for i in range(count) for s in sorted(dealt) if i < len(dealt[s]))
     if any(h[0] != b"\x01PCM8" or h[2] != len(found) or h[5] != len(payload) for h in heads.values()):
         raise ValueError("bad stream header")
+
+    def times(s: dict, head: tuple) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for last, end in s["marks"]:
+            page = []
+            for k in range(last, len(out), -1):  # packet 0 is the header
+                page.append((end - len(s["packets"][k]), end))
+                end = page[-1][0] - (head[2] - 1) * head[4]
+            if page and page[-1][0] < (out[-1][1] if out else 0):
+                raise ValueError("granule positions don't rise")
+            out += page[::-1]
+        return out
+
     return {
         "payload": payload, "pages": pages, "packets": sum(map(len, dealt.values())),
-        "streams": {k: {"packets": len(s["packets"]) - 1, "seconds": s["granule"] / heads[k][3]} for k, s in found.items()},
+        "streams": {k: {"packets": len(s["packets"]) - 1, "seconds": s["granule"] / heads[k][3], "times": times(s, heads[k])} for k, s in found.items()},
     }
 
 
 def features(found: dict) -> str:
-    """Duration from the granule positions; mean, root mean square and rate of mean crossings of the samples."""
+    """Duration and a checksum of all packets' times, from the granule positions; mean, root mean square and mean crossings of the samples."""
     x = np.frombuffer(found["payload"], np.uint8).astype(np.float64)
     mean, rms = (float(x.mean()), float(np.sqrt(np.mean(x * x)))) if len(x) else (0.0, 0.0)
     crossings = int(np.count_nonzero(np.diff(x > mean))) if len(x) else 0
     seconds = max((s["seconds"] for s in found["streams"].values()), default=0.0)
-    return f"streams={len(found['streams'])};pages={found['pages']};packets={found['packets']};seconds={seconds:.6f};mean={mean:.6f};rms={rms:.6f};crossings={crossings}"
+    stamps = zlib.crc32(repr([found["streams"][k]["times"] for k in sorted(found["streams"])]).encode())
+    return f"streams={len(found['streams'])};pages={found['pages']};packets={found['packets']};seconds={seconds:.6f};stamps={stamps};mean={mean:.6f};rms={rms:.6f};crossings={crossings}"
 
 
 def pad(data: bytes) -> bytes:
@@ -130,44 +150,47 @@ def pad(data: bytes) -> bytes:
 def text_to_media(docs: DataFrame, text: str = "text", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
     """Add a media column (binary, Ogg) that holds the text's padded UTF-8 bytes, and the unpadded length.
 
-    Null and empty texts are stored as UNIT zero bytes. All rows and other columns stay; the text column does not.
+    Null and empty texts are stored as UNIT zero bytes. All rows, repeated ones too, and other columns stay, null doc_ids as well; the text
+    column does not, and columns with the added names are replaced. Texts of any length are stored whole. An empty input gives an empty result.
     Works row by row in Arrow batches: no shuffle, memory bounded by a batch.
     """
     kept = [c for c in docs.columns if c not in (text, media, n_bytes)]
-    source = docs.select(*kept, text)
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [(t or "").encode() for t in b.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], [*kept, n_bytes, media])
 
-    schema = source.drop(text).schema.add(n_bytes, "long").add(media, "binary")
-    return source.mapInArrow(run, schema)
+    added = [T.StructField(n_bytes, T.LongType()), T.StructField(media, T.BinaryType())]
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *added]))
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """Read an Ogg column back: payload_bytes, payload_sha256, tail_crc32 (last UNIT bytes), media_bytes, media_sha256, feature.
+    """Read an Ogg column back: payload_bytes, payload_sha256, tail_crc32 (last UNIT bytes), media_bytes, media_sha256, feature, and
+    timestamps, the (stream, packet, start, end) of every packet in seconds.
 
-    A null media value gives nulls; a damaged one raises, naming the byte. The media column is dropped.
+    A null media value gives nulls; a damaged one raises, naming the byte. The media column is dropped; other columns and all rows stay,
+    repeated ones too; columns with the added names are replaced. An empty input gives an empty result.
     """
-    kept = [c for c in df.columns if c != media]
-    source = df.select(*kept, media)
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = ["long", "string", "long", "long", "string", "string"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps"]
+    stamp = pa.struct([("stream", pa.int32()), ("packet", pa.int32()), ("start", pa.float64()), ("end", pa.float64())])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(stamp)]
+    kept = [c for c in df.columns if c not in (media, *names)]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], media)
 
     def row(m: bytes | None) -> tuple:
         if m is None:
-            return (None,) * 6
+            return (None,) * 7
         found = decode(m)
         p = found["payload"]
-        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(found)
+        return len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), features(found), [{"stream": k, "packet": i, "start": a / RATE, "end": z / RATE} for k, s in sorted(found["streams"].items()) for i, (a, z) in enumerate(s["times"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*(row(m) for m in b.column(len(kept)).to_pylist()), strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64() if k == "long" else pa.string()) for c, k in zip(cols, kinds, strict=True))], [*kept, *names])
+            cols = list(zip(*(row(m.as_py()) for m in b.column(len(kept))), strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [*kept, *names])
 
-    schema = source.drop(media).schema
-    for n, k in zip(names, kinds, strict=True):
-        schema = schema.add(n, k)
-    return source.mapInArrow(run, schema)
+    added = ["bigint", "string", "bigint", "bigint", "string", "string", "array<struct<stream:int,packet:int,start:double,end:double>>"]
+    types = T.StructType([T.StructField(n, T.DataType.fromDDL(k)) for n, k in zip(names, added, strict=True)])
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], *types.fields]))

@@ -37,7 +37,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = ogg.text_to_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return ogg.read_media(media)
+    return ogg.read_media(media).drop("timestamps")
 
 
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

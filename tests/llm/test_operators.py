@@ -101,6 +101,9 @@ def test_op5(spark, docs, odd):
         for lacings in (1, 3, 255):
             media = ogg.encode(data, packet=510, page_lacings=lacings)
             assert ogg.decode(media)["payload"] == data
+            found = ogg.decode(media)["streams"]
+            tiles = sorted(t for s in found.values() for t in s["times"])  # without gaps, and packets of 510 samples but the last
+            assert [a for a, _ in tiles] == list(range(0, n, 510)) and (not n or tiles[-1][1] == n)
     with pytest.raises(ValueError):
         ogg.decode(media[:100] + bytes([media[100] ^ 1]) + media[101:])
     head = media[:26]
