@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.classes import equivalence_classes, score_k, share
 from riskspark.config import DEMO_GEO, MIN_CELL
+from riskspark.shared import small_table
 
 
 def tract_population(raw: DataFrame) -> DataFrame:
@@ -28,15 +29,28 @@ def gazetteer(raw: DataFrame) -> DataFrame:
     return t.select(F.substring("census_tract", 1, 2).alias("usps"), F.col("census_tract").alias("geoid"), area.cast("string").alias("aland_sqmi"))
 
 
-def read_gazetteer(spark, path: str, state: str) -> DataFrame:
-    """Tab-separated text; header names and values may carry spaces."""
+def read_gazetteer(spark, path: str, state: str | None = None) -> DataFrame:
+    """Tab-separated text, of one state or all; header names and values may carry spaces."""
     df = spark.read.option("sep", "\t").option("header", True).csv(path)
     df = df.toDF(*[c.strip().lower() for c in df.columns])
-    return df.where(F.trim("usps") == state).select("usps", F.trim("geoid").alias("geoid"), F.trim("aland_sqmi").alias("aland_sqmi"))
+    df = df if state is None else df.where(F.trim("usps") == state)
+    return df.select(F.trim("usps").alias("usps"), F.trim("geoid").alias("geoid"), F.trim("aland_sqmi").alias("aland_sqmi"))
+
+
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row holds, with their number of rows: empty where a join needs a one side. Nulls are a value."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
+
+
+def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, if no two rows share the keys; otherwise an error that names one of them. Runs a job."""
+    if found := repeated_keys(df, keys).first():
+        raise ValueError(f"more than one row for {[found[k] for k in keys]}")
+    return df
 
 
 def tract_context(population: DataFrame, gaz: DataFrame) -> DataFrame:
-    """Population, land area and density; one row a tract on both sides. Tracts without land are out."""
+    """Population, land area and density; one row a tract on both sides (require_unique tells). Tracts without land are out."""
     land = gaz.select(F.trim("geoid").alias("census_tract"), F.col("aland_sqmi").try_cast("double").alias("land_area_sqmi"))
     both = population.join(land, "census_tract").where("population >= 0 and land_area_sqmi > 0")
     return both.select("census_tract", F.col("population").cast("long").alias("population"), "land_area_sqmi", F.round(F.col("population") / F.col("land_area_sqmi"), 9).alias("population_density_per_sqmi"))
@@ -59,7 +73,7 @@ def _record_risk() -> list[Column]:
 
 
 def risk_by_release(app: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
-    joined = equivalence_classes(app, DEMO_GEO).join(F.broadcast(release_density(app)), "census_tract")  # tracts: bounded by geography
+    joined = equivalence_classes(app, DEMO_GEO).join(small_table(release_density(app), "release-density"), "census_tract")
     n = F.sum("k")
     out = joined.groupBy("release_density_quintile", "derived_race", "derived_ethnicity").agg(n.alias("record_count"), share(F.sum(F.when(F.col("k") == 1, 1).otherwise(0)), n).alias("sample_uniqueness_rate"), share(F.count("*"), n).alias("prosecutor_expected_match_risk"))
     return out.where(F.col("record_count") >= minimum)
@@ -73,7 +87,7 @@ def release_overall(by_cell: DataFrame) -> DataFrame:
 
 def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Cohorts and, as ALL, whole quintiles, in one pass of grouping sets."""
-    q = F.broadcast(residential_density(context).select("census_tract", "residential_density_quintile"))
+    q = small_table(residential_density(context).select("census_tract", "residential_density_quintile"), "residential-density")
     scored = score_k(app.select(*DEMO_GEO), DEMO_GEO).join(q, "census_tract")
     keys = [F.col("residential_density_quintile"), F.col("derived_race"), F.col("derived_ethnicity")]
     out = scored.groupingSets([keys, keys[:1]], *keys).agg(F.grouping_id().alias("gid"), *_record_risk()).where(F.col("record_count") >= minimum)
@@ -82,8 +96,8 @@ def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_C
 
 
 def risk_by_cross(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
-    a = F.broadcast(residential_density(context).select("census_tract", "residential_density_quintile"))
-    b = F.broadcast(release_density(app).select("census_tract", "release_density_quintile"))
+    a = small_table(residential_density(context).select("census_tract", "residential_density_quintile"), "residential-density")
+    b = small_table(release_density(app).select("census_tract", "release_density_quintile"), "release-density")
     out = score_k(app.select(*DEMO_GEO), DEMO_GEO).join(a, "census_tract").join(b, "census_tract").groupBy("residential_density_quintile", "release_density_quintile").agg(*_record_risk())
     return out.where(F.col("record_count") >= minimum)
 
@@ -98,8 +112,17 @@ AUDIT = {"derived_race": "derived_race", "derived_ethnicity": "derived_ethnicity
 
 def exclusion_audit(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Records kept and dropped by the density join, by five dimensions, in one pass."""
-    tracts = F.broadcast(residential_density(context).select("census_tract", F.lit(True).alias("matched")))
+    tracts = small_table(residential_density(context).select("census_tract", F.lit(True).alias("matched")), "tracts")
     joined = app.join(tracts, "census_tract", "left").withColumn("join_status", F.when(F.col("matched"), "retained").otherwise("dropped"))
     stack = ", ".join(f"'{k}', {v}" for k, v in AUDIT.items())
     long = joined.select("join_status", F.expr(f"stack({len(AUDIT)}, {stack}) as (dimension, category)"))
     return long.groupBy("dimension", "category", "join_status").agg(F.count("*").alias("record_count")).where(F.col("record_count") >= minimum)
+
+
+CONTEXT_TYPES = {"census_tract": "string", "population": "bigint", "land_area_sqmi": "double", "population_density_per_sqmi": "double"}
+
+
+def read_context(spark, path: str) -> DataFrame:
+    """Tract context from CSV with a header: read as text, then typed; what isn't a number is null."""
+    raw = spark.read.schema(", ".join(f"{c} string" for c in CONTEXT_TYPES)).option("header", True).csv(path)
+    return raw.select(*[F.col(c).try_cast(t).alias(c) for c, t in CONTEXT_TYPES.items()])

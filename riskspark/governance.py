@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.config import MIN_CELL
+from riskspark.shared import broadcast_within
 
 # Fixed column lists.
 COUNT_FIELDS = ("record_count", "records", "reference_n", "comparison_n", "reference_n_k5", "comparison_n_k5", "sample_unique_records", "observed_equivalence_classes")
@@ -44,6 +45,21 @@ def policy_violations(columns: DataFrame, declared: DataFrame, allowed: Sequence
     return found.join(exceptions.where(F.col("expires_on") >= F.lit(as_of).cast("date")).select("code", "model", "column"), ["code", "model", "column"], "left_anti")
 
 
+def withheld_cells(tables: dict[str, DataFrame], declared: DataFrame, restricted: Sequence[str], minimum: int = MIN_CELL) -> DataFrame:
+    """(model, column, classification, rows, withheld): for each published column the filled values of its table, and how many of them the
+    gate withholds, because the column's classification is restricted or missing or a count in its row is below the minimum."""
+    parts = []
+    for model, df in sorted(tables.items()):
+        counts = [F.coalesce(F.col(c) < minimum, F.lit(False)) for c in df.columns if c in COUNT_FIELDS]
+        small = reduce(Column.__or__, counts, F.lit(False))
+        filled = [F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("filled")) for c in df.columns]
+        long = df.select(small.alias("small"), F.explode(F.array(*filled)).alias("x")).where("x.filled").groupBy("x.column").agg(F.count("*").alias("rows"), F.count_if("small").alias("low"))
+        parts.append(long.select(F.lit(model).alias("model"), "column", "rows", "low"))
+    held = reduce(DataFrame.unionByName, parts).join(declared, ["model", "column"], "left")
+    closed = F.col("classification").isNull() | F.col("classification").isin(*restricted)
+    return held.select("model", "column", "classification", "rows", F.when(closed, F.col("rows")).otherwise(F.col("low")).alias("withheld"))
+
+
 def columns_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame([(m, c) for m, df in tables.items() for c in df.columns], "model string, column string")
 
@@ -63,13 +79,15 @@ def retention(df: DataFrame, created: str, as_of: datetime, days: int) -> DataFr
 
 def subject_export(tables: dict[str, DataFrame], keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """All rows of the keys in every table that has the key column, and the audit: counts by table."""
-    found = {n: t.join(F.broadcast(keys), SUBJECT_KEY, "left_semi") for n, t in sorted(tables.items()) if SUBJECT_KEY in t.columns}
+    keys = broadcast_within(keys)
+    found = {n: t.join(keys, SUBJECT_KEY, "left_semi") for n, t in sorted(tables.items()) if SUBJECT_KEY in t.columns}
     return found, _audit("export", found)
 
 
 def subject_delete(tables: dict[str, DataFrame], keys: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every table without the keys' rows; rows with a null key and tables without the key column stay as they are."""
-    kept = {n: t.join(F.broadcast(keys), SUBJECT_KEY, "left_anti") if SUBJECT_KEY in t.columns else t for n, t in sorted(tables.items())}
+    keys = broadcast_within(keys)
+    kept = {n: t.join(keys, SUBJECT_KEY, "left_anti") if SUBJECT_KEY in t.columns else t for n, t in sorted(tables.items())}
     gone, _ = subject_export(tables, keys)
     return kept, _audit("delete", gone)
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.config import MIN_CELL
+from riskspark.governance import finite, redact
+
 
-def slug(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+def slug(text: str) -> str:
+    """Lower case, with each run of anything but a-z and 0-9 as one hyphen, none at the ends."""
+    return re.sub("[^a-z0-9]+", "-", text.lower()).strip("-")
 
 
 def write_bronze(raw: DataFrame, root: str, scope: str, year: str = "activity_year") -> str:
     """CSV under scope=<slug>/year=YYYY; a slice never overwrites another scope, and a written scope never changes."""
-    name = "".join(c if c.isalnum() else "-" for c in scope.lower()).strip("-")
-    path = f"{root}/scope={name}"
+    path = f"{root}/scope={slug(scope)}"
     raw.withColumn("year", F.col(year)).write.mode("errorifexists").partitionBy("year").option("header", True).csv(path)
     return path
 
@@ -25,15 +30,45 @@ def manifest(spark: SparkSession, path: str, parameters: dict[str, str]) -> Data
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("retrieved_at"), F.create_map(*pairs).alias("parameters"))
 
 
-def write_mart(df: DataFrame, path: str, order: list) -> None:
-    """A small ordered mart as one JSON file."""
-    df.orderBy(*order).coalesce(1).write.json(path)
+def write_mart(df: DataFrame, path: str, order: list, minimum: int = MIN_CELL) -> DataFrame:
+    """A small ordered mart as one JSON file, non-finite numbers as null and rows with small cells redacted; returns it as read back."""
+    ready = redact(finite(df.orderBy(*order)), minimum)
+    ready.coalesce(1).write.option("ignoreNullFields", False).json(path)
+    return df.sparkSession.read.schema(ready.schema).json(path)
+
+
+def materialize_mart(df: DataFrame, path: str) -> DataFrame:
+    """A mart as a Parquet table; a written one never changes."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_context(context: DataFrame, conflicts: DataFrame, path: str, parameters: dict[str, str]) -> DataFrame:
+    """Tract context as CSV files with headers, sorted by tract over all of them, and its manifest of one row: rows and tracts with conflicting populations."""
+    context.orderBy("census_tract").write.mode("errorifexists").option("header", True).csv(path)
+    pairs = [x for k, v in sorted(parameters.items()) for x in (F.lit(k), F.lit(v))]
+    rows = context.sparkSession.read.option("header", True).csv(path).agg(F.count("*").alias("records"))
+    return rows.crossJoin(conflicts.select("conflicting_tracts")).withColumn("parameters", F.create_map(*pairs))  # one row each
+
+
+def _canonical(df: DataFrame, c: str) -> Column:
+    """A value as text that doesn't hang on an engine's number format: doubles in whole billionths."""
+    v = F.col(c)
+    text = F.round(v * F.lit(1e9)).cast("decimal(38,0)").cast("string") if dict(df.dtypes)[c] == "double" else v.cast("string")
+    return F.concat(F.lit(f"{c}="), F.coalesce(text, F.lit("null")))
 
 
 def bundle(parts: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """(section, key, digest) of aggregate rows: key columns joined by |, and the digest of the row's JSON, columns by name."""
+    """(section, key, sha256) of aggregate rows, and a row with an empty key for each section whose digest is that of its rows in order of their keys.
+
+    key: key columns joined by |, nulls left out; a row's digest covers name=value of its columns in order of name.
+    """
     out = None
     for name, (df, keys) in parts.items():
-        row = df.select(F.lit(name).alias("section"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), F.to_json(F.struct(*sorted(df.columns))).alias("json"))
-        out = row if out is None else out.unionByName(row)
-    return out.select("section", "key", F.sha2("json", 256).alias("sha256"))
+        body = F.concat_ws(";", *[_canonical(df, c) for c in sorted(df.columns)])
+        rows = df.select(F.lit(name).alias("section"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), F.sha2(body, 256).alias("sha256"))
+        whole = rows.groupBy("section").agg(F.sort_array(F.collect_list(F.struct("key", "sha256"))).alias("all"))  # rows of a published mart
+        whole = whole.select("section", F.lit("").alias("key"), F.sha2(F.array_join(F.transform("all", lambda x: x["sha256"]), ","), 256).alias("sha256"))
+        both = rows.union(whole)
+        out = both if out is None else out.unionByName(both)
+    return out

@@ -79,9 +79,10 @@ def size_matched_ratio(tracts: DataFrame, tolerance: float = 1.2) -> DataFrame:
 
 
 def common_support(rows: DataFrame, by: Sequence[str] = ("configuration",)) -> DataFrame:
-    """Share of each group's records in covariate cells that hold both groups; nulls are a value."""
-    fields = [c for c in rows.columns if c not in (*by, "is_black", "is_denied")]
-    cells = rows.groupBy(*by, *fields).agg(F.sum(1 - F.col("is_black")).alias("n0"), F.sum("is_black").alias("n1"))
+    """Share of each group's records in covariate cells that hold both groups; nulls are a value. A column n counts records."""
+    fields = [c for c in rows.columns if c not in (*by, "is_black", "is_denied", "n")]
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    cells = rows.groupBy(*by, *fields).agg(F.sum((1 - F.col("is_black")) * n).alias("n0"), F.sum(F.col("is_black") * n).alias("n1"))
     both = (F.col("n0") > 0) & (F.col("n1") > 0)
     part = lambda c: share(F.sum(F.when(both, F.col(c)).otherwise(0)), F.sum(c))
     return cells.groupBy(*by).agg(part("n0").alias("common_support_reference_share"), part("n1").alias("common_support_comparison_share"))

@@ -64,20 +64,43 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+LEVELS = ("tract", "county", "state", "national")
+
+
+def nests(inner: ProtectionConfig, outer: ProtectionConfig) -> bool:
+    """Whether what inner leaves is enough to make outer: geography as coarse or coarser, bands a multiple or none."""
+    bands = all(b is not None and b % a == 0 for c, a in inner.bands.items() for b in (outer.bands.get(c),))
+    return LEVELS.index(inner.geography) <= LEVELS.index(outer.geography) and bands
+
+
+def rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION) -> list[tuple[ProtectionConfig, DataFrame]]:
+    """Records (n) and class size (k) by protected fields and action, for each configuration.
+
+    Rows are dealt by the fields, which serves the sums and the window of k alike, so a configuration costs one exchange of sums; it starts from
+    the last configuration that nests in it, whose exchange Spark reuses, and only the first reads records.
+    """
+    keys = [*fields, "action_taken"]
+    done = [(ProtectionConfig("records"), app.select(*keys).repartition(*fields).groupBy(*keys).agg(F.count("*").alias("n")))]
+    out = []
+    for p in configs:
+        of, n = next((q, d) for q, d in reversed(done) if nests(q, p))
+        if (of.geography, of.bands) != (p.geography, p.bands):
+            n = protected(n, p).repartition(*fields).groupBy(*keys).agg(F.sum("n").alias("n"))
+        done.append((p, n))
+        out.append((p, n.withColumn("k", F.sum("n").over(Window.partitionBy(*fields)))))
+    return out
+
+
 def protection_classes(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """(configuration, derived_race, derived_ethnicity, k), a row for each class."""
-    return _union([equivalence_classes(protected(app, p), fields).select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k") for p in configs])
+    return _union([n.groupBy(*fields).agg(F.max("k").alias("k")).select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k") for p, n in rolled(app, configs, fields)])
 
 
 def protection_cells(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
-    """Records by configuration, cohort, action and class size; rows are summed before the window that gives k."""
-
-    def one(p: ProtectionConfig) -> DataFrame:
-        n = protected(app, p).groupBy(*fields, "action_taken").agg(F.count("*").alias("n"))
-        n = n.withColumn("k", F.sum("n").over(Window.partitionBy(*fields)))
-        return n.groupBy("derived_race", "derived_ethnicity", "action_taken", "k").agg(F.sum("n").alias("record_count")).withColumn("configuration", F.lit(p.name))
-
-    return _union([one(p) for p in configs]).select("configuration", "derived_race", "derived_ethnicity", "action_taken", "k", "record_count")
+    """Records by configuration, cohort, action and class size."""
+    cell = ["derived_race", "derived_ethnicity", "action_taken", "k"]
+    parts = [n.groupBy(*cell).agg(F.sum("n").alias("record_count")).withColumn("configuration", F.lit(p.name)) for p, n in rolled(app, configs, fields)]
+    return _union(parts).select("configuration", *cell, "record_count")
 
 
 def mde_points(n1: Column, n2: Column, p: Column, z: float = Z_SUM) -> Column:
@@ -90,10 +113,14 @@ def _cond(where: Column, value: Column | None = None) -> Column:
     return F.sum(F.when(where, F.lit(1) if value is None else value).otherwise(0))
 
 
-def frontier(classes: DataFrame, cells: DataFrame, base: str = "cfpb_current", k_min: int = 5, minimum: int = MIN_CELL) -> DataFrame:
-    """Privacy and utility of each suppressed configuration and of the unsuppressed base, the only current baseline."""
-    n = F.sum("k")
-    risk = classes.groupBy("configuration").agg(n.alias("record_count"), share(_cond(F.col("k") == 1), n).alias("pre_suppression_uniqueness_rate"), share(F.count("*"), n).alias("pre_suppression_prosecutor_risk"), share(_cond(F.col("k") >= k_min, F.col("k")), n).alias("retained_share"))
+def frontier(cells: DataFrame, base: str = "cfpb_current", k_min: int = 5, minimum: int = MIN_CELL) -> DataFrame:
+    """Privacy and utility of each suppressed configuration and of the unsuppressed base, the only current baseline.
+
+    Of the records in classes of k there are k for each class, so classes are counted from the cells.
+    """
+    sized = cells.groupBy("configuration", "k").agg(F.sum("record_count").alias("r"))
+    n = F.sum("r")
+    risk = sized.groupBy("configuration").agg(n.alias("record_count"), share(_cond(F.col("k") == 1, F.col("r")), n).alias("pre_suppression_uniqueness_rate"), share(F.sum(F.expr("r div k")), n).alias("pre_suppression_prosecutor_risk"), share(_cond(F.col("k") >= k_min, F.col("r")), n).alias("retained_share"))
     held = risk.select("*", F.lit(False).alias("is_current_baseline"), F.col("configuration").alias("of"), F.lit(0.0).alias("post_suppression_uniqueness_rate"))
     now = risk.where(F.col("configuration") == base).select(F.lit(UNSUPPRESSED.name).alias("configuration"), "record_count", "pre_suppression_uniqueness_rate", "pre_suppression_prosecutor_risk", F.lit(1.0).alias("retained_share"), F.lit(True).alias("is_current_baseline"), F.col("configuration").alias("of"), F.col("pre_suppression_uniqueness_rate").alias("post_suppression_uniqueness_rate"))
     states = held.unionByName(now)
@@ -123,6 +150,17 @@ def modeling_cohort(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTEC
     return _union(parts)
 
 
+def modeling_cells(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+    """The modeling cohort summed up: its columns and n, the records alike in all of them. Internal as well."""
+    cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC) & F.col("action_taken").isin(*DECISIONS)
+    parts = []
+    for p, n in rolled(app, configs, fields):
+        rows = n.where((F.col("k") >= (p.suppress_k_below or 1)) & cohort)
+        keys = [F.lit(p.name).alias("configuration"), (F.col("derived_race") == BLACK).cast("int").alias("is_black"), F.col("action_taken").isin(*DENIALS).cast("int").alias("is_denied"), F.col("census_tract").alias("protected_geography"), F.col("income").alias("protected_income"), F.col("loan_amount").alias("protected_loan_amount")]
+        parts.append(rows.groupBy(*keys, "applicant_age", "applicant_sex", "loan_type", "debt_to_income_ratio", "loan_purpose", "occupancy_type", "lien_status", "derived_dwelling_category").agg(F.sum("n").alias("n")))
+    return _union(parts)
+
+
 def disparity_power(df: DataFrame, group: str = "derived_race", reference: str = WHITE, comparison: str = BLACK) -> DataFrame:
     """Sizes, reference denial rate and detectable difference of two groups; no restriction on actions or ethnicity."""
     a, b = F.col(group) == reference, F.col(group) == comparison

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,9 @@ from riskspark import governance as G
 from riskspark import io, stats
 from riskspark import measures as M
 from riskspark import protection as P
-from riskspark.config import BLACK, DEMO_GEO, INSTITUTION, MIN_CELL, PROTECTIONS, TIERS, UNSUPPRESSED
-from riskspark.lar import LAR_SQL, TABLES, applications, lar, lar_slice, load, stage
+from riskspark.config import BLACK, DEMO_GEO, INSTITUTION, MIN_CELL, NON_HISPANIC, PROTECTIONS, TIERS, UNSUPPRESSED, WHITE
+from riskspark.lar import LAR_SQL, TABLES, TEXT_COLUMNS, applications, lar, lar_slice, load, read_csv, stage
+from riskspark.shared import fresh_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -261,31 +262,35 @@ def protection_utility_cells(spark: SparkSession, d: str) -> DataFrame:
     return P.protection_cells(load(spark, d))
 
 
-_FRONTIER = _PROT + f""", risk as (select configuration, sum(k)::bigint as n, sum((k = 1)::int)::double / sum(k) as u, count(*)::double / sum(k) as p, sum(case when k >= 5 then k else 0 end)::double / sum(k) as r from pc group by 1),
-st as (select configuration, configuration as src, false as base, n, u, p, r, 0e0 as post from risk union all select 'cfpb_current_unsuppressed', configuration, true, n, u, p, 1e0, u from risk where configuration = 'cfpb_current'),
-ut as (select st.configuration, sum(case when derived_race = 'White' then record_count else 0 end)::bigint as a, sum(case when derived_race <> 'White' then record_count else 0 end)::bigint as b,
- sum(case when derived_race = 'White' and action_taken in (3, 7) then record_count else 0 end)::double / nullif(sum(case when derived_race = 'White' then record_count else 0 end), 0) as q
- from st join cells on cells.configuration = src and (base or k >= 5) where {_FOCAL} group by 1)
-select configuration, base as is_current_baseline, n as record_count, u as pre_suppression_uniqueness_rate, p as pre_suppression_prosecutor_risk, post as post_suppression_uniqueness_rate, 1 - r as suppression_cost_share, r as retained_share,
- a as reference_n, b as comparison_n, a >= {MIN_CELL} and b >= {MIN_CELL} as utility_estimable, q as reference_denial_rate, case when a >= {MIN_CELL} and b >= {MIN_CELL} then round(100 * {P.Z_SUM}e0 * sqrt(q * (1 - q) * (1e0 / a + 1e0 / b)), 9) end as minimum_detectable_disparity_points from st left join ut using (configuration)"""
+# each release state straight from the records: which of them it keeps, and what the kept decisions say
+_FRONTIER = _PROT + f""", releases as (select unnest(['cfpb_current_unsuppressed', 'cfpb_current', 'county_geo', 'county_banded', 'state_banded']) as release),
+seen as (select release, k, not suffix(release, '_unsuppressed') and k < 5 as hidden, {_FOCAL} as decides, derived_race = 'White' as reference, action_taken in (3, 7) as denial
+ from releases join scored on configuration = replace(release, '_unsuppressed', '')),
+told as (select release, count(*)::bigint as record_count, count(*) filter (k = 1) / count(*)::double as unique_before, count(*) filter (k = 1 and not hidden) / count(*)::double as unique_after,
+ round(sum(1e0 / k)) / count(*) as matched, count(*) filter (not hidden) / count(*)::double as kept, count(*) filter (decides and not hidden) as decisions,
+ count(*) filter (decides and not hidden and reference)::bigint as r, count(*) filter (decides and not hidden and not reference)::bigint as c, count(*) filter (decides and not hidden and reference and denial) as rd from seen group by release),
+shown as (select *, case when decisions > 0 then r end as reference_n, case when decisions > 0 then c end as comparison_n, rd::double / nullif(r, 0) as reference_denial_rate from told)
+select release as configuration, suffix(release, '_unsuppressed') as is_current_baseline, record_count, unique_before as pre_suppression_uniqueness_rate, matched as pre_suppression_prosecutor_risk, unique_after as post_suppression_uniqueness_rate,
+ 1 - kept as suppression_cost_share, kept as retained_share, reference_n, comparison_n, least(reference_n, comparison_n) >= {MIN_CELL} as utility_estimable, reference_denial_rate,
+ case when least(reference_n, comparison_n) >= {MIN_CELL} then round({P.Z_SUM}e2 * sqrt((1 - reference_denial_rate) * reference_denial_rate / reference_n + (1 - reference_denial_rate) * reference_denial_rate / comparison_n), 9) end as minimum_detectable_disparity_points from shown"""
 
 
 @query(_FRONTIER)
 def privacy_utility_frontier(spark: SparkSession, d: str) -> DataFrame:
     app = load(spark, d)
-    return P.frontier(P.protection_classes(app), P.protection_cells(app))
+    return P.frontier(P.protection_cells(app))
 
 
 @query(_PROT + f" select configuration, (derived_race <> 'White')::int as is_black, count(*)::bigint as record_count, sum(is_denied::int)::bigint as denials from scored where k >= 5 and {_FOCAL} group by all")
 def fair_lending_cohort_counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.modeling_cohort(load(spark, d)).groupBy("configuration", "is_black").agg(F.count("*").alias("record_count"), F.sum("is_denied").alias("denials"))
+    return P.modeling_cells(load(spark, d)).groupBy("configuration", "is_black").agg(F.sum("n").alias("record_count"), F.sum(F.col("is_denied") * F.col("n")).alias("denials"))
 
 
 @query(_PROT + f""", m as (select configuration, (derived_race <> 'White')::int as b, {', '.join(c for c in INSTITUTION if c not in ('lei', 'derived_race', 'derived_ethnicity'))} from scored where k >= 5 and {_FOCAL}),
 c as (select * exclude (b), sum(1 - b) as n0, sum(b) as n1 from m group by all)
 select configuration, sum(case when n0 > 0 and n1 > 0 then n0 else 0 end)::double / nullif(sum(n0), 0) as common_support_reference_share, sum(case when n0 > 0 and n1 > 0 then n1 else 0 end)::double / nullif(sum(n1), 0) as common_support_comparison_share from c group by 1""")
 def common_support(spark: SparkSession, d: str) -> DataFrame:
-    return M.common_support(P.modeling_cohort(load(spark, d)))
+    return M.common_support(P.modeling_cells(load(spark, d)))
 
 
 _STATE = PROTECTIONS[3]
@@ -376,16 +381,36 @@ def redact_minimum_cell(spark: SparkSession, d: str) -> DataFrame:
     return G.redact(C.cohort_counts(load(spark, d), 0), 100)
 
 
-_POLICY = {"risk_cohort_counts": {"activity_year": "public", "derived_race": "quasi_identifier", "record_count": "internal", "denial_rate": "secret"}}
+_POLICY = {"risk_cohort_counts": {"activity_year": "public", "derived_race": "quasi_identifier", "record_count": "internal", "denial_rate": "secret"}, "qi_sensitivity": {"qi_tier": "public", "derived_race": "quasi_identifier", "derived_ethnicity": "quasi_identifier", "record_count": "public", "sample_uniqueness_rate": "sensitive", "share_records_k_lt_5": "sensitive"}}
+_GATED = f""", gated as (select activity_year, derived_race, derived_ethnicity, count(*)::bigint as record_count, sum(is_denied::int)::double / count(is_denied) as denial_rate from app group by 1, 2, 3), tiers as ({_TIERS_SQL}),
+gated_tiers as (select qi_tier, derived_race, derived_ethnicity, {_RISK.format(ten='')} from tiers group by 1, 2, 3),
+filled as (""" + " union all ".join(f"select '{m}' as model, '{c}' as \"column\", {k} as classification, count({c})::bigint as rows, count({c}) filter (record_count < {MIN_CELL})::bigint as low from {t}" for m, t, c, k in (
+    *(("risk_cohort_counts", "gated", c, f"'{_POLICY['risk_cohort_counts'][c]}'" if c in _POLICY["risk_cohort_counts"] else "null") for c in ("activity_year", "derived_race", "derived_ethnicity", "record_count", "denial_rate")),
+    *(("qi_sensitivity", "gated_tiers", c, f"'{_POLICY['qi_sensitivity'][c]}'" if c in _POLICY["qi_sensitivity"] else "null") for c in ("qi_tier", "derived_race", "derived_ethnicity", "record_count", "sample_uniqueness_rate", "share_records_k_lt_5", "prosecutor_expected_match_risk")),
+)) + ")"
 
 
-@query("select * from (values ('UNCLASSIFIED_COLUMN', 'risk_cohort_counts', 'derived_ethnicity'), ('INVALID_CLASSIFICATION', 'risk_cohort_counts', 'denial_rate')) as v(code, model, \"column\") where (select count(*) from app) >= 0")
+def _gate(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    app = load(spark, d)
+    marts = {"risk_cohort_counts": C.cohort_counts(app, 0), "qi_sensitivity": C.tier_sensitivity(app, ["derived_race", "derived_ethnicity"], 0)}
+    return marts, spark.createDataFrame([(m, c, k) for m, cols in _POLICY.items() for c, k in cols.items()], "model string, column string, classification string")
+
+
+@query(_GATED + " select model, \"column\", classification, rows, case when classification is null or classification = 'internal' then rows else low end as withheld from filled where rows > 0")
+def publication_gate(spark: SparkSession, d: str) -> DataFrame:
+    marts, declared = _gate(spark, d)
+    return G.withheld_cells(marts, declared, ["internal"])
+
+
+@query(_GATED + """ select code, model, "column", rows from (select *, case when classification is null then 'UNCLASSIFIED_COLUMN' when classification not in ('public', 'quasi_identifier', 'sensitive', 'internal') then 'INVALID_CLASSIFICATION'
+ when classification = 'internal' then 'RESTRICTED_PUBLICATION' end as code from filled) where code is not null and rows > 0 and not (code = 'RESTRICTED_PUBLICATION' and model = 'risk_cohort_counts' and "column" = 'record_count')""")
 def governance_violations(spark: SparkSession, d: str) -> DataFrame:
-    declared = spark.createDataFrame([(m, c, k) for m, cols in _POLICY.items() for c, k in cols.items()], "model string, column string, classification string")
+    """Violations of the policy by columns of the published tables, with the values that they concern; one exception is in force, one has expired."""
+    marts, declared = _gate(spark, d)
     waived = spark.createDataFrame([("RESTRICTED_PUBLICATION", "risk_cohort_counts", "record_count", "2026-12-31"), ("INVALID_CLASSIFICATION", "risk_cohort_counts", "denial_rate", "2020-01-01")], "code string, model string, column string, expires string")
     waived = waived.withColumn("expires_on", F.col("expires").cast("date"))
-    columns = G.columns_of(spark, {"risk_cohort_counts": C.cohort_counts(load(spark, d))})
-    return G.policy_violations(columns, declared, ["public", "quasi_identifier", "sensitive", "internal"], ["internal"], waived, "2026-01-01")
+    found = G.policy_violations(G.columns_of(spark, marts), declared, ["public", "quasi_identifier", "sensitive", "internal"], ["internal"], waived, "2026-01-01")
+    return found.join(G.withheld_cells(marts, declared, ["internal"]).select("model", "column", "rows"), ["model", "column"])
 
 
 @query("select days::bigint as retention_days, sum((floor((epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(ts))) / 86400) <= days)::int)::bigint as kept, sum((floor((epoch(timestamp '2024-01-31 00:00:00') - floor(epoch(ts))) / 86400) > days)::int)::bigint as expired from events, (values (10), (2555)) as v(days) group by 1")
@@ -417,83 +442,229 @@ def subject_delete(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-@query("select * from (values ('cohort_minimum_cell'), ('metrics_minimum_cell'), ('tier_totals'), ('one_baseline'), ('binary_cohort')) as v(check_name), (select 0::bigint as violations where (select count(*) from app) >= 0)")
+_SMALL_CELLS = ", ".join(f"{n} as (select count(*) as v from ({q}) where record_count < {MIN_CELL})" for n, q in (
+    ("s1", "select count(*) as record_count from app group by activity_year, derived_race, derived_ethnicity"), ("s2", "select count(*) as record_count from app group by derived_race, derived_ethnicity"),
+    ("s3", f"select sum(k) as record_count from ({_TIERS_SQL}) group by qi_tier, derived_race, derived_ethnicity"),
+    ("s4", "select count(*) as record_count from app join rel using (census_tract) group by release_density_quintile, derived_race, derived_ethnicity"),
+    ("s5", "select count(*) as record_count from app join res using (census_tract) group by residential_density_quintile, derived_race, derived_ethnicity union all select count(*) from app join res using (census_tract) group by residential_density_quintile"),
+))
+
+
+@query(_PROT + f", {_CTX}, {_SMALL_CELLS}" + """, b as (select count(*) filter (derived_race <> 'White') as v from scored where k >= 5 and """ + _FOCAL + """), lost as (select (count(*) filter (derived_race = 'Asian') > 0)::int as v from app)
+select check_name, 0::bigint as violations, planted::bigint as planted from (select 'cohort_minimum_cell' as check_name, v as planted from s1 union all select 'metrics_minimum_cell', v from s2 union all select 'sensitivity_minimum_cell', v from s3
+ union all select 'release_minimum_cell', v from s4 union all select 'residential_minimum_cell', v from s5 union all select 'scored_total', v from lost union all select 'tier_totals', 3 * v from lost union all select 'one_baseline', 1 union all select 'binary_cohort', v from b)""")
 def quality_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Violations by check; all 0."""
-    app = load(spark, d)
-    n = app.agg(F.count("*").alias("n"))
-    count = lambda name, df: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-    tiers = [c.agg(F.sum("k").alias("k")) for c in C.tier_profiles(app).values()]
-    checks = {
-        "cohort_minimum_cell": C.cohort_counts(app).where(F.col("record_count") < MIN_CELL),
-        "metrics_minimum_cell": C.class_risk(C.equivalence_classes(app, INSTITUTION), ["derived_race", "derived_ethnicity"]).where(F.col("record_count") < MIN_CELL),
-        "tier_totals": tiers[0].union(tiers[1]).union(tiers[2]).crossJoin(n).where(~F.col("k").eqNullSafe(F.nullif("n", F.lit(0)))),  # one row each
-        "one_baseline": P.frontier(P.protection_classes(app), P.protection_cells(app)).agg(F.count_if("is_current_baseline").alias("b")).where("b <> 1"),
-        "binary_cohort": P.modeling_cohort(app).where(~F.col("is_black").isin(0, 1) | F.col("is_denied").isNull()),
-    }
-    out = None
-    for name, df in checks.items():
-        out = count(name, df) if out is None else out.unionByName(count(name, df))
-    return out
-
-
-@query("select derived_race, derived_ethnicity, count(*)::bigint as universe_records, count(*)::bigint as class_records, true as in_scope from app group by 1, 2")
+    """Violations by check over the published tables (all 0), and over tables with planted faults: nothing suppressed, a cohort left out of the classes, two baselines, a wrong code."""
+    raw = lar(spark, d)
+    app = applications(stage(raw))
+    cohort, context = ["derived_race", "derived_ethnicity"], _context(raw)
+
+    def checks(minimum: int, classified: DataFrame, frontier: DataFrame, black: int) -> dict[str, DataFrame]:
+        n = app.agg(F.count("*").alias("n"))
+        low = F.col("record_count") < MIN_CELL
+        totals = [c.agg(F.sum("k").alias("k")).crossJoin(n).where(~F.col("k").eqNullSafe(F.nullif("n", F.lit(0)))) for c in C.tier_profiles(classified).values()]  # one row each
+        model = P.modeling_cells(app).withColumn("is_black", F.col("is_black") * black)
+        return {
+            "cohort_minimum_cell": C.cohort_counts(app, minimum).where(low),
+            "metrics_minimum_cell": C.class_risk(C.equivalence_classes(app, INSTITUTION), cohort, minimum).where(low),
+            "sensitivity_minimum_cell": C.tier_sensitivity(app, cohort, minimum).where(low),
+            "release_minimum_cell": D.risk_by_release(app, minimum).where(low),
+            "residential_minimum_cell": D.risk_by_residential(app, context, minimum).where(low),
+            "scored_total": totals[-1],
+            "tier_totals": totals[0].union(totals[1]).union(totals[2]),
+            "one_baseline": frontier.agg(F.count_if("is_current_baseline").alias("b")).where("b <> 1"),
+            "binary_cohort": model.where(~F.col("is_black").isin(0, 1) | F.col("is_denied").isNull()).select(F.explode(F.sequence(F.lit(1).cast("long"), "n"))),
+        }
+
+    frontier = P.frontier(P.protection_cells(app))
+    good = checks(MIN_CELL, app, frontier, 1)
+    bad = checks(0, app.where(~F.col("derived_race").eqNullSafe(F.lit("Asian"))), frontier.union(frontier), 2)
+    parts = [good[k].agg(F.count("*").alias("violations")).crossJoin(bad[k].agg(F.count("*").alias("planted"))).withColumn("check_name", F.lit(k)) for k in good]  # one row each
+    return reduce(DataFrame.union, parts)
+
+
+@query("""select classes, derived_race, derived_ethnicity, universe_records, class_records, universe_records = coalesce(class_records, 0) as in_scope from (select 'complete' as classes, derived_race, derived_ethnicity, count(*)::bigint as universe_records, count(*)::bigint as class_records from app group by 1, 2, 3
+ union all select 'without young applicants', derived_race, derived_ethnicity, count(*)::bigint, nullif(count(*) filter (applicant_age <> '<25'), 0)::bigint from app group by 1, 2, 3)""")
 def scope_check(spark: SparkSession, d: str) -> DataFrame:
     app = load(spark, d)
-    return G.scope_check(app, C.equivalence_classes(app, INSTITUTION), INSTITUTION)
+    of = lambda name, df: G.scope_check(app, C.equivalence_classes(df, INSTITUTION), INSTITUTION).withColumn("classes", F.lit(name))
+    return of("complete", app).union(of("without young applicants", app.where("applicant_age <> '<25'")))
 
 
-@query("select activity_year as year, count(*)::bigint as n from lar group by 1")
+@query("select activity_year as year, count(*)::bigint as n, md5(string_agg(md5(concat_ws('|', " + ", ".join(f"coalesce({c}, '-')" for c in TEXT_COLUMNS) + ")), '' order by md5(concat_ws('|', " + ", ".join(f"coalesce({c}, '-')" for c in TEXT_COLUMNS) + ")))) as digest from lar group by 1")
 def bronze_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = io.write_bronze(lar(spark, d).drop("tract_population"), f"{root.rstrip('/')}/bronze-{datetime.now(UTC).timestamp():.6f}", "All Applications")
-    return spark.read.option("header", True).csv(path).groupBy(F.col("year").cast("string").alias("year")).agg(F.count("*").alias("n"))
+    """Rows and a digest of their contents, by year, of what was written as CSV."""
+    path = io.write_bronze(lar(spark, d).drop("tract_population"), fresh_path(spark, "bronze"), "All Applications")
+    row = F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in TEXT_COLUMNS]))
+    read = read_csv(spark, path).groupBy(F.col("activity_year").alias("year"), F.substring(row, 1, 2).alias("part")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))  # 256 parts a year
+    return read.groupBy("year").agg(F.sum("n").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "rows"))), lambda x: x["rows"]), "")).alias("digest"))
+
+
+@query("select * from staged")
+def staged_lar_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The staged table from CSV files with headers."""
+    path = io.write_bronze(lar(spark, d).drop("tract_population"), fresh_path(spark, "lar"), "All Applications")
+    return stage(read_csv(spark, path))
+
+
+@query("select census_tract, population, land_area_sqmi, population_density_per_sqmi from ctx", ctx=True)
+def tract_context_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Tract context written as sorted CSV and read back."""
+    raw, path = lar(spark, d), fresh_path(spark, "context")
+    io.write_context(_context(raw), D.population_conflicts(raw), path, {"source": "applications"})
+    return D.read_context(spark, path)
+
+
+@query(", v as (select census_tract, count(distinct try_cast(tract_population as double)) as n from lar where census_tract is not null and try_cast(tract_population as double) is not null group by 1) select (select count(*) from ctx)::bigint as records, sum((n > 1)::int)::bigint as conflicting_tracts, 'applications' as source from v", ctx=True)
+def context_manifest(spark: SparkSession, d: str) -> DataFrame:
+    raw = lar(spark, d)
+    rows = io.write_context(_context(raw), D.population_conflicts(raw), fresh_path(spark, "context"), {"source": "applications"})
+    return rows.select("records", "conflicting_tracts", F.col("parameters")["source"].alias("source"))
+
+
+@query("select trim(usps) as usps, geoid, aland_sqmi from gaz where usps = '11'", ctx=True)
+def gazetteer_text(spark: SparkSession, d: str) -> DataFrame:
+    """Land areas of one state from tab-separated text whose names and values carry spaces."""
+    path = fresh_path(spark, "gazetteer")
+    padded = D.gazetteer(lar(spark, d)).select(F.concat("usps", F.lit(" ")).alias("USPS "), F.concat(F.lit(" "), "geoid").alias("GEOID"), F.concat("aland_sqmi", F.lit("  ")).alias("ALAND_SQMI   "))
+    padded.write.option("sep", "\t").option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return D.read_gazetteer(spark, path, "11")
+
+
+@query(_FRONTIER.replace("select release as configuration", ", f as (select release as configuration") .replace("from shown", "from shown)") + f""" select configuration, """ + ", ".join(f"case when coalesce(least(record_count, reference_n, comparison_n) >= {MIN_CELL}, true) then {c} end as {c}" for c in ("is_current_baseline", "record_count", "pre_suppression_uniqueness_rate", "post_suppression_uniqueness_rate", "retained_share", "reference_n", "comparison_n", "utility_estimable", "reference_denial_rate", "minimum_detectable_disparity_points")) + f""",
+ case when minimum_detectable_disparity_points is null then 'insufficient_protected_cohort_retention' else 'estimated' end as utility_status, case when least(record_count, reference_n, comparison_n) < {MIN_CELL} then 'suppressed_minimum_cell' end as suppression_status, case when least(record_count, reference_n, comparison_n) < {MIN_CELL} then {MIN_CELL}::bigint end as minimum_cell_size from f""")
+def frontier_export(spark: SparkSession, d: str) -> DataFrame:
+    """The frontier as an ordered JSON file with small cells redacted, as read back."""
+    mart = P.frontier(P.protection_cells(load(spark, d))).drop("pre_suppression_prosecutor_risk", "suppression_cost_share")
+    status = F.when(F.col("minimum_detectable_disparity_points").isNull(), "insufficient_protected_cohort_retention").otherwise("estimated")
+    return io.write_mart(mart.withColumn("utility_status", status), fresh_path(spark, "frontier"), [F.col("pre_suppression_uniqueness_rate").desc(), "configuration"])
+
+
+@query(f"select activity_year, derived_race, derived_ethnicity, count(*)::bigint as record_count, sum(is_denied::int)::double / count(is_denied) as denial_rate from app group by 1, 2, 3 having count(*) >= {MIN_CELL}")
+def materialized_mart(spark: SparkSession, d: str) -> DataFrame:
+    return io.materialize_mart(C.cohort_counts(load(spark, d)), fresh_path(spark, "cohort-counts"))
+
+
+@query("""select 'customer' as table_name, count(*)::bigint as repeated_keys from (select c_custkey from customer group by 1 having count(*) > 1) union all select 'orders by customer', count(*) from (select o_custkey from orders group by 1 having count(*) > 1)
+ union all select 'gazetteer', count(*) from (select trim(geoid) from gaz group by 1 having count(*) > 1) union all select 'tract populations', count(*) from (select census_tract from pop group by 1 having count(*) > 1)""", ctx=True)
+def join_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that break a one side of a join, by table: none for customers, gazetteer and populations, many for orders by customer."""
+    raw = lar(spark, d)
+    tables = {"customer": (spark.read.parquet(f"{d}/customer.parquet"), "c_custkey"), "orders by customer": (spark.read.parquet(f"{d}/orders.parquet"), "o_custkey"), "gazetteer": (D.gazetteer(raw), "geoid"), "tract populations": (D.tract_population(raw), "census_tract")}
+    return reduce(DataFrame.union, [D.repeated_keys(df, [k]).agg(F.count("*").alias("repeated_keys")).select(F.lit(n).alias("table_name"), "repeated_keys") for n, (df, k) in tables.items()])
 
 
 @query()
 def bronze_manifest(spark: SparkSession, d: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = io.write_bronze(lar(spark, d).drop("tract_population"), f"{root.rstrip('/')}/bronze-{datetime.now(UTC).timestamp():.6f}", "All Applications")
+    path = io.write_bronze(lar(spark, d).drop("tract_population"), fresh_path(spark, "bronze"), "All Applications")
     return io.manifest(spark, path, {"scope": "all"})
 
 
-@query()
+def _bundled(section: str, source: str, keys: list[str], doubles: list[str], others: list[str]) -> str:
+    text = lambda c: f"'{c}=' || coalesce({f'cast(cast(round({c} * 1e9) as decimal(38, 0)) as varchar)' if c in doubles else f'cast({c} as varchar)'}, 'null')"
+    return f"select '{section}' as section, concat_ws('|', {', '.join(f'cast({k} as varchar)' for k in keys)}) as key, sha256({' || chr(59) || '.join(text(c) for c in sorted([*keys, *doubles, *others]))}) as sha256 from {source}"
+
+
+_CELL_DOUBLES = ["sample_uniqueness_rate", "share_records_k_lt_5", "share_records_k_lt_10", "prosecutor_expected_match_risk"]
+_BUNDLE = _SCORED + f""", c as (select {_QI}, count(*) as k from app group by {_QI}), metrics as (select derived_race, derived_ethnicity, {_RISK.format(ten=_TEN)} from c group by 1, 2 having sum(k) >= {MIN_CELL}),
+cohorts as (select activity_year, derived_race, derived_ethnicity, count(*)::bigint as record_count, sum(is_denied::int)::double / count(is_denied) as denial_rate from app group by 1, 2, 3 having count(*) >= {MIN_CELL}),
+dense as (select residential_density_quintile, derived_race, derived_ethnicity, {_REC} from s join res using (census_tract) where derived_ethnicity = 'Not Hispanic or Latino' and derived_race in ('White', 'Black or African American') group by 1, 2, 3 having count(*) >= {MIN_CELL}
+ union all select residential_density_quintile, 'ALL', 'ALL', {_REC} from s join res using (census_tract) group by 1 having count(*) >= {MIN_CELL}),
+digests as ({_bundled('risk_metrics_by_race', 'metrics', ['derived_race', 'derived_ethnicity'], _CELL_DOUBLES, ['record_count'])} union all {_bundled('risk_cohort_counts', 'cohorts', ['activity_year', 'derived_race', 'derived_ethnicity'], ['denial_rate'], ['record_count'])}
+ union all {_bundled('residential_density', 'dense', ['residential_density_quintile', 'derived_race', 'derived_ethnicity'], ['sample_uniqueness_rate', 'prosecutor_expected_match_risk'], ['record_count'])})
+select * from digests union all select section, '', sha256(string_agg(sha256, ',' order by key, sha256)) from digests group by 1"""
+
+
+@query(_BUNDLE, ctx=True)
 def release_bundle(spark: SparkSession, d: str) -> DataFrame:
-    app = load(spark, d)
+    """Digests of the published rows, of the three focal density cohorts, and of each section as a whole."""
+    raw = lar(spark, d)
+    app, cohort = applications(stage(raw)), ["derived_race", "derived_ethnicity"]
+    focal = spark.createDataFrame([("ALL", "ALL"), (WHITE, NON_HISPANIC), (BLACK, NON_HISPANIC)], "derived_race string, derived_ethnicity string")
     return io.bundle({
-        "risk_metrics_by_race": (C.class_risk(C.equivalence_classes(app, INSTITUTION), ["derived_race", "derived_ethnicity"]), ["derived_race", "derived_ethnicity"]),
-        "privacy_utility_frontier": (P.frontier(P.protection_classes(app), P.protection_cells(app)), ["configuration"]),
-        "risk_cohort_counts": (C.cohort_counts(app), ["activity_year", "derived_race", "derived_ethnicity"]),
+        "risk_metrics_by_race": (C.class_risk(C.equivalence_classes(app, INSTITUTION), cohort), cohort),
+        "risk_cohort_counts": (C.cohort_counts(app), ["activity_year", *cohort]),
+        "residential_density": (D.risk_by_residential(app, _context(raw)).join(F.broadcast(focal), cohort, "left_semi"), ["residential_density_quintile", *cohort]),  # three rows
     })
 
 
+@query()
+def release_population_status(spark: SparkSession, d: str) -> DataFrame:
+    """One row: whether any fit of population uniqueness can be reported, over how many scenarios."""
+    fits = stats.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
+    edge = F.col("fit_status") == "boundary_fit_not_reportable"
+    return fits.agg(F.count("*").alias("scenarios"), F.when(F.bool_and(edge), "boundary_fit_not_reportable").otherwise("review_required").alias("status"))
+
+
 @query()
 def population_uniqueness_subsample(spark: SparkSession, d: str) -> DataFrame:
     return stats.subsample_uniqueness(load(spark, d), INSTITUTION, 0.5)
 
 
+_U = "('0x' || substr(md5({}), 1, 8))::bigint / 4294967296e0"
+
+
+@query(f""", c as (select concat_ws('|', {', '.join(f"coalesce({f}, '{M.MISSING}')" for f in DEMO_GEO)}) as class, count(*) as k from app group by {_DEMO}),
+e as (select md5(class) as class, k, replicate, unnest(range(1, k + 1)) as i from c, range(1, 31) as r(replicate)), n as (select replicate, class, count(*) as n, max(k) as k from e where {_U.format(f"'{stats.SEED}|' || replicate || '|' || class || '|' || i")} < 0.5 group by 1, 2)
+select replicate::int as replicate, count(*)::bigint as draw_unique, count(*) filter (k = 1)::bigint as also_unique from n where n = 1 group by 1""")
+def population_uniqueness_md5(spark: SparkSession, d: str) -> DataFrame:
+    """The subsampling measure with records drawn one by one, which other engines repeat exactly."""
+    return stats.subsample_md5(load(spark, d), DEMO_GEO, 0.5)
+
+
 @query()
 def gamma_poisson_uniqueness(spark: SparkSession, d: str) -> DataFrame:
     return stats.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
 
 
-@query()
+def _drawn() -> str:
+    parts, joins = [], []
+    for f in INSTITUTION:
+        parts.append(f"h_{f} as (select {f}, sum(count(*)) over (order by substr(md5(coalesce(cast({f} as varchar), '{M.MISSING}')), 1, 2), {f} nulls first) - count(*) as lo, sum(count(*)) over (order by substr(md5(coalesce(cast({f} as varchar), '{M.MISSING}')), 1, 2), {f} nulls first) as hi from app group by {f})")
+        parts.append(f"d_{f} as (select record, {f} from (select range as record, floor({_U.format(f"'{stats.SEED}|{f}|' || range")} * (select count(*) from app)) as spot from range(10000)) join h_{f} on spot >= lo and spot < hi)")
+        joins.append(f"d_{f}")
+    return ", " + ", ".join(parts) + f", drawn as (select record, {_QI} from {joins[0]} " + " ".join(f"join {j} using (record)" for j in joins[1:]) + ")"
+
+
+@query(_drawn() + " select * from drawn")
 def synthetic_auxiliary(spark: SparkSession, d: str) -> DataFrame:
     return stats.synthetic_auxiliary(load(spark, d), INSTITUTION, 10_000)
 
 
-@query()
+_LINKED = ", c as (select {qi}, count(*) as k from app group by {qi}) select count(*)::bigint as synthetic_records, count(k)::double / count(*) as exact_match_rate, count(*) filter (k = 1)::double / count(*) as unique_match_rate, round(coalesce(sum(1e0 / k), 0e0), 9) as expected_correct_matches from drawn left join c on {on}"
+
+
+@query(_drawn() + _LINKED.format(qi=_QI, on=" and ".join(f"drawn.{f} is not distinct from c.{f}" for f in INSTITUTION)))
 def synthetic_linkage(spark: SparkSession, d: str) -> DataFrame:
     app = load(spark, d)
     return stats.linkage_summary(stats.synthetic_auxiliary(app, INSTITUTION, 10_000), C.equivalence_classes(app, INSTITUTION), INSTITUTION)
 
 
+@query(_drawn() + _LINKED.format(qi=_DEMO, on=" and ".join(f"drawn.{f} is not distinct from c.{f}" for f in DEMO_GEO)))
+def synthetic_linkage_demographic(spark: SparkSession, d: str) -> DataFrame:
+    """Linkage on the five demographic fields, where matches are many."""
+    app = load(spark, d)
+    return stats.linkage_summary(stats.synthetic_auxiliary(app, DEMO_GEO, 10_000), C.equivalence_classes(app, DEMO_GEO), DEMO_GEO)
+
+
 @query()
 def permutation_null(spark: SparkSession, d: str) -> DataFrame:
     return stats.permutation_null(load(spark, d))
 
 
 @query()
+def quintile_permutation(spark: SparkSession, d: str) -> DataFrame:
+    raw = lar(spark, d)
+    quintiles = D.residential_density(_context(raw)).select("census_tract", F.col("residential_density_quintile").alias("quintile"))
+    return stats.quintile_permutation(applications(stage(raw)), quintiles, 200)
+
+
+_BOOT = " + ".join(f"(u >= {p!r}e0)::int" for p in stats._poisson_steps())
+
+
+@query(_GS + f""", drawn as (select replicate, nb, nw, ub, uw, {_U.format(f"'{stats.SEED}|' || census_tract || '|' || replicate")} as u from m, range(2000) as r(replicate)),
+sums as (select replicate, sum(nb * w) as nb, sum(nw * w) as nw, sum(ub * w) as ub, sum(uw * w) as uw from (select *, {_BOOT} as w from drawn) group by 1), q as (select ub / nb::double / (uw / nw::double) as r from sums where nb > 0 and nw > 0 and uw > 0)
+select round(quantile_cont(r, 0.025), 9) as ratio_ci_low, round(quantile_cont(r, 0.975), 9) as ratio_ci_high, count(*)::bigint as usable_replicates from q""")
 def size_matched_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return stats.bootstrap_ratio(M.matched_tracts(M.score_demographic(load(spark, d))))
 
@@ -507,12 +678,11 @@ def group_size_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adjusted_disparity(spark: SparkSession, d: str) -> DataFrame:
-    app = load(spark, d)
-    parts = [stats.adjusted_disparity(P.modeling_cohort(app, [p]).drop("configuration")).withColumn("configuration", F.lit(p.name)) for p in PROTECTIONS]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return stats.adjusted_disparity(P.modeling_cells(load(spark, d)), names=[p.name for p in PROTECTIONS])
 
 
-@query()
+@query(f"""select derived_race, derived_ethnicity, greatest(round(n - sign(u) * ln(1 - 2 * abs(u) * (1 - 1e-12))), 0)::bigint as record_count from (select derived_race, derived_ethnicity, count(*) as n,
+ {_U.format(f"'{stats.SEED}|' || coalesce(derived_race, '{M.MISSING}') || '|' || coalesce(derived_ethnicity, '{M.MISSING}')")} - 0.5e0 as u from app group by 1, 2)""")
 def dp_group_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = load(spark, d).groupBy("derived_race", "derived_ethnicity").agg(F.count("*").alias("record_count"))
     return stats.noised_counts(counts, "record_count", 1.0, ["derived_race", "derived_ethnicity"])

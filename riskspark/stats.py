@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.classes import equivalence_classes, score_k, share
+from riskspark.classes import equivalence_classes, share
 from riskspark.config import BLACK, DEMO_GEO, NON_HISPANIC, WHITE
 from riskspark.measures import MISSING
+from riskspark.shared import fresh_path, small_table
 
 SEED = 20260823
 
@@ -23,32 +26,38 @@ def md5_uniform(*parts: Column) -> Column:
 
 
 def _key_seed(seed: int, *keys: object) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).digest()[:8], "little")
 
 
-def subsample_uniqueness(df: DataFrame, fields: Sequence[str], fraction: float, replicates: int = 200, seed: int = SEED, buckets: int = 64) -> DataFrame:
+def subsample_uniqueness(df: DataFrame, fields: Sequence[str], fraction: float, replicates: int = 200, seed: int = SEED, buckets: int = 256) -> DataFrame:
     """Share of classes unique in a draw that are unique in the whole, over repeated draws of a fixed size without replacement.
 
-    Classes are dealt into a fixed number of buckets by hash. The driver splits each draw over the buckets (multivariate
-    hypergeometric on `buckets` counts), and each bucket draws from its class sizes alone. One row: mean, standard deviation, quantiles.
+    Classes are dealt into buckets by hash and counted by size, so a bucket is a histogram. The driver splits each draw over the buckets
+    (multivariate hypergeometric on `buckets` counts) and a bucket splits its part over its sizes; of unique classes, the number drawn is
+    what counts, and only larger classes are drawn one by one. One row: mean, standard deviation, quantiles.
     """
     if not 0 < fraction <= 1 or replicates < 30:
         raise ValueError("a fraction in (0, 1] and at least 30 replicates are needed")
-    classes = equivalence_classes(df, fields).withColumn("bucket", F.pmod(F.xxhash64(*fields), F.lit(buckets))).select("bucket", "k")
-    totals = {r["bucket"]: r["n"] for r in classes.groupBy("bucket").agg(F.sum("k").alias("n")).collect()}  # at most `buckets` rows
+    classes = equivalence_classes(df, fields).groupBy(F.pmod(F.xxhash64(*fields), F.lit(buckets)).alias("bucket"), "k").agg(F.count("*").alias("classes"))
+    classes = small_table(classes, "class-sizes")
+    totals = {r["bucket"]: r["n"] for r in classes.groupBy("bucket").agg(F.sum(F.col("k") * F.col("classes")).alias("n")).collect()}  # at most `buckets` rows
     counts = np.array([totals.get(i, 0) for i in range(buckets)])
     draws = np.random.default_rng(seed).multivariate_hypergeometric(counts, max(1, round(counts.sum() * fraction)), replicates) if counts.sum() else np.zeros((replicates, buckets), int)
 
     def bucket(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k = np.sort(pdf["k"].to_numpy())
-        rows = []
-        for r in range(replicates):
-            rng = np.random.default_rng(_key_seed(seed, key[0], r))
-            got = rng.multivariate_hypergeometric(k, int(draws[r, key[0]]), method="marginals")
-            rows.append((r, int((got == 1).sum()), int(((got == 1) & (k == 1)).sum())))
-        return pd.DataFrame(rows, columns=["replicate", "draw_unique", "also_unique"])
+        rng = np.random.default_rng(_key_seed(seed, key[0]))
+        need, left = draws[:, key[0]].copy(), int((pdf["k"] * pdf["classes"]).sum())
+        single, also = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
+        for k, n in sorted(zip(pdf["k"].tolist(), pdf["classes"].tolist(), strict=True)):
+            got = rng.hypergeometric(k * n, left - k * n, need)
+            need, left = need - got, left - k * n
+            if k == 1:
+                also = got
+                single += got
+            else:
+                sizes = np.full(n, k)
+                single += [int((rng.multivariate_hypergeometric(sizes, int(x), method="marginals") == 1).sum()) if x else 0 for x in got]
+        return pd.DataFrame({"replicate": np.arange(replicates), "draw_unique": single, "also_unique": also})
 
     per = classes.groupBy("bucket").applyInPandas(bucket, "replicate int, draw_unique long, also_unique long")
     s = per.groupBy("replicate").agg(F.sum("draw_unique").alias("d"), F.sum("also_unique").alias("a")).where("d > 0").select((F.col("a") / F.col("d")).alias("s"))
@@ -56,45 +65,79 @@ def subsample_uniqueness(df: DataFrame, fields: Sequence[str], fraction: float,
     return out.withColumn("status", F.when(F.col("usable_replicates") < 30, "too_few_usable_replicates").otherwise("estimated"))
 
 
-def subsample_md5(df: DataFrame, fields: Sequence[str], row_key: Sequence[str], fraction: float, replicates: int) -> DataFrame:
-    """The same share with each record drawn independently by an md5 uniform, per replicate."""
-    k = score_k(df, fields)
-    reps = k.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = reps.where(md5_uniform(F.col("replicate").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in row_key]) < fraction)
-    per = drawn.groupBy("replicate", *fields).agg(F.count("*").alias("n"), F.max("k").alias("k")).where("n = 1")
-    return per.groupBy("replicate").agg(F.count("*").alias("draw_unique"), F.count_if(F.col("k") == 1).alias("also_unique"))
+def text_key(fields: Sequence[str]) -> Column:
+    """Fields as one text, nulls as one literal value; numbers must be whole."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in fields])
+
+
+def subsample_md5(df: DataFrame, fields: Sequence[str], fraction: float, replicates: int = 30, seed: int = SEED) -> DataFrame:
+    """(replicate, draw_unique, also_unique) when each record is drawn by itself with the given chance: md5 uniforms of the seed, the replicate,
+    the class and the record's number in it, so other engines draw alike. Linear in records times replicates."""
+    classes = equivalence_classes(df, fields).select("k", F.md5(text_key(fields)).alias("class"))
+    each = classes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "k")))
+    hit = md5_uniform(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("class"), F.col("i").cast("string")) < fraction
+    n = each.where(hit).groupBy("replicate", "class").agg(F.count("*").alias("n"), F.max("k").alias("k")).where("n = 1")
+    return n.groupBy("replicate").agg(F.count("*").alias("draw_unique"), F.count_if(F.col("k") == 1).alias("also_unique"))
+
+
+def _lgamma(x: np.ndarray | float) -> np.ndarray:
+    return np.reshape([math.lgamma(v) for v in np.ravel(x)], np.shape(x))
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+# Where the search begins, and what a fit at the edge is.
+GRID = (np.linspace(math.log(0.03), math.log(30), 28), np.linspace(math.log(0.01), math.log(100), 32))
+SMALLEST_SHAPE, SMALLEST_RATE, LARGEST_RATE = 1e-4, 1e-5, 1e5
 
 
-def _log_likelihood(log_shape: float, log_rate: float, x: np.ndarray, f: np.ndarray, c: float) -> float:
-    a, b = math.exp(log_shape), math.exp(log_rate)
-    zero = (b / (b + c)) ** a
-    if not 0 <= zero < 1 or 1 - zero < 1e-14:
-        return -math.inf
-    each = _lgamma(x + a) - math.lgamma(a) - _lgamma(x + 1) + a * math.log(b / (b + c)) + x * math.log(c / (b + c)) - math.log1p(-zero)
-    return float((f * each).sum())
+def truncated_likelihood(points: np.ndarray, x: np.ndarray, f: np.ndarray, c: float) -> np.ndarray:
+    """Log-likelihood of sizes x with frequencies f at each point (log shape, log rate): counts are negative binomial, and no class is empty."""
+    shape, rate = np.exp(points[:, :1]), np.exp(points[:, 1:])
+    odds = np.log1p(c / rate)  # minus the log chance of rate / (rate + c)
+    seen = -np.expm1(-shape * odds)
+    with np.errstate(all="ignore"):
+        ways = _lgamma(shape + x) - _lgamma(shape) - _lgamma(x + 1.0)
+        each = ways - shape * odds + x * np.log(c / (rate + c)) - np.log(seen)
+        return np.where(seen[:, 0] > 1e-14, each @ f, -np.inf)
+
+
+def _uphill(score, at: np.ndarray, limit: float = 40.0, h: float = 1e-3) -> np.ndarray:
+    """A maximum near `at` by damped Newton steps on finite differences; steps no longer than 2, ended `limit` away or when nothing gains."""
+    star = h * np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)], float)
+    damp, begin = 1.0, at.copy()
+    for _ in range(400):
+        v = score(at + star)
+        if not np.isfinite(v).all():
+            break
+        slope = np.array([v[1] - v[2], v[3] - v[4]]) / (2 * h)
+        cross = (v[5] + v[6] - v[7] - v[8]) / (4 * h * h)
+        bend = np.array([[v[1] + v[2] - 2 * v[0], 0], [0, v[3] + v[4] - 2 * v[0]]]) / (h * h) + cross * np.array([[0, 1], [1, 0]])
+        while damp < 1e12:
+            values, axes = np.linalg.eigh(-bend)
+            step = axes @ ((axes.T @ slope) / (np.abs(values) + damp * max(1e-6, float(np.abs(values).max()))))
+            step *= min(1.0, 2.0 / max(float(np.hypot(*step)), 1e-300))
+            if score((at + step)[None, :])[0] > v[0]:
+                break
+            damp *= 8
+        else:
+            break
+        at, damp = at + step, max(damp / 8, 1e-9)
+        if np.hypot(*step) < 1e-8 or np.hypot(*(at - begin)) > limit:
+            break
+    return at
 
 
 def fit_gamma_poisson(sizes: np.ndarray, frequencies: np.ndarray, coverage: float) -> dict:
-    """Zero-truncated gamma-Poisson fit to a histogram of class sizes: a grid, then a pattern search with halving steps."""
+    """Zero-truncated gamma-Poisson fit to a histogram of class sizes: the best point of a grid, then uphill from it."""
+    x, f = np.asarray(sizes, float), np.asarray(frequencies, float)
     if not 0 < coverage < 1:
         raise ValueError("coverage must lie strictly between 0 and 1")
-    x, f = np.asarray(sizes, float), np.asarray(frequencies, float)
-    grid = [(_log_likelihood(s, r, x, f, coverage), s, r) for s in np.linspace(math.log(0.03), math.log(30), 28) for r in np.linspace(math.log(0.01), math.log(100), 32)]
-    best, s, r = max(grid, key=lambda g: g[0])
-    step, rounds = 0.5, 0
-    while step >= 1e-6 and rounds < 80:
-        moved = False
-        for ds, dr in ((step, 0), (-step, 0), (0, step), (0, -step)):
-            if (new := _log_likelihood(s + ds, r + dr, x, f, coverage)) > best:
-                best, s, r, moved = new, s + ds, r + dr, True
-        step = step if moved else step / 2
-        rounds += 1
-    shape, rate = math.exp(s), math.exp(r)
-    edge = shape < 1e-4 or rate < 1e-5 or rate > 1e5
-    p = None if edge else ((rate + coverage) / (rate + 1)) ** (shape + 1)
+    if f.sum() < 2 or (x < 1).any():
+        raise ValueError("two or more classes of positive size are needed")
+    grid = np.stack(np.meshgrid(*GRID, indexing="ij"), axis=-1).reshape(-1, 2)
+    score = lambda points: truncated_likelihood(points, x, f, coverage)
+    shape, rate = (float(v) for v in np.exp(_uphill(score, grid[int(np.argmax(score(grid)))])))
+    edge = shape < SMALLEST_SHAPE or not SMALLEST_RATE <= rate <= LARGEST_RATE
+    p = None if edge else math.exp((shape + 1) * math.log((rate + coverage) / (rate + 1)))
     ones = int(f[x == 1].sum())
     return {"coverage_fraction": coverage, "observed_equivalence_classes": int(f.sum()), "sample_unique_records": ones, "gamma_shape": shape, "gamma_rate": rate, "population_unique_probability": p, "estimated_population_unique_records": None if p is None else ones * p, "fit_status": "boundary_fit_not_reportable" if edge else "estimated"}
 
@@ -106,20 +149,34 @@ def gamma_poisson(distribution: DataFrame, coverages: Sequence[float] = (0.1, 0.
     return rows.groupBy("coverage").applyInPandas(fit, "coverage_fraction double, observed_equivalence_classes long, sample_unique_records long, gamma_shape double, gamma_rate double, population_unique_probability double, estimated_population_unique_records double, fit_status string")
 
 
+CELLS = 1024
+
+
+def marginal(df: DataFrame, field: str) -> DataFrame:
+    """(field, lo, hi, total): each distinct value's range among the df's records, in order of two digits of its md5 and then of the value.
+
+    The ranges are prefix sums: over the 256 totals of the digits, and over the values inside each.
+    """
+    h = df.groupBy(field).agg(F.count("*").alias("c")).withColumn("part", F.substring(F.md5(text_key([field])), 1, 2))
+    parts = h.groupBy("part").agg(F.sum("c").alias("all"))  # 256 rows
+    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"), F.sum("all").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("c").over(Window.partitionBy("part").orderBy(F.col(field).asc_nulls_first()))
+    h = h.withColumn("inside", inside).join(F.broadcast(parts), "part")
+    return h.select(F.col(field), (F.col("before") + F.col("inside") - F.col("c")).alias("lo"), (F.col("before") + F.col("inside")).alias("hi"), "total")
+
+
 def synthetic_auxiliary(df: DataFrame, fields: Sequence[str], n: int, seed: int = SEED) -> DataFrame:
-    """n records whose fields are drawn independently from their marginals (nulls are values): cumulative histograms on Spark,
-    md5 uniforms, and an equi-join on the drawn position's range through a sorted lookup of each field's histogram."""
+    """n records whose fields are drawn independently from their marginals (nulls are values): prefix sums on Spark,
+    md5 uniforms, and an equi-join of the drawn position with the ranges' cells. Numbers must be whole."""
     out = df.sparkSession.range(n).withColumnRenamed("id", "record")
+    total = df.count()
+    step = max(1, -(-total // CELLS))
     for f in fields:
-        order = Window.orderBy(F.col(f).cast("string").asc_nulls_first())  # one row a distinct value
-        h = df.groupBy(f).agg(F.count("*").alias("c")).withColumn("hi", F.sum("c").over(order)).withColumn("total", F.sum("c").over(Window.partitionBy()))
-        h = h.select(F.col(f), (F.col("hi") - F.col("c")).alias("lo"), "hi", "total")
-        step = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("total") / 1024).cast("long"))
-        cells = h.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
-        total = df.agg(F.count("*").alias("total"))
+        cells = marginal(df, f).drop("total").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
         u = md5_uniform(F.lit(str(seed)), F.lit(f), F.col("record").cast("string"))
-        drawn = out.crossJoin(F.broadcast(total)).withColumn("at", F.floor(u * F.col("total"))).withColumn("cell", F.floor(F.col("at") / step)).drop("total")  # total: one row
-        out = drawn.join(cells.drop("total"), "cell").where("at >= lo and at < hi").drop("cell", "at", "lo", "hi")
+        drawn = out.withColumn("at", F.floor(u * F.lit(total))).withColumn("cell", F.floor(F.col("at") / step))
+        out = drawn.join(cells, "cell").where("at >= lo and at < hi").drop("cell", "at", "lo", "hi")
     return out
 
 
@@ -142,19 +199,18 @@ def permutation_counts(df: DataFrame) -> DataFrame:
     return coded.groupBy("census_tract", "cell", "pair", "who").agg(F.sum("n").alias("n"))
 
 
-def permutation_null(df: DataFrame, iterations: int = 1000, seed: int = SEED) -> DataFrame:
-    """Ratio of uniqueness rates when (race, ethnicity) labels are shuffled inside each tract; one row.
+def _permuted(base: DataFrame, by: list[str], iterations: int, seed: int) -> DataFrame:
+    """(by, r, o): ratios of uniqueness rates of shuffled labels, a row for each iteration, and the observed one.
 
     A shuffled tract is a table of cells by pairs with the observed margins, so it is drawn as one (multivariate hypergeometric) from the
     tract's counts. A task gets a tract's counts, whatever its records, for a block of iterations with a seed of its own.
     """
-    base = permutation_counts(df)
 
     def tract(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cells = pdf.groupby("cell")["n"].sum().sort_index().to_numpy()
         pairs = pdf.groupby("pair").agg(n=("n", "sum"), who=("who", "first")).sort_index()
         size = min(BLOCK, iterations - key[1] * BLOCK)
-        rng = np.random.default_rng(_key_seed(seed, *key))
+        rng = np.random.default_rng(_key_seed(seed, *key[:2]))
         left = np.tile(pairs["n"].to_numpy(), (size, 1))
         out = np.zeros((size, 3), np.int64)
         for c in cells:
@@ -165,33 +221,57 @@ def permutation_null(df: DataFrame, iterations: int = 1000, seed: int = SEED) ->
                 left[:, j] -= got
                 need = need - got
                 out[:, w] += got == 1
-        return pd.DataFrame({"iteration": key[1] * BLOCK + np.arange(size), "ub": out[:, 1], "uw": out[:, 2]})
+        own = dict(zip(by, key[2:], strict=True))
+        return pd.DataFrame({**own, "iteration": key[1] * BLOCK + np.arange(size), "ub": out[:, 1], "uw": out[:, 2]})
 
+    kinds = "".join(f"{c} {base.schema[c].dataType.simpleString()}, " for c in by)
     blocks = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK))))
-    sums = blocks.groupBy("census_tract", "block").applyInPandas(tract, "iteration int, ub long, uw long").groupBy("iteration").agg(F.sum("ub").alias("ub"), F.sum("uw").alias("uw"))
+    sums = blocks.groupBy("census_tract", "block", *by).applyInPandas(tract, f"{kinds}iteration int, ub long, uw long").groupBy(*by, "iteration").agg(F.sum("ub").alias("ub"), F.sum("uw").alias("uw"))
     n = lambda w: F.coalesce(F.sum(F.when(F.col("who") == w, F.col("n"))), F.lit(0).cast("long"))
     u = lambda w: F.count_if((F.col("who") == w) & (F.col("n") == 1))
-    seen = base.agg(n(1).alias("nb"), n(2).alias("nw"), u(1).alias("ob"), u(2).alias("ow"))
+    seen = base.groupBy(*by).agg(n(1).alias("nb"), n(2).alias("nw"), u(1).alias("ob"), u(2).alias("ow"))
     ratio = lambda b, w: (F.col(b) / F.nullif(F.col("nb"), F.lit(0))) / F.nullif(F.col(w) / F.nullif(F.col("nw"), F.lit(0)), F.lit(0.0))
-    per = sums.crossJoin(seen).select(ratio("ub", "uw").alias("r"), ratio("ob", "ow").alias("o")).where("r is not null")  # seen: one row
-    mean = per.agg(F.mean("r").alias("m"))
-    return per.crossJoin(mean).agg(
+    both = sums.join(F.broadcast(seen), by) if by else sums.crossJoin(seen)  # seen: one row for each group
+    return both.select(*by, ratio("ub", "uw").alias("r"), ratio("ob", "ow").alias("o")).where("r is not null")
+
+
+def _null_summary(per: DataFrame, by: list[str]) -> DataFrame:
+    per = per.withColumn("m", F.mean("r").over(Window.partitionBy(*by)))  # rows: the iterations
+    return per.groupBy(*by).agg(
         F.round(F.max("o"), 9).alias("observed_ratio"), F.round(F.max("m"), 9).alias("null_mean"), F.round(F.stddev_samp("r"), 9).alias("null_sd"), F.round(F.percentile("r", F.lit(0.025)), 9).alias("null_low"),
         F.round(F.percentile("r", F.lit(0.975)), 9).alias("null_high"), F.round((F.count_if(F.abs(F.col("r") - F.col("m")) >= F.abs(F.col("o") - F.col("m"))) + 1) / (F.count("*") + 1), 9).alias("p_value"), F.count("*").alias("iterations"),
     )
 
 
-def bootstrap_ratio(tracts: DataFrame, replicates: int = 2000, seed: int = SEED) -> DataFrame:
-    """Percentile interval of the size-matched ratio over resampled tracts: each tract draws its md5 uniforms' Poisson weights per replicate."""
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sums = np.zeros((replicates, 4))
-            for t in pdf.itertuples():
-                w = np.random.default_rng(_key_seed(seed, t.census_tract)).poisson(1.0, replicates)
-                sums += w[:, None] * np.array([t.nb, t.nw, t.ub, t.uw])
-            yield pd.DataFrame({"replicate": np.arange(replicates), **{c: sums[:, i].astype(np.int64) for i, c in enumerate(("nb", "nw", "ub", "uw"))}})
+def permutation_null(df: DataFrame, iterations: int = 1000, seed: int = SEED) -> DataFrame:
+    """Ratio of uniqueness rates when (race, ethnicity) labels are shuffled inside each tract; one row."""
+    return _null_summary(_permuted(permutation_counts(df), [], iterations, seed), [])
+
+
+def holm(df: DataFrame, p: str = "p_value") -> DataFrame:
+    """Add holm_p_value: p-values of a family of few tests, each times the number of those not smaller, never below a smaller one's, at most 1."""
+    everything, order = Window.partitionBy(), Window.orderBy(p)  # a few rows
+    times = F.col(p) * (F.count("*").over(everything) - F.row_number().over(order) + 1)
+    return df.withColumn("times", times).withColumn("holm_p_value", F.round(F.least(F.lit(1.0), F.max("times").over(Window.orderBy(p, "times"))), 9)).drop("times")
+
+
+def quintile_permutation(df: DataFrame, quintiles: DataFrame, iterations: int = 1000, seed: int = SEED) -> DataFrame:
+    """The permutation null in each tract quintile (census_tract, quintile), with p-values adjusted by Holm. Tracts without a quintile are out."""
+    base = permutation_counts(df).join(small_table(quintiles.select("census_tract", "quintile"), "quintiles"), "census_tract")
+    return holm(_null_summary(_permuted(base, ["quintile"], iterations, seed), ["quintile"]))
+
+
+def _poisson_steps(top: int = 12) -> list[float]:
+    """Chances that a Poisson count of mean 1 is at most 0, 1, ..."""
+    return [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(top)]
 
-    s = tracts.mapInPandas(weigh, "replicate int, nb long, nw long, ub long, uw long").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("nb", "nw", "ub", "uw")])
+
+def bootstrap_ratio(tracts: DataFrame, replicates: int = 2000, seed: int = SEED) -> DataFrame:
+    """Percentile interval of the size-matched ratio over resampled tracts: in each replicate a tract comes as often as a Poisson count of mean 1, from its md5 uniform."""
+    u = md5_uniform(F.lit(str(seed)), F.col("census_tract"), F.col("replicate").cast("string"))
+    weight = reduce(Column.__add__, [(u >= F.lit(p)).cast("int") for p in _poisson_steps()])
+    drawn = tracts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight).where("w > 0")
+    s = drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("nb", "nw", "ub", "uw")])
     r = s.where("nb > 0 and nw > 0 and uw > 0").select((F.col("ub") / F.col("nb") / (F.col("uw") / F.col("nw"))).alias("r"))
     return r.agg(F.round(F.percentile("r", F.lit(0.025)), 9).alias("ratio_ci_low"), F.round(F.percentile("r", F.lit(0.975)), 9).alias("ratio_ci_high"), F.count("*").alias("usable_replicates"))
 
@@ -208,85 +288,136 @@ CONTINUOUS = ("protected_income", "protected_loan_amount")
 MAX_COLUMNS = 2000
 
 
-def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float = 1e-8) -> DataFrame:
-    """Logistic model of denial on race and covariates by iteratively reweighted least squares; one row.
+_FIT = "status string, record_count long, reference_n long, comparison_n long, reference_denial_rate double, comparison_denial_rate double, adjusted_log_odds_coefficient double, adjusted_odds_ratio double, odds_ratio_ci_low double, odds_ratio_ci_high double, average_marginal_effect_points double, converged boolean, iterations int"
+#: Cells that one task sums up; designs are laid out so many rows at a time.
+FIT_CELLS, FIT_ROWS = 20_000, 2_000
+
 
-    Records collapse to covariate cells with counts first. Each pass sums the weighted cross products of cells inside tasks and then
-    row by row on Spark; one matrix of at most MAX_COLUMNS columns reaches the driver, wider designs get a status instead.
+def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float = 1e-8, by: str = "configuration", names: Sequence[str] = ()) -> DataFrame:
+    """Logistic models of denial on race and covariates by iteratively reweighted least squares; a row for each value of `by`, which is added if
+    missing, and for each of `names`, which may have no rows.
+
+    Records (or cells with a count n) collapse to covariate cells first, which are written with the places of their dummies. All models that haven't converged take a step in one
+    job: tasks sum the weighted cross products of their cells, Spark adds them up row by row, and one matrix of at most MAX_COLUMNS
+    columns for each model reaches the driver. Wider designs get a status instead.
     """
     spark = rows.sparkSession
-    cells = rows.groupBy("is_black", *CONTINUOUS, *CATEGORICAL).agg(F.count("*").alias("n"), F.sum("is_denied").alias("d"))
-    logs = [F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in CONTINUOUS]
-    cells = cells.select("is_black", "n", "d", *[v.alias(c) for v, c in zip(logs, CONTINUOUS, strict=True)], *[F.coalesce(c, F.lit("Missing")).alias(c) for c in CATEGORICAL]).cache()
-    side = {r["is_black"]: r for r in cells.groupBy("is_black").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}
-    n0, n1 = (int(side[i]["n"]) if i in side else 0 for i in (0, 1))
-    base = {"record_count": n0 + n1, "reference_n": n0, "comparison_n": n1, "reference_denial_rate": side[0]["d"] / n0 if n0 else None, "comparison_denial_rate": side[1]["d"] / n1 if n1 else None}
-    schema = "status string, record_count long, reference_n long, comparison_n long, reference_denial_rate double, comparison_denial_rate double, adjusted_log_odds_coefficient double, adjusted_odds_ratio double, odds_ratio_ci_low double, odds_ratio_ci_high double, average_marginal_effect_points double, converged boolean, iterations int"
-    row = lambda status, *rest: spark.createDataFrame([(status, *base.values(), *(rest or (None,) * 5 + (False, 0)))], schema)
-    if n0 < 2 or n1 < 2:
-        return row("insufficient_retained_comparison")
-    medians = cells.agg(*[F.percentile(c, F.lit(0.5), F.col("n")).alias(c) for c in CONTINUOUS]).first()
-    cells = cells.fillna({c: float(medians[c] or 0.0) for c in CONTINUOUS})
-    moments = cells.agg(*[e for c in CONTINUOUS for e in ((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m_{c}"), (F.sum(F.col(c) * F.col(c) * F.col("n")) / F.sum("n")).alias(f"q_{c}"))]).first()
-    centre = [(moments[f"m_{c}"], math.sqrt(max(moments[f"q_{c}"] - moments[f"m_{c}"] ** 2, 0.0))) for c in CONTINUOUS]
-    levels = {c: sorted(r[0] for r in cells.select(c).distinct().limit(MAX_COLUMNS + 2).collect()) for c in CATEGORICAL}
-    place, at = {}, 2
-    use = [i for i, (_, sd) in enumerate(centre) if sd > 1e-12]
-    at += len(use)
-    for c in CATEGORICAL:
-        for v in levels[c][1:]:
-            place[c, v], at = at, at + 1
-    if at > MAX_COLUMNS:
-        return row("too_many_columns")
-
-    def design(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.zeros((len(pdf), at))
-        x[:, 0], x[:, 1] = 1, pdf["is_black"]
-        for j, i in enumerate(use):
-            x[:, 2 + j] = (pdf[CONTINUOUS[i]] - centre[i][0]) / centre[i][1]
+    rows = rows if by in rows.columns else rows.withColumn(by, F.lit(""))
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    cells = rows.groupBy(by, "is_black", *CONTINUOUS, *CATEGORICAL).agg(F.sum(n).alias("n"), F.sum(F.col("is_denied") * n).alias("d"))
+    logs = [F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) for c in CONTINUOUS]
+    cells = _written(cells.select(F.col(by).alias("by"), "is_black", "n", "d", *logs, *[F.coalesce(c, F.lit("Missing")).alias(c) for c in CATEGORICAL]), "model-cells")
+
+    sides = {(r["by"], r["is_black"]): r for r in cells.groupBy("by", "is_black").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}  # two rows a model
+    facts, out = {}, []
+    for name in sorted({k for k, _ in sides} | set(names)):
+        of = [sides.get((name, i)) for i in (0, 1)]
+        n0, n1 = (int(x["n"]) if x else 0 for x in of)
+        facts[name] = (n0 + n1, n0, n1, *(float(x["d"]) / x["n"] if x else None for x in of))
+
+    def row(name: str, status: str, rest: tuple = (None, None, None, None, None, False, 0)) -> None:
+        out.append((name, status, *facts[name], *rest))
+
+    values = cells.select("by", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in CATEGORICAL])).alias("x")).select("by", "x.field", "x.value").distinct()
+    values = _written(values, "model-levels")
+    count = {(r["by"], r["field"]): r["n"] for r in values.groupBy("by", "field").agg(F.count("*").alias("n")).collect()}
+    medians = cells.groupBy("by").agg(*[F.percentile(c, F.lit(0.5), F.col("n")).alias(f"m_{c}") for c in CONTINUOUS])
+    filled = cells.join(F.broadcast(medians), "by").select(*[c for c in cells.columns if c not in CONTINUOUS], *[F.coalesce(c, f"m_{c}", F.lit(0.0)).alias(c) for c in CONTINUOUS])  # a row for each model
+    mean = lambda e: F.sum(e * F.col("n")) / F.sum("n")
+    moments = {r["by"]: r for r in filled.groupBy("by").agg(*[e for c in CONTINUOUS for e in (mean(F.col(c)).alias(f"m_{c}"), mean(F.col(c) * F.col(c)).alias(f"q_{c}"))]).collect()}
+
+    width, scale = {}, {}
+    for name, fact in facts.items():
+        if min(fact[1:3]) < 2:
+            row(name, "insufficient_retained_comparison")
+            continue
+        spread = [(moments[name][f"m_{c}"], math.sqrt(max(moments[name][f"q_{c}"] - moments[name][f"m_{c}"] ** 2, 0.0))) for c in CONTINUOUS]
+        wide = 2 + sum(sd > 1e-12 for _, sd in spread) + sum(count[name, c] - 1 for c in CATEGORICAL)
+        if wide > MAX_COLUMNS:
+            row(name, "too_many_columns")
+        else:
+            width[name], scale[name] = wide, spread
+    levels: dict = {}
+    for r in values.where(F.col("by").isin(list(width))).collect():  # MAX_COLUMNS rows a model at most
+        levels.setdefault((r["by"], r["field"]), []).append(r["value"])
+    place = {}
+    for name in width:
+        at = 2 + sum(sd > 1e-12 for _, sd in scale[name])
         for c in CATEGORICAL:
-            spot = pdf[c].map({v: place.get((c, v), -1) for v in levels[c]}).to_numpy()
-            hit = np.flatnonzero(spot >= 0)
-            x[hit, spot[hit]] = 1
-        return x
+            for v in sorted(levels[name, c])[1:]:
+                place[name, c, v], at = at, at + 1
 
-    def sums(beta: np.ndarray):
+    def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [[(a - m) / sd for a, (m, sd) in zip(row, scale[name], strict=True) if sd > 1e-12] for name, row in zip(pdf["by"], pdf[list(CONTINUOUS)].to_numpy(), strict=True)]
+            spots = [[place[k] for c, v in zip(CATEGORICAL, row, strict=True) if (k := (name, c, v)) in place] for name, row in zip(pdf["by"], pdf[list(CATEGORICAL)].to_numpy(), strict=True)]
+            yield pd.DataFrame({"by": pdf["by"], "is_black": pdf["is_black"], "n": pdf["n"], "d": pdf["d"], "x": x, "spots": spots})
+
+    tasks = max(1, -(-filled.where(F.col("by").isin(list(width))).count() // FIT_CELLS))
+    ready = filled.where(F.col("by").isin(list(width))).repartition(tasks).mapInPandas(laid_out, "by string, is_black int, n long, d long, x array<double>, spots array<int>")
+    ready = _written(ready, "model-rows")
+    ready = ready.coalesce(1) if tasks == 1 else ready
+
+    def sums(beta: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            h, g, m = np.zeros((at, at)), np.zeros(at), 0.0
+            total = {k: [np.zeros((len(v), len(v))), np.zeros(len(v)), 0.0] for k, v in beta.items()}
+            seen = set()
             for pdf in batches:
-                x, n = design(pdf), pdf["n"].to_numpy(float)
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                w = n * np.maximum(p * (1 - p), 1e-9)
-                h += (x.T * w) @ x
-                g += x.T @ (pdf["d"].to_numpy(float) - n * p)
-                m += float((n * p * (1 - p)).sum())
-            yield pd.DataFrame({"i": np.arange(at), "h": list(h), "g": g, "m": m})
+                for name, own in pdf.groupby("by"):
+                    seen.add(name)
+                    h, g, _ = total[name]
+                    for a in range(0, len(own), FIT_ROWS):
+                        part = own.iloc[a : a + FIT_ROWS]
+                        x = np.zeros((len(part), len(g)))
+                        x[:, 0], x[:, 1] = 1, part["is_black"]
+                        numbers = np.stack(part["x"].to_list())
+                        x[:, 2 : 2 + numbers.shape[1]] = numbers
+                        spots = part["spots"].to_list()
+                        x[np.repeat(np.arange(len(part)), [len(s) for s in spots]), np.concatenate(spots).astype(np.int64)] = 1
+                        w = part["n"].to_numpy(float)
+                        p = 1 / (1 + np.exp(-np.clip(x @ beta[name], -30, 30)))
+                        h += (x.T * (w * np.maximum(p * (1 - p), 1e-9))) @ x
+                        g += x.T @ (part["d"].to_numpy(float) - w * p)
+                        total[name][2] += float((w * p * (1 - p)).sum())
+            for name in sorted(seen):
+                h, g, m = total[name]
+                yield pd.DataFrame({"by": name, "i": np.arange(len(g), dtype=np.int32), "h": list(h), "g": g, "m": m})
 
         def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"i": [key[0]], "h": [np.sum(np.stack(pdf["h"].to_list()), axis=0)], "g": [pdf["g"].sum()], "m": [pdf["m"].sum()]})
-
-        shape = "i int, h array<double>, g double, m double"
-        h, g, m = np.zeros((at, at)), np.zeros(at), 0.0
-        for r in cells.mapInPandas(run, shape).groupBy("i").applyInPandas(add, shape).collect():  # a row for each column
-            h[r["i"]], g[r["i"]] = r["h"], r["g"]
-            m = r["m"] if r["i"] == 0 else m
-        return h, g, m
-
-    beta, ridge = np.zeros(at), np.eye(at) * 1e-8
-    ridge[0, 0] = 0
-    done = 0
-    for done in range(1, iterations + 1):
-        h, g, _ = sums(beta)
-        step = np.linalg.pinv(h + ridge) @ (g - ridge @ beta)
-        beta = beta + step
-        if np.abs(step).max() < tolerance:
+            return pd.DataFrame({"by": [key[0]], "i": [key[1]], "h": [np.sum(np.stack(pdf["h"].to_list()), axis=0)], "g": [pdf["g"].sum()], "m": [pdf["m"].sum()]})
+
+        shape = "by string, i int, h array<double>, g double, m double"
+        part = ready.where(F.col("by").isin(list(beta))).mapInPandas(run, shape)
+        found = {k: [np.zeros((len(v), len(v))), np.zeros(len(v)), 0.0] for k, v in beta.items()}
+        for r in (part if tasks == 1 else part.groupBy("by", "i").applyInPandas(add, shape)).collect():  # a row for each column of each model
+            f = found[r["by"]]
+            f[0][r["i"]], f[1][r["i"]], f[2] = r["h"], r["g"], r["m"]
+        return {k: tuple(v) for k, v in found.items()}
+
+    def ridge(p: int) -> np.ndarray:
+        return np.diag([0.0] + [1e-8] * (p - 1))
+
+    beta = {k: np.zeros(p) for k, p in width.items()}
+    took, converged = {}, {}
+    for k in range(1, iterations + 1):
+        if not (open_ := [x for x in beta if not converged.get(x)]):
             break
-    converged = bool(np.abs(step).max() < tolerance)
-    h, _, m = sums(beta)
-    se = math.sqrt(max(np.linalg.pinv(h + ridge)[1, 1], 0))
-    b = float(beta[1])
+        for name, (h, g, _) in sums({x: beta[x] for x in open_}).items():
+            r = ridge(width[name])
+            step = np.linalg.pinv(h + r) @ (g - r @ beta[name])
+            beta[name], took[name], converged[name] = beta[name] + step, k, bool(np.abs(step).max() < tolerance)
     e = lambda v: float(np.exp(np.clip(v, -700, 700)))
-    return row("estimated" if converged else "maximum_iterations_reached", b, e(b), e(b - 1.96 * se), e(b + 1.96 * se), 100 * b * m / (n0 + n1), converged, done)
+    for name, (h, _, m) in (sums(beta) if beta else {}).items():
+        b, se = float(beta[name][1]), math.sqrt(max(np.linalg.pinv(h + ridge(width[name]))[1, 1], 0))
+        row(name, "estimated" if converged[name] else "maximum_iterations_reached", (b, e(b), e(b - 1.96 * se), e(b + 1.96 * se), 100 * b * m / facts[name][0], converged[name], took[name]))
+    return spark.createDataFrame(sorted(out), f"{by} string, {_FIT}")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what reads it many times."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def noised_counts(counts: DataFrame, column: str, epsilon: float, key: Sequence[str], sensitivity: float = 1.0, seed: int = SEED) -> DataFrame:

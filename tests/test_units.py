@@ -1,3 +1,5 @@
+import hashlib
+import pathlib
 from collections import Counter
 from datetime import UTC, datetime
 
@@ -6,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark import classes as C
+from riskspark import density as D
 from riskspark import governance as G
+from riskspark import io
 from riskspark import measures as M
 from riskspark import protection as P
 from riskspark import stats
@@ -167,3 +171,66 @@ def test_release_risk_takes_all_quasi_identifiers(spark):
     assert set(INSTITUTION) <= set(queries.QUERIES["synthetic_auxiliary"](spark, sf).columns)
     classes = C.equivalence_classes(queries.load(spark, sf), INSTITUTION).count()
     assert {r.observed_equivalence_classes for r in queries.QUERIES["gamma_poisson_uniqueness"](spark, sf).collect()} == {classes}
+
+
+def test_gamma_poisson_needs_two_classes():
+    for sizes, counts in (([1], [1]), ([0, 1], [3, 3])):
+        with pytest.raises(ValueError):
+            stats.fit_gamma_poisson(sizes, counts, 0.5)
+
+
+def test_subsampling_draws_like_shuffled_records(spark):
+    k = [1] * 300 + [2] * 80 + [3] * 40 + [9] * 5
+    rows = [(f"c{i}",) for i, n in enumerate(k) for _ in range(n)]
+    got = stats.subsample_uniqueness(spark.createDataFrame(rows, "tract string"), ["tract"], 0.4, 400).first()
+    rng, owner, shares = np.random.default_rng(7), np.repeat(np.arange(len(k)), k), []
+    for _ in range(2000):
+        n = np.bincount(owner[rng.permutation(len(owner))[: round(0.4 * len(owner))]], minlength=len(k))
+        shares.append((n[:300] == 1).sum() / (n == 1).sum())
+    assert abs(got.mean_share - np.mean(shares)) < 5 * np.std(shares) / np.sqrt(350) and abs(got.sd_share / np.std(shares) - 1) < 0.25
+
+
+def test_holm(spark):
+    df = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5)], "quintile int, p_value double")
+    assert [r.holm_p_value for r in stats.holm(df).orderBy("quintile").collect()] == [0.04, 0.09, 0.09, 0.5]
+
+
+def test_schema_drift_and_finite(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, float("inf")), (4, float("-inf")), (5, None)], "record_count int, rate double")
+    assert [r.rate for r in G.finite(df).orderBy("record_count").collect()] == [0.5, None, None, None, None]
+    assert G.schema_drift(df, {"record_count": "public", "rate": "secret"}, ["public"]) == [("rate", "invalid")]
+    assert G.schema_drift(df, {"rate": "public"}, ["public"]) == [("record_count", "missing")]
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(str(2018 + i % 2), f"x{i}") for i in range(20)], "activity_year string, lei string")
+    assert io.slug("All Applications, TX!") == "all-applications-tx"
+    path = io.write_bronze(df, str(tmp_path), "All Applications")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        io.write_bronze(df, str(tmp_path), "all applications")
+    for r in io.manifest(spark, path, {"scope": "all"}).collect():
+        data = pathlib.Path(r.path.removeprefix("file:")).read_bytes()
+        assert (r.sha256, r.bytes, r.parameters) == (hashlib.sha256(data).hexdigest(), len(data), {"scope": "all"})
+    mart = spark.createDataFrame([("a", 5, 0.5), ("b", 50, float("nan")), ("c", 90, 0.25)], "configuration string, record_count long, rate double")
+    back = io.write_mart(mart, f"{tmp_path}/mart", [F.col("record_count").desc()])
+    assert [r.configuration for r in back.collect()] == ["c", "b", "a"]
+    assert {r.configuration: (r.record_count, r.rate, r.suppression_status) for r in back.collect()} == {"a": (None, None, "suppressed_minimum_cell"), "b": (50, None, None), "c": (90, 0.25, None)}
+
+
+def test_one_side_of_a_join(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5)], "k string, v int")
+    assert sorted(((r.k, r.rows) for r in D.repeated_keys(df, ["k"]).collect()), key=str) == [("a", 2), (None, 2)]
+    assert D.require_unique(df, ["k", "v"]) is df
+    with pytest.raises(ValueError):
+        D.require_unique(df, ["k"])
+
+
+def test_roll_up_equals_protection_of_records(spark):
+    from riskspark import queries
+
+    app = queries.load(spark, "/root/testdata/sf0.001")
+    for p, n in P.rolled(app, P.PROTECTIONS):
+        direct = C.k_distribution(C.equivalence_classes(P.protected(app, p), P.INSTITUTION))
+        again = n.groupBy("k").agg(F.sum("n").alias("records"))
+        assert sorted((r.k, r.records) for r in direct.collect()) == sorted((r.k, r.records) for r in again.collect())
+    assert P.nests(P.PROTECTIONS[2], P.PROTECTIONS[3]) and not P.nests(P.PROTECTIONS[3], P.PROTECTIONS[2])
