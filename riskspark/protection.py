@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskspark.classes import equivalence_classes, risk_summary, score_k, share
 from riskspark.config import BLACK, DECISIONS, DENIALS, INSTITUTION, MIN_CELL, NON_HISPANIC, PROTECTIONS, UNSUPPRESSED, WHITE, ProtectionConfig
+from riskspark.shared import small_table
 
 PREFIX = {"tract": 11, "county": 5, "state": 2}
 #: z(1 - alpha/2) + z(power) for alpha 0.05 and power 0.8.
@@ -116,8 +117,9 @@ def _cond(where: Column, value: Column | None = None) -> Column:
 def frontier(cells: DataFrame, base: str = "cfpb_current", k_min: int = 5, minimum: int = MIN_CELL) -> DataFrame:
     """Privacy and utility of each suppressed configuration and of the unsuppressed base, the only current baseline.
 
-    Of the records in classes of k there are k for each class, so classes are counted from the cells.
+    Of the records in classes of k there are k for each class, so classes are counted from the cells, which are written once.
     """
+    cells = small_table(cells, "protection-cells")  # read twice
     sized = cells.groupBy("configuration", "k").agg(F.sum("record_count").alias("r"))
     n = F.sum("r")
     risk = sized.groupBy("configuration").agg(n.alias("record_count"), share(_cond(F.col("k") == 1, F.col("r")), n).alias("pre_suppression_uniqueness_rate"), share(F.sum(F.expr("r div k")), n).alias("pre_suppression_prosecutor_risk"), share(_cond(F.col("k") >= k_min, F.col("r")), n).alias("retained_share"))
