@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import broadcast_within, materialize, text_hash
+from riskspark.llm.common import materialize, text_hash
 
 ANCHOR = 32
 CHUNK = 1 << 20  # bytes of a text looked at together; positions inside fit the low bits of the minimizer keys
@@ -310,7 +310,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = 200) ->
     differing = materialize(classes.join(materialize(groups, "run-groups"), "mh"), "differing-runs")
 
     asked = differing.groupBy(F.col("one.doc_id").alias("fd"), F.col("one.th").alias("ft")).agg(F.collect_list(F.struct("mh", "sh", F.col("one.at").alias("at"), F.col("one.n").alias("n"))).alias("want"))  # one document's runs
-    asked = broadcast_within(materialize(asked, "asked-runs"), 64 + 40 * F.size("want"))
+    asked = materialize(asked, "asked-runs").hint("shuffle_hash")  # grows with the corpus: never broadcast
     texts = source.where("t is not null").join(asked, source["doc_id"].eqNullSafe(asked["fd"]) & source["th"].eqNullSafe(asked["ft"]))
     bodies = texts.select("t", "want").mapInArrow(_cut_runs(length), "mh long, sh long, body binary").dropDuplicates(["mh", "sh"])
     bodies = materialize(bodies, "run-bodies")
