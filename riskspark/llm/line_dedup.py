@@ -139,7 +139,8 @@ def keep_bitmaps(docs: DataFrame, text: str = "text", min_chars: int = 40, min_d
     """Add n_lines, n_dropped and keep_bitmap (zlib-compressed bits, one a line, 1: stays) to every document.
 
     Null and empty texts are one empty line, which stays. Repeated rows (same doc_id and text) get the same bitmap. An
-    empty input gives an empty result. Other columns stay; columns with the added names are replaced, `_ld_` is reserved.
+    empty input gives an empty result. A null doc_id is the smallest. Texts of any length are split whole. Other columns stay; columns with
+    the added names are replaced, `_ld_` is reserved.
     """
     docs = docs.drop("n_lines", "n_dropped", "keep_bitmap")
     drops = repeated_lines(docs, text, min_chars, min_docs).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_ld_pos"))  # at most a document's lines

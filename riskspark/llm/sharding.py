@@ -26,8 +26,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, order: tuple[str, ...] = ("
 
     Nulls in the order columns come first. Tied and repeated rows are told apart by a row number fixed when the sizes
     are written, so one key with a third of all rows is cut like any other run. An empty input gives an empty result.
-    All columns of the input are kept; clashing names are those of the caller's frame and stay as they are, but
-    columns called shard, slot or starting with `_ps_` are replaced.
+    All columns of the input are kept, whatever the length of their values, but columns called shard, slot or starting with `_ps_` are replaced.
     """
     docs = docs.drop("shard", "slot")
     keys = [*order, "_ps_row"]

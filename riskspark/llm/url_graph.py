@@ -82,7 +82,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     A page that a rule fits gets the rule's verdict. Otherwise its host decides: block if distrust / (trust + distrust), rounded
     to 9 digits, is over the threshold; hosts that nothing reaches are allowed. Hosts of allowed and blocked pages are the
     seeds, weighted by pages. Pages with null urls, or urls without ://, have an empty host and are allowed unless a rule says so.
-    Repeated rows are judged alike; an empty input gives an empty result.
+    Repeated rows are judged alike; null pages hold no links, html of any length is searched whole; an empty input gives an empty result.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust", "action")
     kept = pages.columns
