@@ -11,6 +11,8 @@ from riskspark.llm.common import ascii_lower, broadcast_within, materialize, tex
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Term lists intersected for a phrase, from the rarest on, before its other words are compared.
 LISTS = 2
+#: Terms of an item, from the rarest on, that a proximity match holds close together.
+NEAR_TERMS = 4
 _DOC = ["doc_id", "th"]
 
 
@@ -74,19 +76,45 @@ def phrase_matches(docs: DataFrame, index: DataFrame, terms: DataFrame, phrases:
     return near.select(*_DOC, F.sort_array(exact).alias("matches")).where("size(matches) > 0").dropDuplicates(_DOC)
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, queries: DataFrame, span: int) -> DataFrame:
-    """(query, doc_id, th, start): positions from which all of a query's terms occur within `span` words, in any order.
+def rarest_terms(items: DataFrame, index: DataFrame, terms: DataFrame, most: int = NEAR_TERMS) -> DataFrame:
+    """A proximity query for each item (item_id, w array<string>): (query, need, span, tid, nth), a row for each of its terms.
 
-    queries: (query, terms array<string>). A query with a term that isn't in the vocabulary has no match.
+    An item's terms are its `most` rarest distinct words among those that documents hold, by occurrences in the corpus and then by
+    code point; `need` is the number of terms, or of distinct words if there are fewer. The span is twice the item's words.
     """
-    asked = queries.select("query", F.size(F.array_distinct("terms")).alias("need"), F.explode(F.array_distinct("terms")).alias("term")).join(terms, "term")
-    lists = index.join(broadcast_within(asked), "tid").distinct()
-    within = Window.partitionBy("query", *_DOC).orderBy("pos").rangeBetween(0, span - 1)
-    return lists.withColumn("got", F.size(F.collect_set("tid").over(within))).where("got = need").select("query", *_DOC, F.col("pos").alias("start"))
+    frequency = index.where("tid >= 0").groupBy("tid").count()
+    word = items.select(F.struct("item_id", F.xxhash64("w").alias("h")).alias("query"), (F.size("w") * 2).alias("span"), F.array_distinct("w").alias("w")).distinct()
+    word = word.select("query", "span", F.least(F.size("w"), F.lit(most)).alias("need"), F.explode("w").alias("term")).join(terms, "term").join(frequency, "tid")
+    ranked = word.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("count", "term")) - 1).where(F.col("nth") < most)
+    return ranked.select("query", "need", "span", "tid", "nth")
+
+
+def proximity_matches(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, doc_id, th, start, width): for each query and document in which all terms of the query occur within its span of words,
+    in any order, the narrowest such place (the first of equals).
+
+    asked: (query, need, span, tid, nth), the terms of a query numbered from 0; one with fewer than `need` rows matches nothing. The
+    index must hold the terms. A document's positions are read once, in order, with the last place of each term at hand.
+    """
+    asked = materialize(asked, "asked")
+    lists = index.join(broadcast_within(asked, 160), "tid")
+    near = lists.groupBy("query", "need", "span", *_DOC).agg(F.sort_array(F.collect_set(F.struct(F.col("pos").cast("long").alias("pos"), "nth"))).alias("places"))  # bounded by the document's length
+    near = near.where(F.size(F.array_distinct(F.transform("places", lambda x: x["nth"]))) == F.col("need"))
+    nowhere = F.lit(-(2**40))
+
+    def step(a: Column, x: Column) -> Column:
+        seen = F.transform(a["seen"], lambda v, i: F.when(i == x["nth"], x["pos"]).otherwise(v))
+        width = x["pos"] - F.array_min(seen) + 1
+        better = width < a["width"]
+        return F.struct(seen.alias("seen"), F.when(better, width).otherwise(a["width"]).alias("width"), F.when(better, F.array_min(seen)).otherwise(a["start"]).alias("start"))
+
+    best = F.aggregate("places", F.struct(F.array_repeat(nowhere, F.col("need")).alias("seen"), F.lit(2**40).alias("width"), nowhere.alias("start")), step)
+    return near.withColumn("best", best).where("best.width <= span").select("query", *_DOC, "best.start", "best.width")
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", length: int = 10) -> DataFrame:
-    """One row for each row of docs: doc_id, th, n_words, n_hit, items (sorted item ids, as strings).
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", length: int = 10, proximity: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, th, n_words, n_hit, items (sorted item ids, as strings); with proximity also near, the
+    sorted ids of items whose rarest terms the document holds close together (rarest_terms, proximity_matches).
 
     A document word is hit if it lies inside an occurrence of one of the items' windows. Null and empty texts have no words.
     Rows alike in doc_id and text get the same result; th = xxhash64(text) tells other rows of one doc_id apart. A null doc_id is
@@ -110,4 +138,11 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", length:
     hits = hits.join(found, F.col("hd").eqNullSafe(F.col("id")) & F.col("ht").eqNullSafe(F.col("it"))).select("hd", "ht", "n_hit", "items")
     lengths = index.where("tid = -1").select(*_DOC, F.col("pos").cast("long").alias("n_words"))
     out = lengths.join(hits, _same_doc(lengths, hits, ("hd", "ht")), "left")
-    return out.select(*_DOC, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    none = F.array().cast("array<string>")
+    out = out.select(*_DOC, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    if not proximity:
+        return out
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).where("size(w) > 0")
+    near = proximity_matches(index, rarest_terms(words, index, terms))
+    near = near.groupBy(*_DOC).agg(F.sort_array(F.collect_set("query.item_id")).alias("near")).withColumnsRenamed({"doc_id": "nd", "th": "nt"})
+    return out.join(near, _same_doc(out, near, ("nd", "nt")), "left").select(*out.columns, F.coalesce("near", none).alias("near"))

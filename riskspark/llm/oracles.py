@@ -9,16 +9,25 @@ _LEADS = ", ".join(f"lead(word, {k}) over (partition by rid order by pos)" for k
 
 DECONTAMINATION = rf"""
 with d as materialized (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-i as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+i as (select row_number() over () as iid, item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 g as (select distinct item, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k+9], ' '))) as phrase from i where len(w) > 0),
 t as (select rid, unnest(w) as word, generate_subscripts(w, 1) as pos, len(w) as words from d),
 s as (select rid, pos, words, [word, {_LEADS}] as next from t),
 p as (select rid, pos, n, array_to_string(next[1:n], ' ') as phrase from s, (select distinct n from g) where pos + n - 1 <= words),
 m as materialized (select rid, pos, n, item from p join g using (n, phrase)),
 hit as (select rid, count(distinct spot) as n_hit from (select rid, unnest(range(pos, pos + n)) as spot from m) group by rid),
-found as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from m) group by rid)
-select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join hit using (rid) left join found using (rid)
+found as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from m) group by rid),
+r as (
+  select iid, item, word, 2 * len(w) as span, least(4, len(list_distinct(w))) as need from (select iid, item, w, unnest(list_distinct(w)) as word from i)
+  join (select word, count(*) as n from t group by word) using (word) qualify row_number() over (partition by iid order by n, word) <= 4),
+u as materialized (select iid, item, span, need, rid, pos, word from r join t using (word)),
+closer as (
+  select distinct a.rid, a.item from u a join u b on a.iid = b.iid and a.rid = b.rid and b.pos between a.pos and a.pos + a.span - 1
+  group by a.iid, a.item, a.rid, a.pos, a.need having count(distinct b.word) = a.need),
+near as (select rid, count(*) as n_near, string_agg(item, ',' order by item) as near_items from closer group by rid)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(n_near, 0) as n_near, coalesce(near_items, '') as near_items
+from d left join hit using (rid) left join found using (rid) left join near using (rid)
 """
 
 NEAR_DEDUP = rf"""

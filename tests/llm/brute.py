@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -34,6 +34,20 @@ def op1(docs, items, length=10):
     return out
 
 
+def near_items(docs, items, most=4):
+    texts = [(d, WORD.findall((t or "").translate(UP))) for d, t in docs]
+    count = Counter(w for _, t in texts for w in t)
+    out = {d: set() for d, _ in texts}
+    for item, text in items:
+        w = WORD.findall((text or "").translate(UP))
+        rare = sorted({x for x in w if x in count}, key=lambda x: (count[x], x.encode()))[:most]
+        if w and len(rare) == min(most, len(set(w))):
+            for d, t in texts:
+                if set(rare) <= set(t) and any(set(rare) <= set(t[i : i + 2 * len(w)]) for i, x in enumerate(t) if x in rare):
+                    out[d].add(str(item))
+    return {d: ",".join(sorted(x)) for d, x in out.items()}
+
+
 def op3(docs, length=200):
     data = [(d, (t or "").encode()) for d, t in docs]
     seen = defaultdict(int)

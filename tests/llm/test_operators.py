@@ -41,11 +41,18 @@ def test_op1_odd(spark, odd):
     assert all(r.n_hit == 0 for r in decontam.contamination(odd, items.where("false")).collect())
 
 
-def test_proximity(spark):
-    df = spark.createDataFrame([(1, "red x x green"), (2, "red x x x x green")], "doc_id long, text string")
-    terms = spark.createDataFrame([("red", 1), ("green", 2)], "term string, tid long")
-    near = decontam.proximity_matches(decontam.build_index(df, terms), terms, spark.createDataFrame([("q", ["red", "green"])], "query string, terms array<string>"), 4)
-    assert [(r.doc_id, r.start) for r in near.collect()] == [(1, 0)]
+def test_proximity(spark, docs):
+    texts = {1: "red x x green", 2: "red x x x x green", 3: "green red and red green", 4: "green green", 5: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame([("q", 2, 4, 1, 0), ("q", 2, 4, 2, 1), ("one", 2, 4, 1, 0)], "query string, need int, span int, tid long, nth int")
+    index = decontam.build_index(df.union(df.where("doc_id = 3")), spark.createDataFrame([("red", 1), ("green", 2)], "term string, tid long"))
+    assert rows(decontam.proximity_matches(index, asked), "query", "doc_id", "start", "width") == [("q", 1, 0, 4), ("q", 3, 0, 2)]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    got = {r.doc_id: r.near_items for r in queries.op1_decontamination(spark, SF).collect()}
+    assert got == brute.near_items(docs, items) and any(got.values())
+    mixed = spark.createDataFrame([(1, "zwei drei und eins vier fünf"), (2, "eins und und und und und und und und und und zwei drei vier fünf"), (None, "zwei drei eins vier fünf")], "doc_id long, text string")
+    found = decontam.contamination(mixed, spark.createDataFrame([("i", "eins zwei drei vier fünf"), ("j", None), ("k", "eins zehn")], "item_id string, text string"), proximity=True)
+    assert {r.doc_id: (r.n_hit, r.near) for r in found.collect()} == {1: (0, ["i"]), 2: (0, []), None: (0, ["i"])}
 
 
 def test_op2(spark, odd):
