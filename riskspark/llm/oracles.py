@@ -101,10 +101,27 @@ from ruled left join scores using (host)
 """
 
 
+def _centroids(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    near = """a{i} as materialized (select r, arg_min(c, d * {k} + c) as c, min(d) as d from (select r, c, sum((x - m) * (x - m)) as d from x join c{i} using (i) group by r, c) group by r)"""
+    mean = """c{j} as materialized (select c{i}.c, c{i}.i, case when n is null then m else (s - ((s % n) + n) % n) // n end as m from c{i} left join (select c, i, sum(x) as s, count(*) as n from a{i} join x using (r) group by c, i) using (c, i))"""
+    steps = ",\n".join(t.format(i=i, j=i + 1, k=k) for i in range(rounds) for t in (near, mean))
+    return f"""
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda e: floor({scale}e0 * e::double)::bigint) as e from embeddings
+ where len(embedding) = {dims} and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = {dims}),
+x as materialized (select r, unnest(e) as x, unnest(range({dims})) as i from v),
+c0 as materialized (select c, unnest(e) as m, unnest(range({dims})) as i from (select row_number() over (order by h, e) - 1 as c, e from (select sha256('{seed}:' || coalesce(vec_id::varchar, '')) as h, e from v order by h, e limit {k}))),
+{steps},
+{near.format(i=rounds, k=k)},
+z as (select c, sha256(string_agg(m::varchar, ',' order by i)) as centroid_sha256 from c{rounds} group by c)
+select vec_id, c::int as cluster, d::bigint as distance, sum(d) over (partition by c)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, centroid_sha256 from v join a{rounds} using (r) join z using (c)
+"""
+
+
 ORACLE_SQL = {
     "op1_decontamination": DECONTAMINATION,
     "op6_minmax_near_dedup": NEAR_DEDUP,
     "op7_line_dedup": LINE_DEDUP,
     "op8_byte_shards": SHARDING,
     "op9_host_trust": _trust(),
+    "op11_va_centroids": _centroids(),
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import decontam, langid, line_dedup, minhash, mixing, ogg, pii, sharding, suffix_dedup, url_graph
+from riskspark.llm import bpe, centroids, decontam, langid, line_dedup, minhash, mixing, ogg, periodic, pii, sharding, suffix_dedup, url_graph
 from riskspark.llm.common import table, text_hash
 from riskspark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -85,6 +85,30 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(F.filter(spans, lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans"))
 
 
+def op11_va_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, dims=64, scale=1024, seed=3).rows
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.made_periodic(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.find_runs(docs)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    found = found.withColumn("top", longest)
+    start, length, period = F.col("top.start").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.period").alias("period")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    exponent = F.expr("(1000 * -top.l) div top.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start, length, period, exponent, F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    n = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language_id": op2_language_id,
@@ -96,4 +120,7 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_host_trust": op9_host_trust,
     "op10_boosted_pii": op10_boosted_pii,
+    "op11_va_centroids": op11_va_centroids,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_bpe_automaton": op13_bpe_automaton,
 }
