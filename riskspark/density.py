@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.classes import equivalence_classes, score_k, share
+from riskspark.classes import equivalence_classes, share
 from riskspark.config import DEMO_GEO, MIN_CELL
+from riskspark.ranking import exact_percentile, ntile
 from riskspark.shared import small_table
 
 
 def tract_population(raw: DataFrame) -> DataFrame:
     """Exact median population of each tract."""
     rows = raw.select("census_tract", F.col("tract_population").try_cast("double").alias("p")).where("census_tract is not null and p is not null")
-    return rows.groupBy("census_tract").agg(F.percentile("p", F.lit(0.5)).alias("population"))
+    return exact_percentile(rows, ["census_tract"], "p", 0.5, "population")
 
 
 def population_conflicts(raw: DataFrame) -> DataFrame:
@@ -57,19 +58,20 @@ def tract_context(population: DataFrame, gaz: DataFrame) -> DataFrame:
 
 
 def release_density(app: DataFrame) -> DataFrame:
-    """Quintiles of tracts by applications; the window runs over one row a tract, ties by tract."""
+    """Quintiles of tracts by applications, ties by tract; ranked over ranges of tracts."""
     counts = app.where("census_tract is not null").groupBy("census_tract").agg(F.count("*").alias("application_count"))
-    return counts.withColumn("release_density_quintile", F.ntile(5).over(Window.orderBy("application_count", "census_tract")).cast("long"))
+    return ntile(counts, 5, ["application_count", "census_tract"], "release_density_quintile")
 
 
 def residential_density(context: DataFrame) -> DataFrame:
     valid = context.where("population_density_per_sqmi is not null and population_density_per_sqmi >= 0")
-    return valid.withColumn("residential_density_quintile", F.ntile(5).over(Window.orderBy("population_density_per_sqmi", "census_tract")).cast("long"))
+    return ntile(valid, 5, ["population_density_per_sqmi", "census_tract"], "residential_density_quintile")
 
 
 def _record_risk() -> list[Column]:
-    one = F.sum(F.when(F.col("k") == 1, 1).otherwise(0))
-    return [F.count("*").alias("record_count"), share(one, F.count("*")).alias("sample_uniqueness_rate"), F.round(F.sum(F.lit(1.0) / F.col("k")) / F.count("*"), 9).alias("prosecutor_expected_match_risk")]
+    """Risk of records from their classes: k records of risk 1/k each make one a class."""
+    n = F.sum("k")
+    return [n.alias("record_count"), share(F.count_if(F.col("k") == 1), n).alias("sample_uniqueness_rate"), F.round(share(F.count("*"), n), 9).alias("prosecutor_expected_match_risk")]
 
 
 def risk_by_release(app: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
@@ -88,7 +90,7 @@ def release_overall(by_cell: DataFrame) -> DataFrame:
 def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Cohorts and, as ALL, whole quintiles, in one pass of grouping sets."""
     q = small_table(residential_density(context).select("census_tract", "residential_density_quintile"), "residential-density")
-    scored = score_k(app.select(*DEMO_GEO), DEMO_GEO).join(q, "census_tract")
+    scored = equivalence_classes(app, DEMO_GEO).join(q, "census_tract")
     keys = [F.col("residential_density_quintile"), F.col("derived_race"), F.col("derived_ethnicity")]
     out = scored.groupingSets([keys, keys[:1]], *keys).agg(F.grouping_id().alias("gid"), *_record_risk()).where(F.col("record_count") >= minimum)
     label = lambda c: F.when(F.col("gid") > 0, "ALL").otherwise(F.col(c)).alias(c)
@@ -98,7 +100,7 @@ def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_C
 def risk_by_cross(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     a = small_table(residential_density(context).select("census_tract", "residential_density_quintile"), "residential-density")
     b = small_table(release_density(app).select("census_tract", "release_density_quintile"), "release-density")
-    out = score_k(app.select(*DEMO_GEO), DEMO_GEO).join(a, "census_tract").join(b, "census_tract").groupBy("residential_density_quintile", "release_density_quintile").agg(*_record_risk())
+    out = equivalence_classes(app, DEMO_GEO).join(a, "census_tract").join(b, "census_tract").groupBy("residential_density_quintile", "release_density_quintile").agg(*_record_risk())
     return out.where(F.col("record_count") >= minimum)
 
 

@@ -33,15 +33,15 @@ def diversity_summary(classes: DataFrame, l_threshold: int = 2, t_threshold: flo
         raise ValueError("t_threshold must lie between 0 and 1")
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("k")).otherwise(0)), F.lit(0).cast("long"))
     n, low, far = F.coalesce(F.sum("k"), F.lit(0).cast("long")), part(F.col("l_distinct") < l_threshold), part(F.col("t_total_variation") > t_threshold)
-    return classes.agg(n.alias("records"), low.alias("records_failing_l"), far.alias("records_failing_t"), F.coalesce(share(low, n), F.lit(0.0)).alias("share_failing_l"), F.coalesce(share(far, n), F.lit(0.0)).alias("share_failing_t"))
+    return classes.agg(n.alias("records"), F.lit(l_threshold).alias("l_threshold"), F.lit(float(t_threshold)).alias("t_threshold"), low.alias("records_failing_l"), far.alias("records_failing_t"), F.coalesce(share(low, n), F.lit(0.0)).alias("share_failing_l"), F.coalesce(share(far, n), F.lit(0.0)).alias("share_failing_t"))
 
 
 def score_demographic(df: DataFrame) -> DataFrame:
-    """k over tract, age, sex, race and ethnicity, n_group over tract, race and ethnicity; nulls are one literal value.
-    One exchange by the three keys serves both windows."""
+    """Classes over tract, age, sex, race and ethnicity with their records k, and n_group, the records of the tract, race and ethnicity; nulls are one
+    literal value. Records are counted before they are dealt, and a group's window holds a row for each age and sex, whatever its records."""
     keys = ("census_tract", "derived_race", "derived_ethnicity")
-    clean = df.select(*[F.coalesce(c, F.lit(MISSING)).alias(c) for c in DEMO_GEO]).repartition(*keys)
-    return clean.withColumn("k", F.count("*").over(Window.partitionBy(*keys, "applicant_age", "applicant_sex"))).withColumn("n_group", F.count("*").over(Window.partitionBy(*keys))).withColumn("is_unique", F.col("k") == 1)
+    clean = df.select(*[F.coalesce(c, F.lit(MISSING)).alias(c) for c in DEMO_GEO]).groupBy(*DEMO_GEO).agg(F.count("*").alias("k"))
+    return clean.withColumn("n_group", F.sum("k").over(Window.partitionBy(*keys))).withColumn("is_unique", F.col("k") == 1)
 
 
 def focal(scored: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def by_group_size(scored: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     one = F.sum(F.col("is_unique").cast("long"))
     rows = focal(scored).withColumn("group_size_bin", bin_)
     keys = [F.col("group_size_bin"), F.col("derived_race")]
-    out = rows.groupingSets([keys, keys[1:]], *keys).agg(F.grouping("group_size_bin").alias("all"), F.count("*").alias("record_count"), one.alias("unique_records"), share(one, F.count("*")).alias("sample_uniqueness_rate"))
+    out = rows.groupingSets([keys, keys[1:]], *keys).agg(F.grouping("group_size_bin").alias("all"), F.sum("k").alias("record_count"), one.alias("unique_records"), share(one, F.sum("k")).alias("sample_uniqueness_rate"))
     return out.where(F.col("record_count") >= minimum).select(F.when(F.col("all") == 1, "overall").otherwise(F.col("group_size_bin")).alias("group_size_bin"), "derived_race", "record_count", "unique_records", "sample_uniqueness_rate")
 
 
@@ -68,7 +68,7 @@ def matched_tracts(scored: DataFrame, tolerance: float = 1.2) -> DataFrame:
     """Tracts where both cohorts are present with sizes within the tolerance: sizes and uniques (nb, nw, ub, uw)."""
     of = lambda race, v: F.sum(F.when(F.col("derived_race") == race, v).otherwise(0))
     u = F.col("is_unique").cast("long")
-    t = focal(scored).groupBy("census_tract").agg(of(BLACK, F.lit(1)).alias("nb"), of(WHITE, F.lit(1)).alias("nw"), of(BLACK, u).alias("ub"), of(WHITE, u).alias("uw"))
+    t = focal(scored).groupBy("census_tract").agg(of(BLACK, F.col("k")).alias("nb"), of(WHITE, F.col("k")).alias("nw"), of(BLACK, u).alias("ub"), of(WHITE, u).alias("uw"))
     return t.where((F.col("nb") > 0) & (F.col("nw") > 0) & (F.greatest("nb", "nw") / F.least("nb", "nw") <= tolerance))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.classes import equivalence_classes, risk_summary, score_k, share
+from riskspark.classes import equivalence_classes, score_k, share
 from riskspark.config import BLACK, DECISIONS, DENIALS, INSTITUTION, MIN_CELL, NON_HISPANIC, PROTECTIONS, UNSUPPRESSED, WHITE, ProtectionConfig
 from riskspark.shared import small_table
 
@@ -45,7 +45,7 @@ def band_label(x: Column, width: float | None) -> Column:
 
 def protected(app: DataFrame, p: ProtectionConfig) -> DataFrame:
     """Protected columns in place; tract prefixes without padding, numbers by the low end of their band."""
-    out = app if p.geography == "tract" else app.withColumn("census_tract", F.lit("US") if p.geography == "national" else F.substring("census_tract", 1, PREFIX[p.geography]))
+    out = app if p.geography == "tract" else app.withColumn("census_tract", F.when(F.col("census_tract").isNotNull(), "US") if p.geography == "national" else F.substring("census_tract", 1, PREFIX[p.geography]))
     return out.withColumns({c: F.floor(F.col(c) / w).cast("double") * F.lit(float(w)) for c, w in p.bands.items()})
 
 
@@ -58,7 +58,9 @@ def apply_protection(df: DataFrame, p: ProtectionConfig, fields: Sequence[str] =
         out = out.withColumn(c, band_label(F.col(c), w)) if c in fields else out
     if p.suppress_k_below is None:
         return out
-    return score_k(out, fields).where(F.col("k") >= p.suppress_k_below).drop("k")
+    # the classes to suppress hold few records each, so no key of theirs is hot; the others' rows can be split in the join
+    small = equivalence_classes(out, fields).where(F.col("k") < p.suppress_k_below).select(*[F.col(f).alias(f"_{i}") for i, f in enumerate(fields)])
+    return out.join(small, reduce(Column.__and__, [F.col(f).eqNullSafe(F.col(f"_{i}")) for i, f in enumerate(fields)]), "left_anti")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -74,34 +76,52 @@ def nests(inner: ProtectionConfig, outer: ProtectionConfig) -> bool:
     return LEVELS.index(inner.geography) <= LEVELS.index(outer.geography) and bands
 
 
-def rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION) -> list[tuple[ProtectionConfig, DataFrame]]:
-    """Records (n) and class size (k) by protected fields and action, for each configuration.
+def counted(app: DataFrame, fields: Sequence[str] = INSTITUTION) -> tuple[DataFrame, dict[object, str]]:
+    """(classes of the fields with their size k and a count for each action; the actions' columns). The actions of the table are looked up first."""
+    actions = sorted((r[0] for r in app.select("action_taken").distinct().collect()), key=lambda a: (a is None, a))  # the register's few codes
+    names = {a: f"n_{i}" for i, a in enumerate(actions)}
+    return app.groupBy(*fields).agg(F.count("*").alias("k"), *[F.count_if(F.col("action_taken").eqNullSafe(F.lit(a))).alias(c) for a, c in names.items()]), names
 
-    Rows are dealt by the fields, which serves the sums and the window of k alike, so a configuration costs one exchange of sums; it starts from
-    the last configuration that nests in it, whose exchange Spark reuses, and only the first reads records.
+
+def rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
+    """Classes of protected fields with their size k and a count for each action, for each configuration; the counts' columns by action.
+
+    Counting actions in columns gives a class's size in the same sums, so no window is needed and a configuration costs one exchange, of sums that
+    tasks have made before; it starts from the last configuration that nests in it, whose exchange Spark reuses, and only the first
+    reads records.
     """
-    keys = [*fields, "action_taken"]
-    done = [(ProtectionConfig("records"), app.select(*keys).repartition(*fields).groupBy(*keys).agg(F.count("*").alias("n")))]
+    records, names = counted(app, fields)
+    done = [(ProtectionConfig("records"), records)]
     out = []
     for p in configs:
         of, n = next((q, d) for q, d in reversed(done) if nests(q, p))
         if (of.geography, of.bands) != (p.geography, p.bands):
-            n = protected(n, p).repartition(*fields).groupBy(*keys).agg(F.sum("n").alias("n"))
+            n = protected(n, p).groupBy(*fields).agg(*[F.sum(c).alias(c) for c in ("k", *names.values())])
         done.append((p, n))
-        out.append((p, n.withColumn("k", F.sum("n").over(Window.partitionBy(*fields)))))
-    return out
+        out.append((p, n))
+    return out, names
+
+
+def _by_action(names: dict[object, str]) -> Column:
+    """Rows (action_taken, record_count) of a row's counts, without empty ones."""
+    return F.explode(F.filter(F.array(*[F.struct(F.lit(a).cast("int").alias("action_taken"), F.col(c).alias("record_count")) for a, c in names.items()]), lambda x: x["record_count"] > 0))
+
+
+def _sum_of(names: dict[object, str], actions: Sequence[int]) -> Column:
+    return reduce(Column.__add__, [F.col(c) for a, c in names.items() if a in actions], F.lit(0).cast("long"))
 
 
 def protection_classes(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """(configuration, derived_race, derived_ethnicity, k), a row for each class."""
-    return _union([n.groupBy(*fields).agg(F.max("k").alias("k")).select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k") for p, n in rolled(app, configs, fields)])
+    return _union([n.select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k") for p, n in rolled(app, configs, fields)[0]])
 
 
 def protection_cells(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """Records by configuration, cohort, action and class size."""
-    cell = ["derived_race", "derived_ethnicity", "action_taken", "k"]
-    parts = [n.groupBy(*cell).agg(F.sum("n").alias("record_count")).withColumn("configuration", F.lit(p.name)) for p, n in rolled(app, configs, fields)]
-    return _union(parts).select("configuration", *cell, "record_count")
+    parts, names = rolled(app, configs, fields)
+    cells = _union([n.select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k", *names.values()) for p, n in parts])
+    cells = cells.groupBy("configuration", "derived_race", "derived_ethnicity", "k").agg(*[F.sum(c).alias(c) for c in names.values()])
+    return cells.select("configuration", "derived_race", "derived_ethnicity", "k", _by_action(names).alias("a")).select("configuration", "derived_race", "derived_ethnicity", "a.action_taken", "k", "a.record_count")
 
 
 def mde_points(n1: Column, n2: Column, p: Column, z: float = Z_SUM) -> Column:
@@ -154,13 +174,16 @@ def modeling_cohort(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTEC
 
 def modeling_cells(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """The modeling cohort summed up: its columns and n, the records alike in all of them. Internal as well."""
-    cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC) & F.col("action_taken").isin(*DECISIONS)
-    parts = []
-    for p, n in rolled(app, configs, fields):
-        rows = n.where((F.col("k") >= (p.suppress_k_below or 1)) & cohort)
-        keys = [F.lit(p.name).alias("configuration"), (F.col("derived_race") == BLACK).cast("int").alias("is_black"), F.col("action_taken").isin(*DENIALS).cast("int").alias("is_denied"), F.col("census_tract").alias("protected_geography"), F.col("income").alias("protected_income"), F.col("loan_amount").alias("protected_loan_amount")]
-        parts.append(rows.groupBy(*keys, "applicant_age", "applicant_sex", "loan_type", "debt_to_income_ratio", "loan_purpose", "occupancy_type", "lien_status", "derived_dwelling_category").agg(F.sum("n").alias("n")))
-    return _union(parts)
+    cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC)
+    parts, names = rolled(app, configs, fields)
+    rest = ["applicant_age", "applicant_sex", "loan_type", "debt_to_income_ratio", "loan_purpose", "occupancy_type", "lien_status", "derived_dwelling_category"]
+    rows = []
+    for p, n in parts:
+        keys = [F.lit(p.name).alias("configuration"), (F.col("derived_race") == BLACK).cast("int").alias("is_black"), F.col("census_tract").alias("protected_geography"), F.col("income").alias("protected_income"), F.col("loan_amount").alias("protected_loan_amount")]
+        sides = F.array(*[F.struct(F.lit(v).alias("is_denied"), n_.alias("n")) for v, n_ in ((1, _sum_of(names, DENIALS)), (0, _sum_of(names, [a for a in DECISIONS if a not in DENIALS])))])
+        rows.append(n.where((F.col("k") >= (p.suppress_k_below or 1)) & cohort).select(*keys, *rest, F.explode(sides).alias("s")).select("configuration", "is_black", "s.is_denied", "protected_geography", "protected_income", "protected_loan_amount", *rest, "s.n").where("n > 0"))
+    every = _union(rows)
+    return every.groupBy(*[c for c in every.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
 def disparity_power(df: DataFrame, group: str = "derived_race", reference: str = WHITE, comparison: str = BLACK) -> DataFrame:
@@ -171,16 +194,22 @@ def disparity_power(df: DataFrame, group: str = "derived_race", reference: str =
 
 
 def frontier_points(df: DataFrame, configs: Sequence[ProtectionConfig], baseline: str, fields: Sequence[str] = INSTITUTION) -> DataFrame:
-    """Risk and power of what each configuration leaves, as one lazy plan."""
+    """Risk and power of what each configuration leaves, from the classes of all of them."""
     if baseline not in [p.name for p in configs]:
         raise ValueError(f"no configuration is called {baseline}")
-    total = df.agg(F.count("*").alias("total"))
+    clean = df.withColumn("census_tract", generalize_geography(F.col("census_tract"), "tract")) if "census_tract" in fields else df
+    classes, names = rolled(clean, configs, fields)
+    k, denied = F.col("k"), _sum_of(names, DENIALS)
     parts = []
-    for p in configs:
-        kept = apply_protection(df, p, fields)
-        risk = risk_summary(equivalence_classes(kept, fields)).select(F.col("record_count").alias("retained_records"), "sample_uniqueness_rate", "prosecutor_expected_match_risk")
-        parts.append(risk.crossJoin(disparity_power(kept).select("minimum_detectable_disparity_points")).crossJoin(total).select(  # one row each
-            F.lit(p.name).alias("configuration"), F.lit(p.name == baseline).alias("is_current_baseline"), "retained_records", F.coalesce(share(F.col("retained_records"), F.col("total")), F.lit(0.0)).alias("retained_share"),
-            "sample_uniqueness_rate", "prosecutor_expected_match_risk", "minimum_detectable_disparity_points",
-        ))
-    return _union(parts)
+    for p, n in classes:
+        kept = k >= (p.suppress_k_below or 1)
+        white, black = kept & (F.col("derived_race") == WHITE), kept & (F.col("derived_race") == BLACK)
+        sums = n.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("total"), _long(kept, k).alias("retained_records"), _long(kept, F.lit(1)).alias("classes"), _long(kept & (k == 1), F.lit(1)).alias("ones"), _long(white, k).alias("a"), _long(black, k).alias("b"), _long(white, denied).alias("q"))
+        parts.append(sums.withColumns({"configuration": F.lit(p.name), "is_current_baseline": F.lit(p.name == baseline)}))
+    rate = lambda x, y: F.coalesce(share(F.col(x), F.col(y)), F.lit(0.0)).alias
+    mde = F.round(mde_points(F.col("a"), F.col("b"), share(F.col("q"), F.col("a"))), 9).alias("minimum_detectable_disparity_points")
+    return _union(parts).select("configuration", "is_current_baseline", "retained_records", rate("retained_records", "total")("retained_share"), rate("ones", "retained_records")("sample_uniqueness_rate"), rate("classes", "retained_records")("prosecutor_expected_match_risk"), mde)
+
+
+def _long(where: Column, value: Column) -> Column:
+    return F.coalesce(F.sum(F.when(where, value)), F.lit(0)).cast("long")

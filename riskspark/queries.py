@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskspark import classes as C
 from riskspark import density as D
 from riskspark import governance as G
-from riskspark import io, stats
+from riskspark import io, logistic, stats, uniqueness
 from riskspark import measures as M
 from riskspark import protection as P
 from riskspark.config import BLACK, DEMO_GEO, INSTITUTION, MIN_CELL, NON_HISPANIC, PROTECTIONS, TIERS, UNSUPPRESSED, WHITE
@@ -340,7 +340,7 @@ def class_diversity(spark: SparkSession, d: str) -> DataFrame:
     return M.class_diversity(load(spark, d), DEMO_GEO, "action_taken")
 
 
-@query(_DIV + " select coalesce(sum(k), 0)::bigint as records, coalesce(sum(case when l_distinct < 2 then k else 0 end), 0)::bigint as records_failing_l, coalesce(sum(case when t_total_variation > 0.2 then k else 0 end), 0)::bigint as records_failing_t, coalesce(sum(case when l_distinct < 2 then k else 0 end)::double / sum(k), 0e0) as share_failing_l, coalesce(sum(case when t_total_variation > 0.2 then k else 0 end)::double / sum(k), 0e0) as share_failing_t from div")
+@query(_DIV + " select coalesce(sum(k), 0)::bigint as records, 2 as l_threshold, 0.2e0 as t_threshold, coalesce(sum(case when l_distinct < 2 then k else 0 end), 0)::bigint as records_failing_l, coalesce(sum(case when t_total_variation > 0.2 then k else 0 end), 0)::bigint as records_failing_t, coalesce(sum(case when l_distinct < 2 then k else 0 end)::double / sum(k), 0e0) as share_failing_l, coalesce(sum(case when t_total_variation > 0.2 then k else 0 end)::double / sum(k), 0e0) as share_failing_t from div")
 def diversity_summary(spark: SparkSession, d: str) -> DataFrame:
     return M.diversity_summary(M.class_diversity(load(spark, d), DEMO_GEO, "action_taken"))
 
@@ -354,7 +354,7 @@ _BIN = "case when n_group <= 1 then '1' when n_group <= 2 then '2' when n_group
 
 @query(_GS + " select derived_race, derived_ethnicity, count(*)::bigint as n, sum((k = 1)::int)::bigint as uniques, sum(n_group)::bigint as group_sum from s group by 1, 2")
 def score_demographic_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    return M.score_demographic(load(spark, d)).groupBy("derived_race", "derived_ethnicity").agg(F.count("*").alias("n"), F.count_if("is_unique").alias("uniques"), F.sum("n_group").alias("group_sum"))
+    return M.score_demographic(load(spark, d)).groupBy("derived_race", "derived_ethnicity").agg(F.sum("k").alias("n"), F.count_if("is_unique").alias("uniques"), F.sum(F.col("n_group") * F.col("k")).alias("group_sum"))
 
 
 @query(_GS + f" select {_BIN} as group_size_bin, derived_race, count(*)::bigint as record_count, sum(u)::bigint as unique_records, sum(u)::double / count(*) as sample_uniqueness_rate from f group by 1, 2 having count(*) >= {MIN_CELL} union all select 'overall', derived_race, count(*), sum(u)::bigint, sum(u)::double / count(*) from f group by 2 having count(*) >= {MIN_CELL}")
@@ -594,14 +594,14 @@ def release_bundle(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def release_population_status(spark: SparkSession, d: str) -> DataFrame:
     """One row: whether any fit of population uniqueness can be reported, over how many scenarios."""
-    fits = stats.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
+    fits = uniqueness.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
     edge = F.col("fit_status") == "boundary_fit_not_reportable"
     return fits.agg(F.count("*").alias("scenarios"), F.when(F.bool_and(edge), "boundary_fit_not_reportable").otherwise("review_required").alias("status"))
 
 
 @query()
 def population_uniqueness_subsample(spark: SparkSession, d: str) -> DataFrame:
-    return stats.subsample_uniqueness(load(spark, d), INSTITUTION, 0.5)
+    return uniqueness.subsample_uniqueness(load(spark, d), INSTITUTION, 0.5)
 
 
 _U = "('0x' || substr(md5({}), 1, 8))::bigint / 4294967296e0"
@@ -615,9 +615,20 @@ def population_uniqueness_md5(spark: SparkSession, d: str) -> DataFrame:
     return stats.subsample_md5(load(spark, d), DEMO_GEO, 0.5)
 
 
+_GRID = f"""(select c, i, j, exp(ln(0.03e0) + i * (ln(30e0) - ln(0.03e0)) / 27) as s, c / (exp(ln(0.01e0) + j * (ln(100e0) - ln(0.01e0)) / 31) + c) as q from (select unnest([0.1e0, 0.25e0, 0.5e0]) as c), range(28) as a(i), range(32) as b(j))"""
+
+
+@query(f""", h as (select k, count(*) as f from (select count(*) as k from app group by {_QI}) group by k)
+select c as coverage, i::int as i, j::int as j, round(sum(f * (lgamma(k + s) - lgamma(s) - lgamma(k + 1) + s * ln(1 - q) + k * ln(q) - ln(1 - pow(1 - q, s)))), 3) as log_likelihood from h, {_GRID} group by 1, 2, 3""")
+def gamma_poisson_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The log-likelihood of the population model over the whole grid that a search begins with."""
+    grid = uniqueness.likelihood_grid(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
+    return grid.withColumn("log_likelihood", F.round("log_likelihood", 3))
+
+
 @query()
 def gamma_poisson_uniqueness(spark: SparkSession, d: str) -> DataFrame:
-    return stats.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
+    return uniqueness.gamma_poisson(C.k_distribution(C.equivalence_classes(load(spark, d), INSTITUTION)))
 
 
 def _drawn() -> str:
@@ -631,7 +642,7 @@ def _drawn() -> str:
 
 @query(_drawn() + " select * from drawn")
 def synthetic_auxiliary(spark: SparkSession, d: str) -> DataFrame:
-    return stats.synthetic_auxiliary(load(spark, d), INSTITUTION, 10_000)
+    return stats.synthetic_auxiliary(silver(spark, d), INSTITUTION, 10_000)
 
 
 _LINKED = ", c as (select {qi}, count(*) as k from app group by {qi}) select count(*)::bigint as synthetic_records, count(k)::double / count(*) as exact_match_rate, count(*) filter (k = 1)::double / count(*) as unique_match_rate, round(coalesce(sum(1e0 / k), 0e0), 9) as expected_correct_matches from drawn left join c on {on}"
@@ -639,14 +650,14 @@ _LINKED = ", c as (select {qi}, count(*) as k from app group by {qi}) select cou
 
 @query(_drawn() + _LINKED.format(qi=_QI, on=" and ".join(f"drawn.{f} is not distinct from c.{f}" for f in INSTITUTION)))
 def synthetic_linkage(spark: SparkSession, d: str) -> DataFrame:
-    app = load(spark, d)
+    app = silver(spark, d)
     return stats.linkage_summary(stats.synthetic_auxiliary(app, INSTITUTION, 10_000), C.equivalence_classes(app, INSTITUTION), INSTITUTION)
 
 
 @query(_drawn() + _LINKED.format(qi=_DEMO, on=" and ".join(f"drawn.{f} is not distinct from c.{f}" for f in DEMO_GEO)))
 def synthetic_linkage_demographic(spark: SparkSession, d: str) -> DataFrame:
     """Linkage on the five demographic fields, where matches are many."""
-    app = load(spark, d)
+    app = silver(spark, d)
     return stats.linkage_summary(stats.synthetic_auxiliary(app, DEMO_GEO, 10_000), C.equivalence_classes(app, DEMO_GEO), DEMO_GEO)
 
 
@@ -681,7 +692,10 @@ def group_size_decision(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def adjusted_disparity(spark: SparkSession, d: str) -> DataFrame:
-    return stats.adjusted_disparity(P.modeling_cells(silver(spark, d)), names=[p.name for p in PROTECTIONS])
+    """Adjusted models of the four configurations, a row each, with the shares of records that lie on common support."""
+    cells = io.materialize_mart(P.modeling_cells(silver(spark, d)), fresh_path(spark, "modeling-cells"))
+    fitted = logistic.adjusted_disparity(cells, names=[p.name for p in PROTECTIONS])
+    return fitted.join(F.broadcast(M.common_support(cells)), "configuration", "left")  # a row for each configuration
 
 
 @query(f"""select derived_race, derived_ethnicity, greatest(round(n - sign(u) * ln(1 - 2 * abs(u) * (1 - 1e-12))), 0)::bigint as record_count from (select derived_race, derived_ethnicity, count(*) as n,

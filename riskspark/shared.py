@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -9,6 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SEED = 20260823
+
+
+def key_seed(seed: int, *keys: object) -> int:
+    """A generator's seed from a seed and keys, alike in every process."""
+    return int.from_bytes(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).digest()[:8], "little")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; where that is unset, a temporary one in local mode only."""
@@ -34,3 +42,18 @@ def small_table(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return broadcast_within(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what reads it many times: lineage ends here and survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a written table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,56 +14,13 @@ from pyspark.sql import functions as F
 from riskspark.classes import equivalence_classes, share
 from riskspark.config import BLACK, DEMO_GEO, NON_HISPANIC, WHITE
 from riskspark.measures import MISSING
-from riskspark.shared import fresh_path, small_table
-
-SEED = 20260823
-
+from riskspark.shared import SEED, key_seed, small_table, written
 
 def md5_uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the parts joined by |; alike in Spark and other engines."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def _key_seed(seed: int, *keys: object) -> int:
-    return int.from_bytes(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).digest()[:8], "little")
-
-
-def subsample_uniqueness(df: DataFrame, fields: Sequence[str], fraction: float, replicates: int = 200, seed: int = SEED, buckets: int = 256) -> DataFrame:
-    """Share of classes unique in a draw that are unique in the whole, over repeated draws of a fixed size without replacement.
-
-    Classes are dealt into buckets by hash and counted by size, so a bucket is a histogram. The driver splits each draw over the buckets
-    (multivariate hypergeometric on `buckets` counts) and a bucket splits its part over its sizes; of unique classes, the number drawn is
-    what counts, and only larger classes are drawn one by one. One row: mean, standard deviation, quantiles.
-    """
-    if not 0 < fraction <= 1 or replicates < 30:
-        raise ValueError("a fraction in (0, 1] and at least 30 replicates are needed")
-    classes = equivalence_classes(df, fields).groupBy(F.pmod(F.xxhash64(*fields), F.lit(buckets)).alias("bucket"), "k").agg(F.count("*").alias("classes"))
-    classes = small_table(classes, "class-sizes")
-    totals = {r["bucket"]: r["n"] for r in classes.groupBy("bucket").agg(F.sum(F.col("k") * F.col("classes")).alias("n")).collect()}  # at most `buckets` rows
-    counts = np.array([totals.get(i, 0) for i in range(buckets)])
-    draws = np.random.default_rng(seed).multivariate_hypergeometric(counts, max(1, round(counts.sum() * fraction)), replicates) if counts.sum() else np.zeros((replicates, buckets), int)
-
-    def bucket(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(_key_seed(seed, key[0]))
-        need, left = draws[:, key[0]].copy(), int((pdf["k"] * pdf["classes"]).sum())
-        single, also = np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)
-        for k, n in sorted(zip(pdf["k"].tolist(), pdf["classes"].tolist(), strict=True)):
-            got = rng.hypergeometric(k * n, left - k * n, need)
-            need, left = need - got, left - k * n
-            if k == 1:
-                also = got
-                single += got
-            else:
-                sizes = np.full(n, k)
-                single += [int((rng.multivariate_hypergeometric(sizes, int(x), method="marginals") == 1).sum()) if x else 0 for x in got]
-        return pd.DataFrame({"replicate": np.arange(replicates), "draw_unique": single, "also_unique": also})
-
-    per = classes.groupBy("bucket").applyInPandas(bucket, "replicate int, draw_unique long, also_unique long")
-    s = per.groupBy("replicate").agg(F.sum("draw_unique").alias("d"), F.sum("also_unique").alias("a")).where("d > 0").select((F.col("a") / F.col("d")).alias("s"))
-    out = s.agg(F.count("*").alias("usable_replicates"), F.round(F.mean("s"), 9).alias("mean_share"), F.round(F.stddev_samp("s"), 9).alias("sd_share"), F.round(F.percentile("s", F.lit(0.025)), 9).alias("share_low"), F.round(F.percentile("s", F.lit(0.975)), 9).alias("share_high"))
-    return out.withColumn("status", F.when(F.col("usable_replicates") < 30, "too_few_usable_replicates").otherwise("estimated"))
-
-
 def text_key(fields: Sequence[str]) -> Column:
     """Fields as one text, nulls as one literal value; numbers must be whole."""
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in fields])
@@ -80,104 +36,38 @@ def subsample_md5(df: DataFrame, fields: Sequence[str], fraction: float, replica
     return n.groupBy("replicate").agg(F.count("*").alias("draw_unique"), F.count_if(F.col("k") == 1).alias("also_unique"))
 
 
-def _lgamma(x: np.ndarray | float) -> np.ndarray:
-    return np.reshape([math.lgamma(v) for v in np.ravel(x)], np.shape(x))
-
-
-# Where the search begins, and what a fit at the edge is.
-GRID = (np.linspace(math.log(0.03), math.log(30), 28), np.linspace(math.log(0.01), math.log(100), 32))
-SMALLEST_SHAPE, SMALLEST_RATE, LARGEST_RATE = 1e-4, 1e-5, 1e5
-
-
-def truncated_likelihood(points: np.ndarray, x: np.ndarray, f: np.ndarray, c: float) -> np.ndarray:
-    """Log-likelihood of sizes x with frequencies f at each point (log shape, log rate): counts are negative binomial, and no class is empty."""
-    shape, rate = np.exp(points[:, :1]), np.exp(points[:, 1:])
-    odds = np.log1p(c / rate)  # minus the log chance of rate / (rate + c)
-    seen = -np.expm1(-shape * odds)
-    with np.errstate(all="ignore"):
-        ways = _lgamma(shape + x) - _lgamma(shape) - _lgamma(x + 1.0)
-        each = ways - shape * odds + x * np.log(c / (rate + c)) - np.log(seen)
-        return np.where(seen[:, 0] > 1e-14, each @ f, -np.inf)
-
-
-def _uphill(score, at: np.ndarray, limit: float = 40.0, h: float = 1e-3) -> np.ndarray:
-    """A maximum near `at` by damped Newton steps on finite differences; steps no longer than 2, ended `limit` away or when nothing gains."""
-    star = h * np.array([(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)], float)
-    damp, begin = 1.0, at.copy()
-    for _ in range(400):
-        v = score(at + star)
-        if not np.isfinite(v).all():
-            break
-        slope = np.array([v[1] - v[2], v[3] - v[4]]) / (2 * h)
-        cross = (v[5] + v[6] - v[7] - v[8]) / (4 * h * h)
-        bend = np.array([[v[1] + v[2] - 2 * v[0], 0], [0, v[3] + v[4] - 2 * v[0]]]) / (h * h) + cross * np.array([[0, 1], [1, 0]])
-        while damp < 1e12:
-            values, axes = np.linalg.eigh(-bend)
-            step = axes @ ((axes.T @ slope) / (np.abs(values) + damp * max(1e-6, float(np.abs(values).max()))))
-            step *= min(1.0, 2.0 / max(float(np.hypot(*step)), 1e-300))
-            if score((at + step)[None, :])[0] > v[0]:
-                break
-            damp *= 8
-        else:
-            break
-        at, damp = at + step, max(damp / 8, 1e-9)
-        if np.hypot(*step) < 1e-8 or np.hypot(*(at - begin)) > limit:
-            break
-    return at
-
-
-def fit_gamma_poisson(sizes: np.ndarray, frequencies: np.ndarray, coverage: float) -> dict:
-    """Zero-truncated gamma-Poisson fit to a histogram of class sizes: the best point of a grid, then uphill from it."""
-    x, f = np.asarray(sizes, float), np.asarray(frequencies, float)
-    if not 0 < coverage < 1:
-        raise ValueError("coverage must lie strictly between 0 and 1")
-    if f.sum() < 2 or (x < 1).any():
-        raise ValueError("two or more classes of positive size are needed")
-    grid = np.stack(np.meshgrid(*GRID, indexing="ij"), axis=-1).reshape(-1, 2)
-    score = lambda points: truncated_likelihood(points, x, f, coverage)
-    shape, rate = (float(v) for v in np.exp(_uphill(score, grid[int(np.argmax(score(grid)))])))
-    edge = shape < SMALLEST_SHAPE or not SMALLEST_RATE <= rate <= LARGEST_RATE
-    p = None if edge else math.exp((shape + 1) * math.log((rate + coverage) / (rate + 1)))
-    ones = int(f[x == 1].sum())
-    return {"coverage_fraction": coverage, "observed_equivalence_classes": int(f.sum()), "sample_unique_records": ones, "gamma_shape": shape, "gamma_rate": rate, "population_unique_probability": p, "estimated_population_unique_records": None if p is None else ones * p, "fit_status": "boundary_fit_not_reportable" if edge else "estimated"}
-
-
-def gamma_poisson(distribution: DataFrame, coverages: Sequence[float] = (0.1, 0.25, 0.5)) -> DataFrame:
-    """Fits for each coverage on the histogram (k, classes), whose rows grow with the square root of the records."""
-    rows = distribution.select("k", "classes", F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage"))
-    fit = lambda key, pdf: pd.DataFrame([fit_gamma_poisson(pdf["k"].to_numpy(), pdf["classes"].to_numpy(), key[0])])
-    return rows.groupBy("coverage").applyInPandas(fit, "coverage_fraction double, observed_equivalence_classes long, sample_unique_records long, gamma_shape double, gamma_rate double, population_unique_probability double, estimated_population_unique_records double, fit_status string")
-
-
 CELLS = 1024
 
 
-def marginal(df: DataFrame, field: str) -> DataFrame:
-    """(field, lo, hi, total): each distinct value's range among the df's records, in order of two digits of its md5 and then of the value.
+def marginals(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(i, value, lo, hi): of each field (by its number) each distinct value's range among the df's records, in order of two digits of its md5
+    and then of the value; values as text. One pass over the records counts all fields.
 
-    The ranges are prefix sums: over the 256 totals of the digits, and over the values inside each.
+    The ranges are prefix sums: over the 256 totals of a field's digits, and over the values inside each.
     """
-    h = df.groupBy(field).agg(F.count("*").alias("c")).withColumn("part", F.substring(F.md5(text_key([field])), 1, 2))
-    parts = h.groupBy("part").agg(F.sum("c").alias("all"))  # 256 rows
-    before = F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("before"), F.sum("all").over(Window.partitionBy()).alias("total"))
-    inside = F.sum("c").over(Window.partitionBy("part").orderBy(F.col(field).asc_nulls_first()))
-    h = h.withColumn("inside", inside).join(F.broadcast(parts), "part")
-    return h.select(F.col(field), (F.col("before") + F.col("inside") - F.col("c")).alias("lo"), (F.col("before") + F.col("inside")).alias("hi"), "total")
+    number = {i: dict(df.dtypes)[f] not in ("string",) for i, f in enumerate(fields)}
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).cast("string").alias("value"), (F.col(f).cast("double") if number[i] else F.lit(None).cast("double")).alias("number")) for i, f in enumerate(fields)])
+    h = df.select(F.explode(pairs).alias("x")).select("x.*").groupBy("i", "value", "number").agg(F.count("*").alias("c")).withColumn("part", F.substring(F.md5(F.coalesce("value", F.lit(MISSING))), 1, 2))
+    inside = F.sum("c").over(Window.partitionBy("i", "part").orderBy(F.col("number").asc_nulls_first(), F.col("value").asc_nulls_first()))
+    h = written(h.withColumn("inside", inside), "marginals")
+    parts = h.groupBy("i", "part").agg(F.sum("c").alias("all"))  # 256 rows a field
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    h = h.join(F.broadcast(parts.select("i", "part", before.alias("before"))), ["i", "part"])
+    return h.select("i", "value", (F.col("before") + F.col("inside") - F.col("c")).alias("lo"), (F.col("before") + F.col("inside")).alias("hi"))
 
 
 def synthetic_auxiliary(df: DataFrame, fields: Sequence[str], n: int, seed: int = SEED) -> DataFrame:
     """n records whose fields are drawn independently from their marginals (nulls are values): prefix sums on Spark,
-    md5 uniforms, and an equi-join of the drawn position with the ranges' cells. Numbers must be whole."""
-    out = df.sparkSession.range(n).withColumnRenamed("id", "record")
+    md5 uniforms, and one equi-join of all fields' drawn positions with the ranges' cells. Numbers must be whole."""
     total = df.count()
     step = max(1, -(-total // CELLS))
-    for f in fields:
-        cells = marginal(df, f).drop("total").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
-        u = md5_uniform(F.lit(str(seed)), F.lit(f), F.col("record").cast("string"))
-        drawn = out.withColumn("at", F.floor(u * F.lit(total))).withColumn("cell", F.floor(F.col("at") / step))
-        out = drawn.join(cells, "cell").where("at >= lo and at < hi").drop("cell", "at", "lo", "hi")
-    return out
+    cells = marginals(df, fields).withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
+    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f).alias("f")) for i, f in enumerate(fields)]))
+    drawn = df.sparkSession.range(n).select(F.col("id").alias("record"), spots.alias("s")).select("record", "s.*")
+    drawn = drawn.withColumn("at", F.floor(md5_uniform(F.lit(str(seed)), F.col("f"), F.col("record").cast("string")) * F.lit(total))).withColumn("cell", F.floor(F.col("at") / step))
+    found = drawn.join(cells, ["i", "cell"]).where("at >= lo and at < hi")
+    kinds = dict(df.dtypes)
+    return found.groupBy("record").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).cast(kinds[f]).alias(f) for i, f in enumerate(fields)])
 
 
 def linkage_summary(synthetic: DataFrame, classes: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -210,7 +100,7 @@ def _permuted(base: DataFrame, by: list[str], iterations: int, seed: int) -> Dat
         cells = pdf.groupby("cell")["n"].sum().sort_index().to_numpy()
         pairs = pdf.groupby("pair").agg(n=("n", "sum"), who=("who", "first")).sort_index()
         size = min(BLOCK, iterations - key[1] * BLOCK)
-        rng = np.random.default_rng(_key_seed(seed, *key[:2]))
+        rng = np.random.default_rng(key_seed(seed, *key[:2]))
         left = np.tile(pairs["n"].to_numpy(), (size, 1))
         out = np.zeros((size, 3), np.int64)
         for c in cells:
@@ -283,143 +173,6 @@ def decision(null: DataFrame, matched: DataFrame, interval: DataFrame) -> DataFr
     return one.select("observed_ratio", "null_high", "p_value", "underpowered", "ratio_ci_low", F.when(F.coalesce(keep, F.lit(False)), "proceed").otherwise("withdraw").alias("decision"))
 
 
-CATEGORICAL = ("applicant_age", "applicant_sex", "protected_geography", "loan_type", "debt_to_income_ratio", "loan_purpose", "occupancy_type", "lien_status", "derived_dwelling_category")
-CONTINUOUS = ("protected_income", "protected_loan_amount")
-MAX_COLUMNS = 2000
-
-
-_FIT = "status string, record_count long, reference_n long, comparison_n long, reference_denial_rate double, comparison_denial_rate double, adjusted_log_odds_coefficient double, adjusted_odds_ratio double, odds_ratio_ci_low double, odds_ratio_ci_high double, average_marginal_effect_points double, converged boolean, iterations int"
-#: Cells that one task sums up; designs are laid out so many rows at a time.
-FIT_CELLS, FIT_ROWS = 20_000, 2_000
-
-
-def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float = 1e-8, by: str = "configuration", names: Sequence[str] = ()) -> DataFrame:
-    """Logistic models of denial on race and covariates by iteratively reweighted least squares; a row for each value of `by`, which is added if
-    missing, and for each of `names`, which may have no rows.
-
-    Records (or cells with a count n) collapse to covariate cells first, which are written with the places of their dummies. All models that haven't converged take a step in one
-    job: tasks sum the weighted cross products of their cells, Spark adds them up row by row, and one matrix of at most MAX_COLUMNS
-    columns for each model reaches the driver. Wider designs get a status instead.
-    """
-    spark = rows.sparkSession
-    rows = rows if by in rows.columns else rows.withColumn(by, F.lit(""))
-    n = F.col("n") if "n" in rows.columns else F.lit(1)
-    cells = rows.groupBy(by, "is_black", *CONTINUOUS, *CATEGORICAL).agg(F.sum(n).alias("n"), F.sum(F.col("is_denied") * n).alias("d"))
-    logs = [F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) for c in CONTINUOUS]
-    cells = _written(cells.select(F.col(by).alias("by"), "is_black", "n", "d", *logs, *[F.coalesce(c, F.lit("Missing")).alias(c) for c in CATEGORICAL]), "model-cells")
-
-    sides = {(r["by"], r["is_black"]): r for r in cells.groupBy("by", "is_black").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}  # two rows a model
-    facts, out = {}, []
-    for name in sorted({k for k, _ in sides} | set(names)):
-        of = [sides.get((name, i)) for i in (0, 1)]
-        n0, n1 = (int(x["n"]) if x else 0 for x in of)
-        facts[name] = (n0 + n1, n0, n1, *(float(x["d"]) / x["n"] if x else None for x in of))
-
-    def row(name: str, status: str, rest: tuple = (None, None, None, None, None, False, 0)) -> None:
-        out.append((name, status, *facts[name], *rest))
-
-    values = cells.select("by", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in CATEGORICAL])).alias("x")).select("by", "x.field", "x.value").distinct()
-    values = _written(values, "model-levels")
-    count = {(r["by"], r["field"]): r["n"] for r in values.groupBy("by", "field").agg(F.count("*").alias("n")).collect()}
-    medians = cells.groupBy("by").agg(*[F.percentile(c, F.lit(0.5), F.col("n")).alias(f"m_{c}") for c in CONTINUOUS])
-    filled = cells.join(F.broadcast(medians), "by").select(*[c for c in cells.columns if c not in CONTINUOUS], *[F.coalesce(c, f"m_{c}", F.lit(0.0)).alias(c) for c in CONTINUOUS])  # a row for each model
-    mean = lambda e: F.sum(e * F.col("n")) / F.sum("n")
-    moments = {r["by"]: r for r in filled.groupBy("by").agg(*[e for c in CONTINUOUS for e in (mean(F.col(c)).alias(f"m_{c}"), mean(F.col(c) * F.col(c)).alias(f"q_{c}"))]).collect()}
-
-    width, scale = {}, {}
-    for name, fact in facts.items():
-        if min(fact[1:3]) < 2:
-            row(name, "insufficient_retained_comparison")
-            continue
-        spread = [(moments[name][f"m_{c}"], math.sqrt(max(moments[name][f"q_{c}"] - moments[name][f"m_{c}"] ** 2, 0.0))) for c in CONTINUOUS]
-        wide = 2 + sum(sd > 1e-12 for _, sd in spread) + sum(count[name, c] - 1 for c in CATEGORICAL)
-        if wide > MAX_COLUMNS:
-            row(name, "too_many_columns")
-        else:
-            width[name], scale[name] = wide, spread
-    levels: dict = {}
-    for r in values.where(F.col("by").isin(list(width))).collect():  # MAX_COLUMNS rows a model at most
-        levels.setdefault((r["by"], r["field"]), []).append(r["value"])
-    place = {}
-    for name in width:
-        at = 2 + sum(sd > 1e-12 for _, sd in scale[name])
-        for c in CATEGORICAL:
-            for v in sorted(levels[name, c])[1:]:
-                place[name, c, v], at = at, at + 1
-
-    def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = [[(a - m) / sd for a, (m, sd) in zip(row, scale[name], strict=True) if sd > 1e-12] for name, row in zip(pdf["by"], pdf[list(CONTINUOUS)].to_numpy(), strict=True)]
-            spots = [[place[k] for c, v in zip(CATEGORICAL, row, strict=True) if (k := (name, c, v)) in place] for name, row in zip(pdf["by"], pdf[list(CATEGORICAL)].to_numpy(), strict=True)]
-            yield pd.DataFrame({"by": pdf["by"], "is_black": pdf["is_black"], "n": pdf["n"], "d": pdf["d"], "x": x, "spots": spots})
-
-    tasks = max(1, -(-filled.where(F.col("by").isin(list(width))).count() // FIT_CELLS))
-    ready = filled.where(F.col("by").isin(list(width))).repartition(tasks).mapInPandas(laid_out, "by string, is_black int, n long, d long, x array<double>, spots array<int>")
-    ready = _written(ready, "model-rows")
-    ready = ready.coalesce(1) if tasks == 1 else ready
-
-    def sums(beta: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = {k: [np.zeros((len(v), len(v))), np.zeros(len(v)), 0.0] for k, v in beta.items()}
-            seen = set()
-            for pdf in batches:
-                for name, own in pdf.groupby("by"):
-                    seen.add(name)
-                    h, g, _ = total[name]
-                    for a in range(0, len(own), FIT_ROWS):
-                        part = own.iloc[a : a + FIT_ROWS]
-                        x = np.zeros((len(part), len(g)))
-                        x[:, 0], x[:, 1] = 1, part["is_black"]
-                        numbers = np.stack(part["x"].to_list())
-                        x[:, 2 : 2 + numbers.shape[1]] = numbers
-                        spots = part["spots"].to_list()
-                        x[np.repeat(np.arange(len(part)), [len(s) for s in spots]), np.concatenate(spots).astype(np.int64)] = 1
-                        w = part["n"].to_numpy(float)
-                        p = 1 / (1 + np.exp(-np.clip(x @ beta[name], -30, 30)))
-                        h += (x.T * (w * np.maximum(p * (1 - p), 1e-9))) @ x
-                        g += x.T @ (part["d"].to_numpy(float) - w * p)
-                        total[name][2] += float((w * p * (1 - p)).sum())
-            for name in sorted(seen):
-                h, g, m = total[name]
-                yield pd.DataFrame({"by": name, "i": np.arange(len(g), dtype=np.int32), "h": list(h), "g": g, "m": m})
-
-        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"by": [key[0]], "i": [key[1]], "h": [np.sum(np.stack(pdf["h"].to_list()), axis=0)], "g": [pdf["g"].sum()], "m": [pdf["m"].sum()]})
-
-        shape = "by string, i int, h array<double>, g double, m double"
-        part = ready.where(F.col("by").isin(list(beta))).mapInPandas(run, shape)
-        found = {k: [np.zeros((len(v), len(v))), np.zeros(len(v)), 0.0] for k, v in beta.items()}
-        for r in (part if tasks == 1 else part.groupBy("by", "i").applyInPandas(add, shape)).collect():  # a row for each column of each model
-            f = found[r["by"]]
-            f[0][r["i"]], f[1][r["i"]], f[2] = r["h"], r["g"], r["m"]
-        return {k: tuple(v) for k, v in found.items()}
-
-    def ridge(p: int) -> np.ndarray:
-        return np.diag([0.0] + [1e-8] * (p - 1))
-
-    beta = {k: np.zeros(p) for k, p in width.items()}
-    took, converged = {}, {}
-    for k in range(1, iterations + 1):
-        if not (open_ := [x for x in beta if not converged.get(x)]):
-            break
-        for name, (h, g, _) in sums({x: beta[x] for x in open_}).items():
-            r = ridge(width[name])
-            step = np.linalg.pinv(h + r) @ (g - r @ beta[name])
-            beta[name], took[name], converged[name] = beta[name] + step, k, bool(np.abs(step).max() < tolerance)
-    e = lambda v: float(np.exp(np.clip(v, -700, 700)))
-    for name, (h, _, m) in (sums(beta) if beta else {}).items():
-        b, se = float(beta[name][1]), math.sqrt(max(np.linalg.pinv(h + ridge(width[name]))[1, 1], 0))
-        row(name, "estimated" if converged[name] else "maximum_iterations_reached", (b, e(b), e(b - 1.96 * se), e(b + 1.96 * se), 100 * b * m / facts[name][0], converged[name], took[name]))
-    return spark.createDataFrame(sorted(out), f"{by} string, {_FIT}")
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, for what reads it many times."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def noised_counts(counts: DataFrame, column: str, epsilon: float, key: Sequence[str], sensitivity: float = 1.0, seed: int = SEED) -> DataFrame:
     """Laplace noise on aggregated counts, rounded and not below 0; the uniforms hang on the keys and the seed."""
     u = md5_uniform(F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in key]) - 0.5
