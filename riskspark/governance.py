@@ -92,6 +92,51 @@ def subject_delete(tables: dict[str, DataFrame], keys: DataFrame) -> tuple[dict[
     return kept, _audit("delete", gone)
 
 
+def files_with(spark: SparkSession, path: str, key: str, keys: DataFrame) -> list[str]:
+    """The data files of a Parquet table that hold a row of the keys: one pass over the key column, a row for each file."""
+    rows = spark.read.parquet(path).select(key, F.col("_metadata.file_path").alias("file"))
+    own = broadcast_within(keys)
+    return sorted(r["file"] for r in rows.join(own, key, "left_semi").select("file").distinct().collect())
+
+
+def delete_from_files(spark: SparkSession, path: str, key: str, keys: DataFrame) -> tuple[int, int]:
+    """Delete the keys' rows from a Parquet table in place; (files rewritten, files left byte for byte).
+
+    Only files that hold a key are rewritten. Their other rows go to a hidden folder beside the data with a list of what they replace; then the old
+    files go and the new ones take their place. If that is cut short, finish_deletion does the rest; until the list is written the table is as before. Rows with a null
+    key stay. Partition columns aren't supported: the table is one folder.
+    """
+    finish_deletion(spark, path)
+    touched = files_with(spark, path, key, keys)
+    total = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct().count()
+    if touched:
+        schema = spark.read.parquet(path).schema
+        staged = f"{path.rstrip('/')}/_deletion"
+        spark.read.schema(schema).parquet(*touched).join(broadcast_within(keys), key, "left_anti").write.mode("overwrite").parquet(staged)
+        spark.createDataFrame([(f,) for f in touched], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/_replaced")
+        finish_deletion(spark, path)
+    return len(touched), total - len(touched)
+
+
+def finish_deletion(spark: SparkSession, path: str) -> None:
+    """Put a begun deletion's files in place of those that they replace; repeating it does no harm. Nothing to do without a list."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    root = of(path.rstrip("/"))
+    fs = root.getFileSystem(conf)
+    listed, staged = of(f"{root}/_replaced"), of(f"{root}/_deletion")
+    if not fs.exists(of(f"{root}/_replaced/_SUCCESS")):
+        return
+    for line in spark.read.text(f"{root}/_replaced").collect():  # names of files
+        fs.delete(of(jvm.java.net.URI(line["value"])), False)
+    if fs.exists(staged):
+        for status in fs.listStatus(staged):
+            if status.getPath().getName().startswith("part-"):
+                fs.rename(status.getPath(), of(f"{root}/{status.getPath().getName()}"))
+        fs.delete(staged, True)
+    fs.delete(listed, True)
+
+
 def _audit(action: str, tables: dict[str, DataFrame]) -> DataFrame:
     parts = [t.agg(F.count("*").alias("records")).select(F.lit(action).alias("action"), F.lit(n).alias("table_name"), "records") for n, t in tables.items()]
     return reduce(DataFrame.unionByName, parts).where("records > 0")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.config import MIN_CELL
 from riskspark.governance import finite, redact
+from riskspark.shared import fresh_path
 
 
 def slug(text: str) -> str:
@@ -23,11 +29,80 @@ def write_bronze(raw: DataFrame, root: str, scope: str, year: str = "activity_ye
     return path
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256, bytes, retrieved_at) of every data file below path, of any size.
+
+    Files are read as byte strings between line feeds, by as many tasks as they have splits, and each file's pieces stream in order through a
+    digest in one task, sorted and spilled by Spark; a task holds one batch of pieces at a time. A file that ends with a line feed has one
+    byte more than its pieces. Spark's readers pass over empty files, which have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("retrieved_at"))  # contents aren't read
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").option("lineSep", "\n").text(path)
+    pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("piece"))
+    pieces = pieces.repartition("path").sortWithinPartitions("path", "at", "i").select("path", "size", "piece")
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, seen, sha = None, 0, 0, None
+
+        def ended() -> pa.RecordBatch:
+            if seen < size:
+                sha.update(b"\n")
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([sha.hexdigest()], pa.string())], ["path", "sha256"])
+
+        for b in batches:
+            for p, n, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != name:
+                    if name is not None:
+                        yield ended()
+                    name, size, seen, sha = p, n, 0, hashlib.sha256()
+                else:
+                    sha.update(b"\n")
+                    seen += 1
+                sha.update(piece)
+                seen += len(piece)
+        if name is not None:
+            yield ended()
+
+    found = pieces.mapInArrow(digested, "path string, sha256 string")
+    return files.join(found.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left").select("path", "sha256", "bytes", "retrieved_at")
+
+
 def manifest(spark: SparkSession, path: str, parameters: dict[str, str]) -> DataFrame:
-    """Digest and size of every file (each under 2 GB), with the request's parameters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    """Digest and size of every file, with the request's parameters."""
     pairs = [x for k, v in sorted(parameters.items()) for x in (F.lit(k), F.lit(v))]
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.col("modificationTime").alias("retrieved_at"), F.create_map(*pairs).alias("parameters"))
+    return file_digests(spark, path).withColumn("parameters", F.create_map(*pairs))
+
+
+def bronze_columns(spark: SparkSession, path: str, year: int) -> list[str]:
+    """The header of a year's files; looks at the first line alone."""
+    return spark.read.option("header", True).csv(f"{path}/year={year}").columns
+
+
+def read_bronze(spark: SparkSession, path: str, years: Sequence[int], expected: Sequence[str], optional: Sequence[str] = (), year: str = "activity_year") -> DataFrame:
+    """Some years of the bronze layout by column name, whatever each year's order of columns, reading only their partitions.
+
+    A year may lack optional columns (null there) and hold columns that aren't expected (left out); one that lacks another column is an error that names
+    it. Every year's files are read with that year's own header.
+    """
+    headers = {y: bronze_columns(spark, path, y) for y in years}
+    if lacking := {y: m for y, h in headers.items() if (m := [c for c in expected if c not in h and c not in optional])}:
+        raise ValueError(f"columns missing by year: {lacking}")
+    alike: dict[tuple, list[int]] = {}
+    for y, h in headers.items():
+        alike.setdefault(tuple(h), []).append(y)
+    parts = []
+    for header, of in alike.items():
+        rows = spark.read.schema(", ".join([*(f"`{c}` string" for c in header), "year int"])).option("header", True).option("enforceSchema", False).csv(path).where(F.col("year").isin(of))
+        parts.append(rows.select(*[(F.col(f"`{c}`") if c in header else F.lit(None).cast("string")).alias(c) for c in expected]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bucketed(df: DataFrame, fields: Sequence[str], buckets: int, name: str) -> DataFrame:
+    """df as a table in the shared folder whose files are buckets of the fields, a file each: groupings and windows by these fields, or by more, need no
+    exchange. Rows alike in the fields share a bucket, so take fields without one that many rows hold alone."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *fields).write.option("path", fresh_path(spark, table)).bucketBy(buckets, *fields).saveAsTable(table)
+    return spark.table(table)
 
 
 def write_mart(df: DataFrame, path: str, order: list, minimum: int = MIN_CELL) -> DataFrame:

@@ -43,7 +43,7 @@ def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float
     n = F.col("n") if "n" in rows.columns else F.lit(1)
     fields = (AREA, *CATEGORICAL)
     cells = rows.groupBy(by, "is_black", *CONTINUOUS, *fields).agg(F.sum(n).alias("n"), F.sum(F.col("is_denied") * n).alias("d"))
-    logs = [F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) for c in CONTINUOUS]
+    logs = [F.when(F.col(c).isNotNull(), F.log1p(F.greatest(F.col(c), F.lit(0.0)))).alias(c) for c in CONTINUOUS]  # greatest() passes nulls over; medians fill them
     cells = written(cells.select(F.col(by).alias("by"), "is_black", "n", "d", *logs, *[F.coalesce(c, F.lit("Missing")).alias(c) for c in fields]), "model-cells")
 
     sides = {(r["by"], r["is_black"]): r for r in cells.groupBy("by", "is_black").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).collect()}  # two rows a model

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import pathlib
 from collections import Counter
 from datetime import UTC, datetime
@@ -13,7 +14,7 @@ from riskspark import governance as G
 from riskspark import io
 from riskspark import measures as M
 from riskspark import protection as P
-from riskspark import stats
+from riskspark import logistic, stats, uniqueness
 from riskspark.config import ProtectionConfig, QIConfig
 
 
@@ -102,15 +103,35 @@ def test_subject_rights(spark):
     assert [r[0] for r in kept["control"].collect()] == ["S2"] and kept["events"].count() == 1 and kept["totals"].count() == 1
 
 
-def test_gamma_poisson():
-    small = [stats.fit_gamma_poisson([1, 2, 3, 4], [100, 40, 20, 10], c)["population_unique_probability"] for c in (0.1, 0.5)]
+def fitted(spark, sizes, counts, *coverages):
+    return [r for r in uniqueness.gamma_poisson(spark.createDataFrame([(int(k), int(n)) for k, n in zip(sizes, counts, strict=True)], "k long, classes long"), coverages).collect()]
+
+
+def test_gamma_poisson(spark):
+    small = [r.population_unique_probability for r in fitted(spark, [1, 2, 3, 4], [100, 40, 20, 10], 0.1, 0.5)]
     assert 0 <= small[0] < small[1] <= 1
-    assert stats.fit_gamma_poisson([1, 10], [10000, 100], 0.25)["fit_status"] == "boundary_fit_not_reportable"
+    assert fitted(spark, [1, 10], [10000, 100], 0.25)[0].fit_status == "boundary_fit_not_reportable"
     rng = np.random.default_rng(1)
     cells = rng.gamma(0.7, 1 / 0.35, 30_000)
     seen, rest = rng.poisson(cells * 0.25), rng.poisson(cells * 0.75)
     k, n = np.unique(seen[seen > 0], return_counts=True)
-    assert abs(stats.fit_gamma_poisson(k, n, 0.25)["population_unique_probability"] - ((seen == 1) & (rest == 0)).sum() / (seen == 1).sum()) < 0.04
+    r = fitted(spark, k, n, 0.25)[0]
+    assert abs(r.population_unique_probability - ((seen == 1) & (rest == 0)).sum() / (seen == 1).sum()) < 0.04
+
+    def likelihood(shape, rate, c=0.25):  # of a plain sum over classes
+        none = shape * math.log(rate / (rate + c))
+        each = [math.lgamma(x + shape) - math.lgamma(shape) - math.lgamma(x + 1) + none + x * math.log(c / (rate + c)) - math.log(-math.expm1(none)) for x in k]
+        return float(np.dot(each, n))
+
+    assert r.log_likelihood == pytest.approx(likelihood(r.gamma_shape, r.gamma_rate), abs=1e-6)
+    assert all(likelihood(r.gamma_shape * math.exp(a), r.gamma_rate * math.exp(b)) < r.log_likelihood for a, b in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3), (1e-3, 1e-3), (-1e-3, -1e-3)))
+
+
+def test_log_gamma(spark):
+    points = [1e-4, 0.03, 0.5, 1.0, 1.5, 2.0, 7.25, 30.0, 1e3, 1e6, 1e7, 1e12]
+    got = {r.x: r.y for r in spark.createDataFrame([(x,) for x in points], "x double").select("x", uniqueness.log_gamma(F.col("x")).alias("y")).collect()}
+    for x in points:
+        assert got[x] == pytest.approx(math.lgamma(x), rel=1e-13, abs=5e-14)
 
 
 def test_random_jobs_do_not_depend_on_partitions(spark):
@@ -119,7 +140,8 @@ def test_random_jobs_do_not_depend_on_partitions(spark):
     a, b = df.repartition(1), df.repartition(7)
     assert stats.permutation_null(a, 40).collect() == stats.permutation_null(b, 40).collect()
     f = ["census_tract", "applicant_age", "derived_race"]
-    assert stats.subsample_uniqueness(a, f, 0.5, 40).collect() == stats.subsample_uniqueness(b, f, 0.5, 40).collect()
+    for leaf in (4096, 2):  # one leaf, and a tree of several levels
+        assert uniqueness.subsample_uniqueness(a, f, 0.5, 40, leaf=leaf).collect() == uniqueness.subsample_uniqueness(b, f, 0.5, 40, leaf=leaf).collect()
 
 
 def test_adjusted_model(spark):
@@ -127,10 +149,10 @@ def test_adjusted_model(spark):
     b = rng.integers(0, 2, 1500)
     y = rng.random(1500) < 1 / (1 + np.exp(1 - 0.65 * b))
     rows = [(int(i), int(j), float(x), 100000.0, *["a" if x > 40 else "b"] * 9) for i, j, x in zip(b, y, rng.uniform(20, 90, 1500), strict=True)]
-    df = spark.createDataFrame(rows, "is_black int, is_denied int, protected_income double, protected_loan_amount double, " + ", ".join(f"{c} string" for c in stats.CATEGORICAL))
-    r = stats.adjusted_disparity(df).first()
+    df = spark.createDataFrame(rows, "is_black int, is_denied int, protected_income double, protected_loan_amount double, " + ", ".join(f"{c} string" for c in (*logistic.CATEGORICAL, logistic.AREA)))
+    r = logistic.adjusted_disparity(df).first()
     assert r.converged and r.odds_ratio_ci_low < np.exp(0.65) < r.odds_ratio_ci_high
-    assert stats.adjusted_disparity(df.where("is_black = 0")).first().status == "insufficient_retained_comparison"
+    assert logistic.adjusted_disparity(df.where("is_black = 0")).first().status == "insufficient_retained_comparison"
 
 
 def test_adjusted_disparity_has_every_configuration(spark):
@@ -173,21 +195,26 @@ def test_release_risk_takes_all_quasi_identifiers(spark):
     assert {r.observed_equivalence_classes for r in queries.QUERIES["gamma_poisson_uniqueness"](spark, sf).collect()} == {classes}
 
 
-def test_gamma_poisson_needs_two_classes():
+def test_gamma_poisson_needs_two_classes(spark):
     for sizes, counts in (([1], [1]), ([0, 1], [3, 3])):
         with pytest.raises(ValueError):
-            stats.fit_gamma_poisson(sizes, counts, 0.5)
+            fitted(spark, sizes, counts, 0.5)
 
 
 def test_subsampling_draws_like_shuffled_records(spark):
     k = [1] * 300 + [2] * 80 + [3] * 40 + [9] * 5
     rows = [(f"c{i}",) for i, n in enumerate(k) for _ in range(n)]
-    got = stats.subsample_uniqueness(spark.createDataFrame(rows, "tract string"), ["tract"], 0.4, 400).first()
+    df = spark.createDataFrame(rows, "tract string")
+    got = [uniqueness.subsample_uniqueness(df, ["tract"], 0.4, 400, leaf=leaf).first() for leaf in (4096, 8)]
+    assert got[0].sample_unique_records == 300 and got[0].estimated_population_unique_records == pytest.approx(300 * got[0].mean_share, abs=1e-4)
+    with pytest.raises(ValueError):
+        uniqueness.subsample_uniqueness(df, ["tract"], 1.0)
     rng, owner, shares = np.random.default_rng(7), np.repeat(np.arange(len(k)), k), []
     for _ in range(2000):
         n = np.bincount(owner[rng.permutation(len(owner))[: round(0.4 * len(owner))]], minlength=len(k))
         shares.append((n[:300] == 1).sum() / (n == 1).sum())
-    assert abs(got.mean_share - np.mean(shares)) < 5 * np.std(shares) / np.sqrt(350) and abs(got.sd_share / np.std(shares) - 1) < 0.25
+    for r in got:
+        assert abs(r.mean_share - np.mean(shares)) < 5 * np.std(shares) / np.sqrt(350) and abs(r.sd_share / np.std(shares) - 1) < 0.25
 
 
 def test_holm(spark):
@@ -229,8 +256,8 @@ def test_roll_up_equals_protection_of_records(spark):
     from riskspark import queries
 
     app = queries.load(spark, "/root/testdata/sf0.001")
-    for p, n in P.rolled(app, P.PROTECTIONS):
+    for p, n in P.rolled(app, P.PROTECTIONS)[0]:
         direct = C.k_distribution(C.equivalence_classes(P.protected(app, p), P.INSTITUTION))
-        again = n.groupBy("k").agg(F.sum("n").alias("records"))
+        again = n.groupBy("k").agg(F.sum("k").alias("records"))
         assert sorted((r.k, r.records) for r in direct.collect()) == sorted((r.k, r.records) for r in again.collect())
     assert P.nests(P.PROTECTIONS[2], P.PROTECTIONS[3]) and not P.nests(P.PROTECTIONS[3], P.PROTECTIONS[2])
