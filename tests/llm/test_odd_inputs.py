@@ -1,4 +1,4 @@
-"""All ten operators on null ids, repeated rows, ties, very long texts, empty tables and extra columns with clashing names."""
+"""The first ten operators on null ids, repeated rows, ties, very long texts, empty tables and extra columns with clashing names."""
 
 import zlib
 
