@@ -32,7 +32,8 @@ def whole_components(column: Column, dims: int, scale: int) -> tuple[Column, Col
     finite = F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     whole = F.transform(column, lambda v: F.floor(v.cast("double") * F.lit(float(scale))))
     fits = F.forall(whole, lambda v: F.abs(v) <= LIMIT)
-    return (F.size(column) == dims) & finite, F.when(fits, whole).otherwise(F.raise_error(F.lit("a component is too large for 64-bit distances"))).cast("array<int>")
+    counts = F.coalesce((F.size(column) == dims) & finite, F.lit(False))
+    return counts, F.when(~counts, None).when(fits, whole).otherwise(F.raise_error(F.lit("a component is too large for 64-bit distances"))).cast("array<int>")
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
