@@ -23,6 +23,8 @@ from riskspark.llm.common import materialize, text_hash
 ANCHOR = 32
 CHUNK = 1 << 20  # bytes of a text looked at together; positions inside fit the low bits of the minimizer keys
 SHARD_BYTES = 1 << 21
+#: Bytes of runs that a task sorts, shard after shard.
+TASK_BYTES = 1 << 27
 #: Windows that leave a task together when they are compared by fingerprints.
 PRINTS = 1 << 17
 #: Runs of one minimizer hash above this many bytes are compared by window fingerprints summed on Spark, not in one task.
@@ -317,7 +319,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", length: int = 200) ->
     total = differing.where(F.col("bytes") <= HOT_BYTES).agg(F.sum(F.col("one.n") + (length - 1))).first()[0] or 0
     hot = differing.where(F.col("bytes") > HOT_BYTES).select("mh").distinct()
     ranges = "mh long, sh long, ranges array<struct<a:int,z:int>>"
-    cool = bodies.join(hot, "mh", "left_anti").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES), "mh").sortWithinPartitions("mh")
+    cool = bodies.join(hot, "mh", "left_anti").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES), "mh").sortWithinPartitions("mh")
     sorted_ = cool.mapInArrow(_sort_shards(length), ranges)
     prints = materialize(bodies.join(hot, "mh", "left_semi").mapInArrow(_fingerprints(length), "w1 long, w2 long, mh long, sh long, i int"), "fingerprints")
     again = prints.groupBy("w1", "w2").count().where("count > 1").drop("count")
