@@ -31,10 +31,16 @@ def score_k(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def tier_profiles(df: DataFrame, tiers: dict[str, Sequence[str]] = TIERS) -> dict[str, DataFrame]:
-    """Classes of nested tiers over one exchange: rows dealt by the fields that all tiers share satisfy every grouping."""
-    shared = [f for f in next(iter(tiers.values())) if all(f in t for t in tiers.values())]
-    dealt = df.repartition(*shared) if shared else df
-    return {name: equivalence_classes(dealt, fields) for name, fields in tiers.items()}
+    """Classes of nested tiers: records are counted by the most fields, coarser tiers add up finer ones, so tasks sum before every exchange and no
+    class of many records is dealt row by row. Spark reuses the exchanges that tiers share."""
+    done: list[tuple[set[str], DataFrame]] = []
+    out = {}
+    for name, fields in sorted(tiers.items(), key=lambda t: -len(t[1])):
+        guard(df, fields)
+        finer = next((d for f, d in reversed(done) if set(fields) <= f), None)
+        out[name] = equivalence_classes(df, fields) if finer is None else finer.groupBy(*fields).agg(F.sum("k").alias("k"))
+        done.append((set(fields), out[name]))
+    return {name: out[name] for name in tiers}
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -160,6 +160,14 @@ def frontier(cells: DataFrame, base: str = "cfpb_current", k_min: int = 5, minim
     )
 
 
+def frontier_report(published: DataFrame) -> DataFrame:
+    """One row of metadata for the published frontier rows: what the utility figure is, how many rows there are and how many are redacted."""
+    return published.agg(F.count("*").alias("rows"), F.count_if(F.col("suppression_status").isNotNull()).alias("redacted_rows")).select(
+        F.lit(True).alias("aggregate_only"), F.lit(0.05).alias("alpha"), F.lit(0.8).alias("power"), F.lit("decision-only two-proportion MDE for each declared release state").alias("utility_metric"),
+        F.lit("Adjusted fair-lending model remains required for final determination").alias("limitations"), "rows", "redacted_rows",
+    )
+
+
 def modeling_cohort(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """Internal, row grain: decisions on the two focal cohorts in classes that survive suppression. Never published."""
     parts = []

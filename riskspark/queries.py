@@ -557,6 +557,13 @@ def frontier_export(spark: SparkSession, d: str) -> DataFrame:
     return io.write_mart(mart.withColumn("utility_status", status), fresh_path(spark, "frontier"), [F.col("pre_suppression_uniqueness_rate").desc(), "configuration"])
 
 
+@query(_FRONTIER.replace("select release as configuration", ", f as (select release as configuration").replace("from shown", "from shown)") + f""" select true as aggregate_only, 0.05e0 as alpha, 0.8e0 as power, 'decision-only two-proportion MDE for each declared release state' as utility_metric,
+ 'Adjusted fair-lending model remains required for final determination' as limitations, count(*)::bigint as rows, count(*) filter (least(record_count, reference_n, comparison_n) < {MIN_CELL})::bigint as redacted_rows from f""")
+def frontier_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What goes with the published frontier."""
+    return P.frontier_report(frontier_export(spark, d))
+
+
 @query(f"select activity_year, derived_race, derived_ethnicity, count(*)::bigint as record_count, sum(is_denied::int)::double / count(is_denied) as denial_rate from app group by 1, 2, 3 having count(*) >= {MIN_CELL}")
 def materialized_mart(spark: SparkSession, d: str) -> DataFrame:
     return io.materialize_mart(C.cohort_counts(load(spark, d)), fresh_path(spark, "cohort-counts"))
@@ -727,7 +734,7 @@ def permutation_null(spark: SparkSession, d: str) -> DataFrame:
 def quintile_permutation(spark: SparkSession, d: str) -> DataFrame:
     raw = lar(spark, d)
     quintiles = D.residential_density(_context(raw)).select("census_tract", F.col("residential_density_quintile").alias("quintile"))
-    return stats.quintile_permutation(applications(stage(raw)), quintiles, 200)
+    return stats.quintile_permutation(applications(stage(raw)), quintiles)
 
 
 _BOOT = " + ".join(f"(u >= {p!r}e0)::int" for p in stats._poisson_steps())

@@ -13,7 +13,7 @@ from riskspark import density as D
 from riskspark import governance as G
 from riskspark import io, logistic, queries
 from riskspark import protection as P
-from riskspark.classes import equivalence_classes
+from riskspark.classes import equivalence_classes, tier_profiles
 from riskspark.config import DEMO_GEO, TIERS
 from riskspark.lar import TEXT_COLUMNS, load
 from riskspark.ranking import exact_percentile, ntile, ranked
@@ -162,7 +162,7 @@ def test_one_exchange_for_each_configuration(spark):
 def test_hot_classes_are_counted_before_they_are_dealt(spark):
     app = load(spark, SF)
     hot = app.union(app.limit(1).crossJoin(spark.range(20_000).select()))  # most records in one class
-    for df in (equivalence_classes(hot, DEMO_GEO), D.risk_by_residential(hot, queries._context(queries.lar(spark, SF)))):
+    for df in (equivalence_classes(hot, DEMO_GEO), *tier_profiles(hot).values(), D.risk_by_residential(hot, queries._context(queries.lar(spark, SF)))):
         found = plan(df)
         assert "Window" not in found and "partial_count" in found
     p = P.ProtectionConfig("x", "county", 25_000, 50_000, 5)
@@ -228,3 +228,15 @@ def test_a_deletion_cut_short_is_finished(spark, tmp_path):
     assert spark.read.parquet(path).count() == 100  # not begun to move
     G.finish_deletion(spark, path)
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [0, *range(2, 100)] and not list(pathlib.Path(path).glob("_de*"))
+
+
+def test_all_marts_in_order_go_on_where_they_stopped(spark, tmp_path):
+    from riskspark.run_all import MARTS, run_all
+
+    assert set(MARTS) <= set(queries.QUERIES)
+    some = ("risk_cohort_counts", "class_diversity")
+    first = run_all(spark, SF, str(tmp_path), some).collect()
+    pathlib.Path(tmp_path, "class_diversity", "_SUCCESS").unlink()
+    kept = pathlib.Path(tmp_path, "risk_cohort_counts", "_SUCCESS").stat().st_mtime_ns
+    assert run_all(spark, SF, str(tmp_path), some).collect() == first and first[0].rows > 0
+    assert pathlib.Path(tmp_path, "risk_cohort_counts", "_SUCCESS").stat().st_mtime_ns == kept
