@@ -31,15 +31,15 @@ def score_k(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def tier_profiles(df: DataFrame, tiers: dict[str, Sequence[str]] = TIERS) -> dict[str, DataFrame]:
-    """Classes of nested tiers: records are counted by the most fields, coarser tiers add up finer ones, so tasks sum before every exchange and no
-    class of many records is dealt row by row. Spark reuses the exchanges that tiers share."""
-    done: list[tuple[set[str], DataFrame]] = []
-    out = {}
+    """Classes of nested tiers: records are counted by the most fields, whose classes the coarser tiers add up, so tasks sum before every exchange and
+    no class of many records is dealt row by row. Spark reuses the first exchange."""
+    out: dict[str, DataFrame] = {}
+    finest = None
     for name, fields in sorted(tiers.items(), key=lambda t: -len(t[1])):
         guard(df, fields)
-        finer = next((d for f, d in reversed(done) if set(fields) <= f), None)
-        out[name] = equivalence_classes(df, fields) if finer is None else finer.groupBy(*fields).agg(F.sum("k").alias("k"))
-        done.append((set(fields), out[name]))
+        nested = finest is not None and set(fields) <= set(finest.columns)
+        out[name] = finest.groupBy(*fields).agg(F.sum("k").alias("k")) if nested else equivalence_classes(df, fields)
+        finest = out[name] if finest is None else finest
     return {name: out[name] for name in tiers}
 
 

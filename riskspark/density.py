@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskspark.classes import equivalence_classes, share
 from riskspark.config import DEMO_GEO, MIN_CELL
 from riskspark.ranking import exact_percentile, ntile
-from riskspark.shared import small_table
+from riskspark.shared import broadcast_within
 
 
 def tract_population(raw: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def _record_risk() -> list[Column]:
 
 
 def risk_by_release(app: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
-    joined = equivalence_classes(app, DEMO_GEO).join(small_table(release_density(app), "release-density"), "census_tract")
+    joined = equivalence_classes(app, DEMO_GEO).join(broadcast_within(release_density(app)), "census_tract")
     n = F.sum("k")
     out = joined.groupBy("release_density_quintile", "derived_race", "derived_ethnicity").agg(n.alias("record_count"), share(F.sum(F.when(F.col("k") == 1, 1).otherwise(0)), n).alias("sample_uniqueness_rate"), share(F.count("*"), n).alias("prosecutor_expected_match_risk"))
     return out.where(F.col("record_count") >= minimum)
@@ -89,7 +89,7 @@ def release_overall(by_cell: DataFrame) -> DataFrame:
 
 def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Cohorts and, as ALL, whole quintiles, in one pass of grouping sets."""
-    q = small_table(residential_density(context).select("census_tract", "residential_density_quintile"), "residential-density")
+    q = broadcast_within(residential_density(context).select("census_tract", "residential_density_quintile"))
     scored = equivalence_classes(app, DEMO_GEO).join(q, "census_tract")
     keys = [F.col("residential_density_quintile"), F.col("derived_race"), F.col("derived_ethnicity")]
     out = scored.groupingSets([keys, keys[:1]], *keys).agg(F.grouping_id().alias("gid"), *_record_risk()).where(F.col("record_count") >= minimum)
@@ -98,8 +98,8 @@ def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_C
 
 
 def risk_by_cross(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
-    a = small_table(residential_density(context).select("census_tract", "residential_density_quintile"), "residential-density")
-    b = small_table(release_density(app).select("census_tract", "release_density_quintile"), "release-density")
+    a = broadcast_within(residential_density(context).select("census_tract", "residential_density_quintile"))
+    b = broadcast_within(release_density(app).select("census_tract", "release_density_quintile"))
     out = equivalence_classes(app, DEMO_GEO).join(a, "census_tract").join(b, "census_tract").groupBy("residential_density_quintile", "release_density_quintile").agg(*_record_risk())
     return out.where(F.col("record_count") >= minimum)
 
@@ -114,7 +114,7 @@ AUDIT = {"derived_race": "derived_race", "derived_ethnicity": "derived_ethnicity
 
 def exclusion_audit(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Records kept and dropped by the density join, by five dimensions, in one pass."""
-    tracts = small_table(residential_density(context).select("census_tract", F.lit(True).alias("matched")), "tracts")
+    tracts = broadcast_within(residential_density(context).select("census_tract", F.lit(True).alias("matched")))
     joined = app.join(tracts, "census_tract", "left").withColumn("join_status", F.when(F.col("matched"), "retained").otherwise("dropped"))
     stack = ", ".join(f"'{k}', {v}" for k, v in AUDIT.items())
     long = joined.select("join_status", F.expr(f"stack({len(AUDIT)}, {stack}) as (dimension, category)"))
