@@ -105,7 +105,7 @@ def log_gamma(x: Column) -> Column:
 # Where the search begins, and what a fit at the edge is.
 SHAPES, RATES = tuple(np.linspace(math.log(0.03), math.log(30), 28)), tuple(np.linspace(math.log(0.01), math.log(100), 32))
 SMALLEST_SHAPE, SMALLEST_RATE, LARGEST_RATE = 1e-4, 1e-5, 1e5
-ASSUMPTION = "scenario_only_hmda_coverage_fraction_not_identified"
+ASSUMPTION = "scenario_only_coverage_fraction_not_identified"
 
 
 def shape_sums(histogram: DataFrame, shapes: Sequence[float]) -> DataFrame:
