@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +51,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LAR_SCHEMA).option("header", True).csv(path)
 
 
-def stage(raw: DataFrame) -> DataFrame:
+def stage(raw: DataFrame, columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
     """Typed columns: years and actions must be integers; incomes (thousands) and amounts become null where they aren't numbers."""
     typed = {"activity_year": F.col("activity_year").cast("int"), "income": F.col("income").try_cast("double") * F.lit(1000.0), "loan_amount": F.col("loan_amount").try_cast("double"), "action_taken": F.col("action_taken").cast("int")}
-    return raw.select(*[typed.get(c, F.col(c)).alias(c) for c in TEXT_COLUMNS])
+    return raw.select(*[typed.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def applications(staged: DataFrame, first: int = 2018, last: int = 2025) -> DataFrame:

@@ -60,9 +60,14 @@ def silver(spark: SparkSession, d: str) -> DataFrame:
     return io.materialize_mart(load(spark, d), fresh_path(spark, "applications"))
 
 
-def bronze(spark: SparkSession, d: str) -> DataFrame:
-    """Raw applications, written once for jobs that need both the applications and the tracts' context."""
-    return io.materialize_mart(lar(spark, d), fresh_path(spark, "raw"))
+#: What the density jobs read of an application.
+_DENSITY = (*DEMO_GEO, "activity_year", "action_taken")
+
+
+def bronze(spark: SparkSession, d: str, fields: tuple[str, ...] = _DENSITY) -> tuple[DataFrame, DataFrame]:
+    """(raw applications, the silver table) of the fields, written once for jobs that need both the applications and the tracts' context."""
+    raw = io.materialize_mart(lar(spark, d).select(*fields, "tract_population"), fresh_path(spark, "raw"))
+    return raw, applications(stage(raw, fields))
 
 
 def _context(raw: DataFrame) -> DataFrame:
@@ -222,20 +227,20 @@ _SCORED = f", s as (select {_DEMO}, count(*) over (partition by {_DEMO}) as k fr
 
 @query(_SCORED + f" select residential_density_quintile, derived_race, derived_ethnicity, {_REC} from s join res using (census_tract) group by 1, 2, 3 having count(*) >= {MIN_CELL} union all select residential_density_quintile, 'ALL', 'ALL', {_REC} from s join res using (census_tract) group by 1 having count(*) >= {MIN_CELL}", ctx=True)
 def risk_by_residential_density(spark: SparkSession, d: str) -> DataFrame:
-    raw = bronze(spark, d)
-    return D.risk_by_residential(applications(stage(raw)), _context(raw))
+    raw, app = bronze(spark, d)
+    return D.risk_by_residential(app, _context(raw))
 
 
 @query(_SCORED + f" select residential_density_quintile, release_density_quintile, {_REC} from s join res using (census_tract) join rel using (census_tract) group by 1, 2 having count(*) >= {MIN_CELL}", ctx=True)
 def risk_by_density_cross(spark: SparkSession, d: str) -> DataFrame:
-    raw = bronze(spark, d)
-    return D.risk_by_cross(applications(stage(raw)), _context(raw))
+    raw, app = bronze(spark, d)
+    return D.risk_by_cross(app, _context(raw))
 
 
 @query("select round(corr(residential_density_quintile, release_density_quintile), 9) as quintile_correlation, count(*)::bigint as matched_tracts from res join rel using (census_tract)", ctx=True)
 def density_association(spark: SparkSession, d: str) -> DataFrame:
-    raw = bronze(spark, d)
-    return D.association(applications(stage(raw)), _context(raw))
+    raw, app = bronze(spark, d)
+    return D.association(app, _context(raw))
 
 
 _J = "j as (select app.*, case when res.census_tract is null then 'dropped' else 'retained' end as join_status from app left join res using (census_tract))"
@@ -243,8 +248,8 @@ _J = "j as (select app.*, case when res.census_tract is null then 'dropped' else
 
 @query(f", {_J} select * from (" + " union all ".join(f"select '{k}' as dimension, {v} as category, join_status, count(*)::bigint as record_count from j group by all" for k, v in D.AUDIT.items()) + f") where record_count >= {MIN_CELL}", ctx=True)
 def density_join_exclusion_audit(spark: SparkSession, d: str) -> DataFrame:
-    raw = bronze(spark, d)
-    return D.exclusion_audit(applications(stage(raw)), _context(raw))
+    raw, app = bronze(spark, d, (*_DENSITY, "derived_dwelling_category", "lei"))
+    return D.exclusion_audit(app, _context(raw))
 
 
 def _configured() -> str:

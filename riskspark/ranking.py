@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +62,14 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, at: float =
     fields = [*keys, "_v", "_n", "_part"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*fields).schema)
 
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
-        for pdf in batches:
-            upto = before + np.cumsum(pdf["_n"].to_numpy(np.int64))
-            yield pdf.assign(_upto=upto)
-            before = int(upto[-1]) if len(upto) else before
+        for b in batches:
+            upto = pc.add(pc.cumulative_sum(b.column("_n")), before)
+            yield pa.RecordBatch.from_arrays([*b.columns, upto], [*b.schema.names, "_upto"])
+            before = upto[-1].as_py() if len(upto) else before
 
-    dealt = written(dealt.select(*fields).mapInPandas(summed, f"{kinds}, _upto long"), "values")
+    dealt = written(dealt.select(*fields).mapInArrow(summed, f"{kinds}, _upto long"), "values")
     dealt, _ = _with_offsets(dealt, F.col("_part"), [tuple(r) for r in dealt.groupBy("_part").agg(F.sum("_n")).collect()])
     upto = F.col("_start") + F.col("_upto")
     placed = dealt.select(*keys, "_v", (upto - F.col("_n")).alias("_from"), upto.alias("_to"))
