@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm import decontam, langid, minhash, mixing, sharding
-from riskspark.llm.common import broadcast_within, materialize, table, text_hash
+from riskspark.llm.common import broadcast_within, discard, materialize, scratch, table, text_hash
 
 #: Documents whose nearest language profile shares less than this with them are in no known language.
 MIN_LANGUAGE_SCORE = 0.1
@@ -106,9 +106,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of what all stages keep. What a stage wrote for itself, and what it read, goes when its own result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark):
+            kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if i:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

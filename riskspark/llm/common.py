@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What a task gets of a frame sent to all of them at most.
 MAX_BROADCAST_BYTES = 1 << 25
 _OWN_DIR: list[str] = []
+#: Folders written inside the open scratch blocks, innermost last.
+_FOLDERS: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,20 +34,60 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN_DIR[0]
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
+def _fresh(spark: SparkSession, name: str, keep: bool = False) -> str:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _FOLDERS and not keep:
+        _FOLDERS[-1].append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    The folder stays until it is discarded or, unless keep is set, the scratch block around ends.
+    """
+    spark = df.sparkSession
+    path = _fresh(spark, name, keep)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folder of a materialized frame that nothing reads any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder)).toString())
+
+
+@contextmanager
+def in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> Iterator[DataFrame]:
+    """The frame as a table in hash buckets of a column, dropped at the block's end: groupings and windows by the column need no exchange."""
+    spark, table_name, path = df.sparkSession, f"{name}_{uuid.uuid4().hex}", _fresh(df.sparkSession, name)
+    df.write.option("path", path).bucketBy(buckets, column).saveAsTable(table_name)
+    try:
+        yield spark.table(table_name)
+    finally:
+        spark.sql(f"drop table {table_name}")
+        _delete(spark, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators materialize inside this block is deleted at its end, also after an error: write the results with keep set, or elsewhere, before."""
+    own: list[str] = []
+    _FOLDERS.append(own)
+    try:
+        yield
+    finally:
+        del _FOLDERS[next(i for i, x in enumerate(_FOLDERS) if x is own)]
+        for folder in own:
+            _delete(spark, folder)
 
 
 def broadcast_within(df: DataFrame, row_bytes: Column | int = 64, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
