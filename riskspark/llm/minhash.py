@@ -270,12 +270,18 @@ def _link_groups(percent: int):
     return run
 
 
-def _linked(docs: DataFrame, text: str, deals: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """Links found by dealing each node's set to the tasks (g, a, b) that deals (node, g, a, b, role, root) names."""
-    asked = deals.groupBy("node").agg(F.collect_list(F.struct("g", "a", "b", "role", "root")).alias("deals"))  # a node's bands, and blocks of its groups
-    texts = docs.where(F.col("doc_id").isNotNull()).select(_node(F.col("doc_id").cast("long"), text_hash(F.col(text))).alias("node"), F.col(text).alias("t"))
-    found = texts.join(asked.hint("shuffle_hash"), "node").select("node.d", "node.h", "t", "deals")
-    dealt = found.mapInArrow(_to_sets(words), "g long, a long, b long, role long, root long, d long, h long, hashes array<bigint>")
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(node, t) of the rows with a doc_id."""
+    return docs.where(F.col("doc_id").isNotNull()).select(_node(F.col("doc_id").cast("long"), text_hash(F.col(text))).alias("node"), F.col(text).alias("t"))
+
+
+def _dealt(deals: DataFrame) -> DataFrame:
+    return deals.groupBy("node").agg(F.collect_list(F.struct("g", "a", "b", "role", "root")).alias("deals"))  # a node's bands, and blocks of its groups
+
+
+def _linked(found: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """Links found by dealing each node's set to the tasks (g, a, b) that its deals name; found: (node, t, deals)."""
+    dealt = found.select("node.d", "node.h", "t", "deals").mapInArrow(_to_sets(words), "g long, a long, b long, role long, root long, d long, h long, hashes array<bigint>")
     dealt = dealt.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b")
     return materialize(dealt.mapInArrow(_link_groups(percent), f"a {_NODE}, b {_NODE}"), name)
 
@@ -337,7 +343,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
     spots = F.when(F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
     zero = F.lit(0).cast("long")
     deals = members.join(blocks, "g").select("node", "g", zero.alias("a"), F.explode(spots).alias("b"), zero.alias("role"), F.xxhash64("node").alias("root"))
-    links = _linked(docs, text, deals, words, percent, "links")
+    # the texts meet the deals once: a second round of deals reads those of the groups' members alone, each once
+    found = _texts(docs, text).join(_dealt(deals).hint("shuffle_hash"), "node").dropDuplicates(["node"])
+    grouped = materialize(found, "grouped-texts")
+    links = _linked(grouped, words, percent, "links")
     roots = components(links)
 
     large = materialize(blocks.where("blocks > 1"), "large-groups")
@@ -353,8 +362,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = 5, percent
         every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
         met = open_.select("node", "g", every("outside").alias("a"), spot("blocks").alias("b"), F.when(out, 3).otherwise(2).cast("long").alias("role"), "root")
         asking = open_.where(out).select("node", "g", spot("outside").alias("a"), every("blocks").alias("b"), F.lit(1).cast("long").alias("role"), "root")
-        links = links.union(_linked(docs, text, met.union(asking), words, percent, "links"))
+        again = grouped.select("node", "t").join(_dealt(met.union(asking)).hint("shuffle_hash"), "node")
+        links = links.union(_linked(again, words, percent, "links"))
         roots = components(links)
+    discard(grouped)
 
     of_class = classes.join(roots, "node", "left").select("n", "f1", "f2", F.coalesce("root", "node")["d"].alias("component"))
     out = signed.drop("bands").join(of_class, ["n", "f1", "f2"], "left")

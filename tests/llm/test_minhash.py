@@ -88,3 +88,20 @@ def test_skewed_bucket_null_ids_and_clashing_columns(spark):
     got = minhash.near_duplicates(df).collect()
     assert len(got) == 2003 and sum(r.kept for r in got) == 4
     assert {r.component_id for r in got if r.doc_id is not None and r.doc_id < 2000} == {0}
+
+
+def test_a_second_round_of_deals_reads_no_whole_table_again(spark, monkeypatch):
+    texts = near_group(6, 120, 80, 22) + [f"only {i} of {i * i} these {i + 1} words stand {i + 2} here" for i in range(400)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).mapInArrow(counted, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 8 * 80 * 15)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, words=3, percent=85).collect())
+    assert got == sorted(brute.op6(docs))
+    assert read.value == 2 * len(docs)  # for the signatures and for the first round
