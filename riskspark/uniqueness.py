@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from riskspark.classes import equivalence_classes
 from riskspark.shared import SEED, key_seed, written
 
-#: Classes of a leaf of the draw tree, on average.
-LEAF = 4096
+#: Classes of a leaf of the draw tree, on average; leaves that one task draws, on average.
+LEAF, TASK_LEAVES = 4096, 16
 
 
 def _tree(classes: DataFrame, depth: int) -> DataFrame:
@@ -74,6 +74,8 @@ def subsample_uniqueness(df: DataFrame, fields: Sequence[str], fraction: float,
                         single += [int((rng.multivariate_hypergeometric(each, int(x), method="marginals") == 1).sum()) if x else 0 for x in got]
                 yield pd.DataFrame({"replicate": np.arange(replicates, dtype=np.int32), "draw_unique": single, "also_unique": also})
 
+    # a leaf's row is small but its draws are not, so tasks are counted by leaves: by bytes Spark would put them all into one
+    tree = tree.repartition(max(1, 2**depth // TASK_LEAVES), "leaf")
     per = tree.mapInPandas(drawn, "replicate int, draw_unique long, also_unique long")
     s = per.groupBy("replicate").agg(F.sum("draw_unique").alias("d"), F.sum("also_unique").alias("a")).where("d > 0").select((F.col("a") / F.col("d")).alias("s"))
     out = s.agg(F.count("*").alias("usable_replicates"), F.round(F.mean("s"), 9).alias("mean_share"), F.round(F.stddev_samp("s"), 9).alias("sd_share"), F.round(F.percentile("s", F.lit(0.025)), 9).alias("share_low"), F.round(F.percentile("s", F.lit(0.975)), 9).alias("share_high"))

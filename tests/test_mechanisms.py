@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskspark import density as D
 from riskspark import governance as G
-from riskspark import io, logistic, queries
+from riskspark import io, logistic, queries, uniqueness
 from riskspark import protection as P
 from riskspark.classes import equivalence_classes, tier_profiles
 from riskspark.config import DEMO_GEO, TIERS
@@ -240,3 +240,12 @@ def test_all_marts_in_order_go_on_where_they_stopped(spark, tmp_path):
     kept = pathlib.Path(tmp_path, "risk_cohort_counts", "_SUCCESS").stat().st_mtime_ns
     assert run_all(spark, SF, str(tmp_path), some).collect() == first and first[0].rows > 0
     assert pathlib.Path(tmp_path, "risk_cohort_counts", "_SUCCESS").stat().st_mtime_ns == kept
+
+
+def test_draws_are_dealt_by_leaves_not_by_bytes(spark, monkeypatch):
+    dealt = []
+    kind = type(spark.range(1))
+    one = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda df, *a, **b: dealt.append(df.rdd.getNumPartitions()) or one(df, *a, **b))
+    uniqueness.subsample_uniqueness(spark.range(3000).withColumn("x", F.col("id") % 1700), ["x"], 0.5, replicates=30, leaf=16)
+    assert dealt == [128 // uniqueness.TASK_LEAVES]  # 1,700 classes in 128 leaves
