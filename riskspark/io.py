@@ -97,6 +97,15 @@ def read_bronze(spark: SparkSession, path: str, years: Sequence[int], expected:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Records of a bucket, on average.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = 16) -> int:
+    """Buckets for a table of so many rows: a bucket is read by one task, so their number grows with the table."""
+    return max(least, -(-rows // BUCKET_ROWS))
+
+
 def bucketed(df: DataFrame, fields: Sequence[str], buckets: int, name: str) -> DataFrame:
     """df as a table in the shared folder whose files are buckets of the fields, a file each: groupings and windows by these fields, or by more, need no
     exchange. Rows alike in the fields share a bucket, so take fields without one that many rows hold alone."""

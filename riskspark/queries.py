@@ -616,7 +616,8 @@ def bronze_evolution(spark: SparkSession, d: str) -> DataFrame:
 @query(f", tiers as ({_TIERS_SQL}) select qi_tier, k, count(*)::bigint as classes, sum(k)::bigint as records from tiers group by all")
 def bucketed_tier_profiles(spark: SparkSession, d: str) -> DataFrame:
     """The tiers from a silver table in buckets of the demographic fields, which no tier's grouping exchanges again."""
-    app = io.bucketed(load(spark, d), DEMO_GEO, 16, "silver")
+    most = spark.read.parquet(f"{d}/lineitem.parquet").count()  # from the files' footers; an application is a line
+    app = io.bucketed(load(spark, d), DEMO_GEO, io.buckets_for(most), "silver")
     parts = [C.k_distribution(C.equivalence_classes(app, f)).withColumn("qi_tier", F.lit(n)) for n, f in TIERS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

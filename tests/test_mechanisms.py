@@ -249,3 +249,7 @@ def test_draws_are_dealt_by_leaves_not_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(kind, "mapInPandas", lambda df, *a, **b: dealt.append(df.rdd.getNumPartitions()) or one(df, *a, **b))
     uniqueness.subsample_uniqueness(spark.range(3000).withColumn("x", F.col("id") % 1700), ["x"], 0.5, replicates=30, leaf=16)
     assert dealt == [128 // uniqueness.TASK_LEAVES]  # 1,700 classes in 128 leaves
+
+
+def test_buckets_grow_with_the_table(spark):
+    assert [io.buckets_for(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [16, 16, 72, 432]
