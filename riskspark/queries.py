@@ -656,8 +656,8 @@ select * from digests union all select section, '', sha256(string_agg(sha256, ',
 @query(_BUNDLE, ctx=True)
 def release_bundle(spark: SparkSession, d: str) -> DataFrame:
     """Digests of the published rows, of the three focal density cohorts, and of each section as a whole."""
-    raw = lar(spark, d)
-    app, cohort = applications(stage(raw)), ["derived_race", "derived_ethnicity"]
+    raw, app = bronze(spark, d, TEXT_COLUMNS)
+    cohort = ["derived_race", "derived_ethnicity"]
     focal = spark.createDataFrame([("ALL", "ALL"), (WHITE, NON_HISPANIC), (BLACK, NON_HISPANIC)], "derived_race string, derived_ethnicity string")
     return io.bundle({
         "risk_metrics_by_race": (C.class_risk(C.equivalence_classes(app, INSTITUTION), cohort), cohort),

@@ -253,3 +253,7 @@ def test_draws_are_dealt_by_leaves_not_by_bytes(spark, monkeypatch):
 
 def test_buckets_grow_with_the_table(spark):
     assert [io.buckets_for(n) for n in (0, 600_000, 36_000_000, 216_000_000)] == [16, 16, 72, 432]
+
+
+def test_the_bundle_joins_its_applications_once(spark):
+    assert "l_orderkey" not in plan(queries.QUERIES["release_bundle"](spark, SF))  # all sections read the written table
