@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
@@ -10,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import materialize, text_hash
+from riskspark.llm.common import broadcast_within, materialize, text_hash
 
 #: What the rules find, and what only the trees do.
 KINDS = ("email", "ip", "card", "phone")
@@ -35,10 +36,12 @@ CANDIDATES = {
     "secret": rf"(?<![A-Za-z0-9+/_-])(?:(?={ISSUED[1:]})|(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]))[A-Za-z0-9+/_-]{{16,}}+",
 }
 CONTEXT_CHARS = 24
-#: The trees are fitted on so many labelled candidates at most, an equal part for each kind and label (those with the smallest hashes).
-MAX_TRAINING_ROWS = 20_000
-#: Spans of a kind, and failed matches of a kind, whose rewritten forms are labelled (those with the smallest hashes).
-MAX_ORIGINS = 2_000
+#: The trees are fitted on all labelled candidates; those of a kind and label together weigh as much as so many rows at most, so that no kind drowns another.
+SIDE_WEIGHT = 2_000
+#: Different rows (by features) that are fitted in one fixed order; more are fitted as they lie, and sums of doubles may differ in their last bits.
+ORDERED_ROWS = 50_000
+#: Spans whose forms one task makes.
+TASK_ORIGINS = 1_000
 #: The precision that a kind's threshold keeps on held-out rows, and the least threshold.
 PRECISION, EVEN = 0.98, 0.5
 
@@ -79,11 +82,11 @@ def plausible(kind: Column, m: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", (plain != m) & plain.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & valid(kind, plain)).otherwise(valid(kind, m))
 
 
-def origins(found: DataFrame, seed: int) -> DataFrame:
-    """(kind, m, before, after, ok): MAX_ORIGINS different spans of each kind that the rules found, and as many matches that failed their second half."""
+def origins(found: DataFrame) -> DataFrame:
+    """(kind, m, before, after, ok): every different span of each kind that the rules found, and every match that failed their second half."""
     each = found.where("base").groupBy("kind", "m", "ok").agg(F.min(F.struct("before", "after")).alias("c")).select("kind", "m", "ok", "c.*")
-    parts = [each.where((F.col("kind") == k) & (F.col("ok") == v)).orderBy(F.xxhash64(F.lit(seed), "m"), "m").limit(MAX_ORIGINS) for k in KINDS for v in (True, False)]
-    return materialize(reduce(DataFrame.unionByName, parts), "pii-origins")
+    each = materialize(each, "pii-origins")
+    return each.repartition(max(1, each.count() // TASK_ORIGINS))  # an origin's row is small but its forms are not
 
 
 def repaired(failed: DataFrame) -> DataFrame:
@@ -184,41 +187,49 @@ def _word() -> Column:
     return F.regexp_extract(F.lower("before"), r"(\p{L}{2,})[^\p{L}]*$", 1)
 
 
-def word_odds(labelled: DataFrame) -> DataFrame:
-    """(wk, ww, odds): how much more often a word stands before positives of a kind than before negatives, of a bounded sample."""
-    n, hits = F.count("*"), F.sum("label")
+def weighed(sums: DataFrame) -> DataFrame:
+    """Summed labelled rows (n of them alike) with their weight w: a kind's rows of a label together weigh SIDE_WEIGHT at most, each of them alike."""
+    side = sums.groupBy("kind", "label").agg(F.sum("n").alias("side"))  # two rows a kind
+    return sums.join(F.broadcast(side), ["kind", "label"]).withColumn("w", F.col("n") * F.least(F.lit(1.0), F.lit(float(SIDE_WEIGHT)) / F.col("side"))).drop("side")
+
+
+def word_odds(sums: DataFrame) -> DataFrame:
+    """(wk, ww, odds): how much more a word's rows before positives of a kind weigh than those before negatives."""
+    n, hits = F.sum("w"), F.sum(F.col("w") * F.col("label"))
     odds = F.log((hits + 1) / (n - hits + 1))
-    return labelled.groupBy(F.col("kind").alias("wk"), _word().alias("ww")).agg(F.round(odds, 6).alias("odds"), n.alias("n")).where("n >= 3").drop("n")
+    return sums.groupBy(F.col("kind").alias("wk"), F.col("word").alias("ww")).agg(F.round(odds, 2).alias("odds"), F.sum("n").alias("n")).where("n >= 3").drop("n")
 
 
 def _with_odds(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """rows with the odds of the word before them; 0 for words that the sample doesn't know. words has no more rows than the sample."""
-    return rows.withColumn("word", _word()).join(F.broadcast(words), (F.col("kind") == F.col("wk")) & (F.col("word") == F.col("ww")), "left").drop("wk", "ww", "word").fillna(0.0, ["odds"])
+    """rows with the odds of the word before them as a feature; 0 for words that no labelled row has."""
+    return rows.join(words, (F.col("kind") == F.col("wk")) & (F.col("word") == F.col("ww")), "left").withColumn("f_word", F.coalesce("odds", F.lit(0.0))).drop("wk", "ww", "word", "odds")
 
 
 def _features(c: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(rows with the word before them and all features but that word's odds, these features)."""
     m, before = F.col("m"), F.lower("before")
     d = digits(m)
+    coarse = lambda v: F.when(F.col("kind") == "secret", F.floor(v / 4) * 4).otherwise(v)  # noqa: E731 - of random characters the exact counts say nothing, and rows alike are summed
     cols = {
-        "f_len": F.length(m), "f_digits": F.length(d), "f_groups": F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), "f_letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
+        "f_len": F.length(m), "f_digits": coarse(F.length(d)), "f_groups": coarse(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)))), "f_letters": coarse(F.length(F.regexp_replace(m, "[^A-Za-z]", ""))),
         "f_plus": m.startswith("+").cast("int"), "f_paren": m.contains("(").cast("int"), "f_dots": F.length(m) - F.length(F.replace(m, F.lit("."), F.lit(""))),
         "f_dash": F.length(m) - F.length(F.replace(m, F.lit("-"), F.lit(""))), "f_space": F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))),
         "f_at": m.contains("@").cast("int"), "f_first": F.when(F.col("kind") == "card", F.substring(d, 1, 1).try_cast("int")).otherwise(-1), "f_luhn": (F.length(d) >= 2).cast("int") * F.coalesce(F.call_function("luhn_check", d).cast("int"), F.lit(0)),
         "f_slash": F.length(m) - F.length(F.replace(m, F.lit("/"), F.lit(""))), "f_hidden": F.size(F.regexp_extract_all(m, F.lit(r"[\(\[\{](?:at|dot|\.)[\)\]\}]"), F.lit(0))), "f_zeros": m.startswith("00").cast("int"),
-        "f_date": m.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?:[^0-9]|$)").cast("int"), "f_thousands": m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$").cast("int"), "f_last": F.length(F.regexp_extract(m, "[0-9]+$", 0)),
-        "f_under": F.length(m) - F.length(F.replace(m, F.lit("_"), F.lit(""))), "f_issued": m.rlike(ISSUED).cast("int"), "f_hex": m.rlike("^[0-9a-f]+$").cast("int"), "f_upper": F.length(F.regexp_replace(m, "[^A-Z]", "")), "f_distinct": F.size(F.array_distinct(F.split(F.left(m, F.lit(256)), ""))), "f_given": before.rlike("[=:] ?[\"']?$").cast("int"), "f_quoted": before.rlike("[\"']$").cast("int"),
+        "f_date": m.rlike(r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})(?:[^0-9]|$)").cast("int"), "f_thousands": m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$").cast("int"), "f_last": coarse(F.length(F.regexp_extract(m, "[0-9]+$", 0))),
+        "f_under": F.length(m) - F.length(F.replace(m, F.lit("_"), F.lit(""))), "f_issued": m.rlike(ISSUED).cast("int"), "f_hex": m.rlike("^[0-9a-f]+$").cast("int"), "f_upper": coarse(F.length(F.regexp_replace(m, "[^A-Z]", ""))), "f_distinct": coarse(F.size(F.array_distinct(F.split(F.left(m, F.lit(256)), "")))), "f_given": before.rlike("[=:] ?[\"']?$").cast("int"), "f_quoted": before.rlike("[\"']$").cast("int"),
         "f_large_part": F.exists(F.split(m, r"[^0-9]+"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(0)) > 255).cast("int"),
         "f_glued_left": before.rlike(r"[A-Za-z0-9]$").cast("int"), "f_glued_right": F.col("after").rlike("^[A-Za-z0-9]").cast("int"),
-        "f_word": F.col("odds"), **{f"f_is_{k}": (F.col("kind") == k).cast("int") for k in ALL_KINDS},
+        **{f"f_is_{k}": (F.col("kind") == k).cast("int") for k in ALL_KINDS},
     }
-    return c.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in cols.items()}), list(cols)
+    return c.withColumns({"word": _word(), **{k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in cols.items()}}), list(cols)
 
 
 def find(docs: DataFrame, text: str = "text", seed: int = 5) -> DataFrame:
     """(doc_id, th, spans) for each row with findings; spans: array of (k, start, end, base, p), by kind and start.
 
-    Base spans are the rules'. Wider generators propose overlapping candidates; gradient-boosted trees, fitted here on a bounded
-    sample, score them by format and by how often the word before them stands before such spans. Positive labels: candidates that equal a validated base
+    Base spans are the rules'. Wider generators propose overlapping candidates; gradient-boosted trees, fitted here on
+    all labelled rows (those alike in features summed into one that has their weight), score them by format and by how often the word before them stands before such spans. Positive labels: candidates that equal a validated base
     span of their kind, and such spans rewritten into forms that the rules miss, where they stand. Negative: candidates that equal a base span of another
     kind, rule matches and untouched candidates that fail validation, plain runs of digits, number forms built from the spans' digits, and failed
     matches laid out so that they pass (`repaired`). Other candidates that touch no base span have no label and are what the trees decide
@@ -243,31 +254,36 @@ def find(docs: DataFrame, text: str = "text", seed: int = 5) -> DataFrame:
     wide = materialize(wide, "pii-wide")
     failed = found.where("base and not ok").withColumn("label", F.lit(0.0))
     seen = wide.where("label is not null").unionByName(failed, allowMissingColumns=True).select("kind", "m", "before", "after", F.col("m").alias("origin"), "label")
-    of = origins(found, seed)
+    of = origins(found)
     labelled = seen.unionByName(rewritten(of)).unionByName(repaired(of)).withColumn("order", F.xxhash64(F.lit(seed), "kind", "origin"))
-    labelled = materialize(labelled, "pii-labelled")
-    parts = [labelled.where((F.col("kind") == k) & (F.col("label") == v)).orderBy("order", "m", "before", "after").limit(MAX_TRAINING_ROWS // (2 * len(ALL_KINDS))) for k in ALL_KINDS for v in (0.0, 1.0)]
-    chosen = materialize(reduce(DataFrame.unionByName, parts), "pii-chosen")
-    words = materialize(word_odds(chosen.where(F.pmod("order", F.lit(4)) != 0)), "pii-words")
-    # of a fifth of the rows the word is left out, as it is where the sample doesn't know it
-    known = _with_odds(chosen, words).withColumn("odds", F.when(F.pmod("order", F.lit(5)) == 0, 0.0).otherwise(F.col("odds")))
-    sample, names = _features(known)
-    sample = materialize(sample.select("kind", "label", "order", *names), "pii-training")
+    rows, names = _features(labelled)
+    # of a fifth of the rows the word is left out, as it is where no labelled row has it
+    rows = rows.select("kind", "label", "word", (F.pmod("order", F.lit(4)) == 0).alias("held"), (F.pmod("order", F.lit(5)) == 0).alias("blank"), *names)
+    sums = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "pii-labelled")
+    sums = weighed(sums)
+    words = materialize(word_odds(sums.where("not held")), "pii-words")
+    words = broadcast_within(words, F.octet_length("ww") + 64)
+    known = _with_odds(sums.withColumn("word", F.when(~F.col("blank"), F.col("word"))), words)
+    names = [*names, "f_word"]
+    sample = materialize(known.groupBy("kind", "label", "held", *names).agg(F.round(F.sum("w"), 9).alias("w")), "pii-training")
     assemble = VectorAssembler(inputCols=names, outputCol="features").transform
-    sample = assemble(sample).withColumn("held", F.pmod("order", F.lit(4)) == 0)
+    fitted, held = assemble(sample.where("not held")), assemble(sample.where("held"))
     spans = found.where("base and ok").select("doc_id", "th", F.col("kind"), "start", "end", F.lit(True).alias("base"), F.lit(1.0).alias("p"))
-    if sample.where("not held").select("label").distinct().count() == 2:
-        model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=5, seed=seed).fit(sample.where("not held").coalesce(1))
+    sides = [r["count"] for r in sample.where("not held").groupBy("label").count().collect()]  # two rows
+    if len(sides) == 2:
+        bins = max(32, math.isqrt(sum(sides)) + 1)  # Spark finds splits on a sample of bins * bins rows: with so many bins on all of them
+        fitted = fitted.coalesce(1).sortWithinPartitions("kind", "label", *names) if sum(sides) <= ORDERED_ROWS else fitted
+        model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="w", maxBins=bins, maxIter=20, maxDepth=5, seed=seed).fit(fitted)
         score = F.round(vector_to_array(F.col("probability"))[1], 6)
-        cuts = model.transform(sample.where("held")).groupBy("kind", score.alias("p")).agg(F.sum("label").alias("hits"), F.count("*").alias("n"))
-        above = Window.partitionBy("kind").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over distinct scores of a bounded sample
+        cuts = model.transform(held).groupBy("kind", score.alias("p")).agg(F.sum(F.col("label") * F.col("w")).alias("hits"), F.sum("w").alias("n"))
+        above = Window.partitionBy("kind").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over scores of six decimals
         both = F.size(F.collect_set(F.col("hits") > 0).over(Window.partitionBy("kind"))) == 2  # a score with positives and one without
         middle = (F.col("p") + F.coalesce(F.lead("p").over(Window.partitionBy("kind").orderBy(F.col("p").desc())), F.col("p"))) / 2
         cuts = cuts.select("kind", "p", middle.alias("middle"), both.alias("both"), (F.sum("hits").over(above) / F.sum("n").over(above)).alias("precision")).where(F.col("both") & (F.col("precision") >= PRECISION))
         cut = {r["kind"]: max(r["p"], EVEN) for r in cuts.groupBy("kind").agg(F.min_by("middle", "p").alias("p")).collect()}  # a row for each kind
         if cut:
             least = reduce(lambda a, k: a.when(F.col("kind") == k, F.lit(cut[k])), cut, F.when(F.lit(False), F.lit(0.0)))
-            scored = model.transform(assemble(_features(_with_odds(wide.where("not touches and label is null"), words))[0])).withColumn("p", score).where(F.col("p") >= least)
+            scored = model.transform(assemble(_with_odds(_features(wide.where("not touches and label is null"))[0], words))).withColumn("p", score).where(F.col("p") >= least)
             longest = scored.groupBy("doc_id", "th", "kind", "start").agg(F.max_by("end", "end").alias("end"), F.max_by("p", "end").alias("p"))
             spans = spans.union(longest.select("doc_id", "th", "kind", "start", "end", F.lit(False), "p"))
     k = reduce(lambda a, i: a.when(F.col("kind") == ALL_KINDS[i], i), range(1, len(ALL_KINDS)), F.when(F.col("kind") == ALL_KINDS[0], 0))
