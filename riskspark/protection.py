@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskspark.classes import equivalence_classes, score_k, share
 from riskspark.config import BLACK, DECISIONS, DENIALS, INSTITUTION, MIN_CELL, NON_HISPANIC, PROTECTIONS, UNSUPPRESSED, WHITE, ProtectionConfig
+from riskspark.lar import Coded
 from riskspark.shared import small_table
 
 PREFIX = {"tract": 11, "county": 5, "state": 2}
@@ -76,21 +77,32 @@ def nests(inner: ProtectionConfig, outer: ProtectionConfig) -> bool:
     return LEVELS.index(inner.geography) <= LEVELS.index(outer.geography) and bands
 
 
-def counted(app: DataFrame, fields: Sequence[str] = INSTITUTION) -> tuple[DataFrame, dict[object, str]]:
-    """(classes of the fields with their size k and a count for each action; the actions' columns). The actions of the table are looked up first."""
-    actions = sorted((r[0] for r in app.select("action_taken").distinct().collect()), key=lambda a: (a is None, a))  # the register's few codes
+def counted(app: DataFrame, fields: Sequence[str] = INSTITUTION, actions: Sequence[int | None] | None = None) -> tuple[DataFrame, dict[object, str]]:
+    """(classes of the fields with their size k and a count for each action; the actions' columns). The actions of the table are looked up first unless given."""
+    found = [r[0] for r in app.select("action_taken").distinct().collect()] if actions is None else actions  # the register's few codes
+    actions = sorted(found, key=lambda a: (a is None, a))
     names = {a: f"n_{i}" for i, a in enumerate(actions)}
     return app.groupBy(*fields).agg(F.count("*").alias("k"), *[F.count_if(F.col("action_taken").eqNullSafe(F.lit(a))).alias(c) for a, c in names.items()]), names
 
 
-def rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
+def rolled(app: DataFrame | Coded, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
     """Classes of protected fields with their size k and a count for each action, for each configuration; the counts' columns by action.
 
     Counting actions in columns gives a class's size in the same sums, so no window is needed and a configuration costs one exchange, of sums that
     tasks have made before; it starts from the last configuration that nests in it, whose exchange Spark reuses, and only the first
-    reads records.
+    reads records. Coded records are summed by their profile, which is unpacked in what is returned.
     """
-    records, names = counted(app, fields)
+    if isinstance(app, Coded):
+        keys = [*[f for f in fields if f not in app.vocabularies], "profile"]
+        if missing := [f for f in (*fields, *app.vocabularies) if (f not in app.vocabularies and f not in app.rows.columns) or f not in fields]:
+            raise ValueError(f"coded records have classes of all their fields alone: {missing}")
+        classes, names = _rolled(app.rows, configs, keys, app.actions)
+        return [(p, app.unpacked(n)) for p, n in classes], names
+    return _rolled(app, configs, fields)
+
+
+def _rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str], actions: Sequence[int | None] | None = None) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
+    records, names = counted(app, fields, actions)
     done = [(ProtectionConfig("records"), records)]
     out = []
     for p in configs:
@@ -111,12 +123,12 @@ def _sum_of(names: dict[object, str], actions: Sequence[int]) -> Column:
     return reduce(Column.__add__, [F.col(c) for a, c in names.items() if a in actions], F.lit(0).cast("long"))
 
 
-def protection_classes(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+def protection_classes(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """(configuration, derived_race, derived_ethnicity, k), a row for each class."""
     return _union([n.select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k") for p, n in rolled(app, configs, fields)[0]])
 
 
-def protection_cells(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+def protection_cells(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """Records by configuration, cohort, action and class size."""
     parts, names = rolled(app, configs, fields)
     cells = _union([n.select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k", *names.values()) for p, n in parts])
@@ -180,7 +192,7 @@ def modeling_cohort(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTEC
     return _union(parts)
 
 
-def modeling_cells(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+def modeling_cells(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
     """The modeling cohort summed up: its columns and n, the records alike in all of them. Internal as well."""
     cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC)
     parts, names = rolled(app, configs, fields)
@@ -201,11 +213,11 @@ def disparity_power(df: DataFrame, group: str = "derived_race", reference: str =
     return out.withColumn("minimum_detectable_disparity_points", F.round(mde_points(F.col("reference_n"), F.col("comparison_n"), F.col("reference_denial_rate")), 9))
 
 
-def frontier_points(df: DataFrame, configs: Sequence[ProtectionConfig], baseline: str, fields: Sequence[str] = INSTITUTION) -> DataFrame:
-    """Risk and power of what each configuration leaves, from the classes of all of them."""
+def frontier_points(df: DataFrame | Coded, configs: Sequence[ProtectionConfig], baseline: str, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+    """Risk and power of what each configuration leaves, from the classes of all of them. Coded records hold clean tracts already."""
     if baseline not in [p.name for p in configs]:
         raise ValueError(f"no configuration is called {baseline}")
-    clean = df.withColumn("census_tract", generalize_geography(F.col("census_tract"), "tract")) if "census_tract" in fields else df
+    clean = df.withColumn("census_tract", generalize_geography(F.col("census_tract"), "tract")) if "census_tract" in fields and not isinstance(df, Coded) else df
     classes, names = rolled(clean, configs, fields)
     k, denied = F.col("k"), _sum_of(names, DENIALS)
     parts = []

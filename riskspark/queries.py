@@ -15,7 +15,7 @@ from riskspark import io, logistic, stats, uniqueness
 from riskspark import measures as M
 from riskspark import protection as P
 from riskspark.config import BLACK, DEMO_GEO, INSTITUTION, MIN_CELL, NON_HISPANIC, PROTECTIONS, TIERS, UNSUPPRESSED, WHITE
-from riskspark.lar import LAR_SQL, TABLES, TEXT_COLUMNS, applications, lar, lar_slice, load, read_csv, stage
+from riskspark.lar import LAR_SQL, TABLES, TEXT_COLUMNS, applications, coded, lar, lar_slice, load, read_csv, stage
 from riskspark.shared import fresh_path
 
 QUERIES: dict = {}
@@ -269,12 +269,12 @@ _FOCAL = "derived_ethnicity = 'Not Hispanic or Latino' and derived_race in ('Whi
 
 @query(_PROT + " select * from pc")
 def protection_equivalence_classes(spark: SparkSession, d: str) -> DataFrame:
-    return P.protection_classes(silver(spark, d))
+    return P.protection_classes(coded(spark, d))
 
 
 @query(_PROT + " select * from cells")
 def protection_utility_cells(spark: SparkSession, d: str) -> DataFrame:
-    return P.protection_cells(silver(spark, d))
+    return P.protection_cells(coded(spark, d))
 
 
 # each release state straight from the records: which of them it keeps, and what the kept decisions say
@@ -292,19 +292,19 @@ select release as configuration, suffix(release, '_unsuppressed') as is_current_
 
 @query(_FRONTIER)
 def privacy_utility_frontier(spark: SparkSession, d: str) -> DataFrame:
-    return P.frontier(P.protection_cells(silver(spark, d)))
+    return P.frontier(P.protection_cells(coded(spark, d)))
 
 
 @query(_PROT + f" select configuration, (derived_race <> 'White')::int as is_black, count(*)::bigint as record_count, sum(is_denied::int)::bigint as denials from scored where k >= 5 and {_FOCAL} group by all")
 def fair_lending_cohort_counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.modeling_cells(silver(spark, d)).groupBy("configuration", "is_black").agg(F.sum("n").alias("record_count"), F.sum(F.col("is_denied") * F.col("n")).alias("denials"))
+    return P.modeling_cells(coded(spark, d)).groupBy("configuration", "is_black").agg(F.sum("n").alias("record_count"), F.sum(F.col("is_denied") * F.col("n")).alias("denials"))
 
 
 @query(_PROT + f""", m as (select configuration, (derived_race <> 'White')::int as b, {', '.join(c for c in INSTITUTION if c not in ('lei', 'derived_race', 'derived_ethnicity'))} from scored where k >= 5 and {_FOCAL}),
 c as (select * exclude (b), sum(1 - b) as n0, sum(b) as n1 from m group by all)
 select configuration, sum(case when n0 > 0 and n1 > 0 then n0 else 0 end)::double / nullif(sum(n0), 0) as common_support_reference_share, sum(case when n0 > 0 and n1 > 0 then n1 else 0 end)::double / nullif(sum(n1), 0) as common_support_comparison_share from c group by 1""")
 def common_support(spark: SparkSession, d: str) -> DataFrame:
-    return M.common_support(P.modeling_cells(silver(spark, d)))
+    return M.common_support(P.modeling_cells(coded(spark, d)))
 
 
 _STATE = PROTECTIONS[3]
@@ -321,7 +321,7 @@ ut as (select name, sum((derived_race = 'White')::int) as a, sum((derived_race =
 select name as configuration, name = 'cfpb_current_unsuppressed' as is_current_baseline, coalesce(n, 0)::bigint as retained_records, coalesce(n, 0)::double / (select count(*) from app) as retained_share, coalesce(u, 0e0) as sample_uniqueness_rate, coalesce(p, 0e0) as prosecutor_expected_match_risk,
  case when a >= 2 and b >= 2 and q > 0 and q < 1 then round(100 * {P.Z_SUM}e0 * sqrt(q * (1 - q) * (1e0 / a + 1e0 / b)), 9) end as minimum_detectable_disparity_points from (values ('cfpb_current_unsuppressed'), ('cfpb_current'), ('county_geo'), ('county_banded'), ('state_banded')) as v(name) left join r using (name) left join ut using (name)""")
 def frontier_points(spark: SparkSession, d: str) -> DataFrame:
-    return P.frontier_points(silver(spark, d), [UNSUPPRESSED, *PROTECTIONS], UNSUPPRESSED.name)
+    return P.frontier_points(coded(spark, d, clean=lambda t: P.generalize_geography(t, "tract")), [UNSUPPRESSED, *PROTECTIONS], UNSUPPRESSED.name)
 
 
 _POWER = "sum((derived_race = 'White')::int)::bigint as reference_n, sum((derived_race = 'Black or African American')::int)::bigint as comparison_n, sum((derived_race = 'White' and action_taken in (3, 7))::int)::double / nullif(sum((derived_race = 'White')::int), 0) as reference_denial_rate"
@@ -563,7 +563,7 @@ def gazetteer_text(spark: SparkSession, d: str) -> DataFrame:
  case when minimum_detectable_disparity_points is null then 'insufficient_protected_cohort_retention' else 'estimated' end as utility_status, case when least(record_count, reference_n, comparison_n) < {MIN_CELL} then 'suppressed_minimum_cell' end as suppression_status, case when least(record_count, reference_n, comparison_n) < {MIN_CELL} then {MIN_CELL}::bigint end as minimum_cell_size from f""")
 def frontier_export(spark: SparkSession, d: str) -> DataFrame:
     """The frontier as an ordered JSON file with small cells redacted, as read back."""
-    mart = P.frontier(P.protection_cells(silver(spark, d))).drop("pre_suppression_prosecutor_risk", "suppression_cost_share")
+    mart = P.frontier(P.protection_cells(coded(spark, d))).drop("pre_suppression_prosecutor_risk", "suppression_cost_share")
     status = F.when(F.col("minimum_detectable_disparity_points").isNull(), "insufficient_protected_cohort_retention").otherwise("estimated")
     return io.write_mart(mart.withColumn("utility_status", status), fresh_path(spark, "frontier"), [F.col("pre_suppression_uniqueness_rate").desc(), "configuration"])
 
@@ -769,7 +769,7 @@ def group_size_decision(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def adjusted_disparity(spark: SparkSession, d: str) -> DataFrame:
     """Adjusted models of the four configurations, a row each, with the shares of records that lie on common support."""
-    cells = io.materialize_mart(P.modeling_cells(silver(spark, d)), fresh_path(spark, "modeling-cells"))
+    cells = io.materialize_mart(P.modeling_cells(coded(spark, d)), fresh_path(spark, "modeling-cells"))
     fitted = logistic.adjusted_disparity(cells, names=[p.name for p in PROTECTIONS])
     return fitted.join(F.broadcast(M.common_support(cells)), "configuration", "left")  # a row for each configuration
 
