@@ -64,26 +64,38 @@ def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float
     levels: dict = {}
     for r in values.where(F.col("by").isin(enough)).collect():  # the closed vocabularies of eight fields
         levels.setdefault((r["by"], r["field"]), []).append(r["value"])
-    place, width = {}, {}
+    place, width, varying = {}, {}, {}
     for k in enough:
-        at = 2 + sum(sd > 1e-12 for _, sd in scale[k])
+        varying[k] = sum(sd > 1e-12 for _, sd in scale[k])
+        at = 2 + varying[k]
         for c in CATEGORICAL:
             for v in sorted(levels[k, c])[1:]:
                 place[k, c, v], at = at, at + 1
         width[k] = at
 
+    numbers, spots = [f"x{i}" for i in range(len(CONTINUOUS))], [f"s{i}" for i in range(len(CATEGORICAL))]
+
     def laid_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The numbers scaled, those that vary first, and each field's column (-1: none). Plain columns, as lists would be taken apart anew in each step."""
         for pdf in batches:
-            x = [[(a - m) / sd for a, (m, sd) in zip(row, scale[k], strict=True) if sd > 1e-12] for k, row in zip(pdf["by"], pdf[list(CONTINUOUS)].to_numpy(), strict=True)]
-            spots = [[place[s] for c, v in zip(CATEGORICAL, row, strict=True) if (s := (k, c, v)) in place] for k, row in zip(pdf["by"], pdf[list(CATEGORICAL)].to_numpy(), strict=True)]
-            yield pd.DataFrame({"by": pdf["by"], "area": pdf["area"], "is_black": pdf["is_black"], "n": pdf["n"], "d": pdf["d"], "x": x, "spots": spots})
+            for k, part in pdf.groupby("by"):
+                out = part[["by", "area", "is_black", "n", "d"]].copy()
+                x = [(part[c] - m) / sd for c, (m, sd) in zip(CONTINUOUS, scale[k], strict=True) if sd > 1e-12]
+                for i, c in enumerate(numbers):
+                    out[c] = x[i] if i < len(x) else 0.0
+                for c, f in zip(spots, CATEGORICAL, strict=True):
+                    out[c] = part[f].map({v: place[k, f, v] for v in levels[k, f] if (k, f, v) in place}).fillna(-1).astype("int32")
+                yield out
 
     base = F.lit(None)  # the first area in order has no dummy
     for k in enough:
         base = F.when(F.col("by") == k, moments[k]["first"]).otherwise(base)
     own = filled.where(F.col("by").isin(enough)).withColumn("area", F.when(F.col(AREA) != base, F.col(AREA)))
     tasks = max(1, -(-own.count() // FIT_CELLS)) if enough else 1
-    ready = written(own.repartition(tasks).mapInPandas(laid_out, "by string, area string, is_black int, n long, d long, x array<double>, spots array<int>"), "model-rows")
+    # cells of an area lie together, so that a task has few areas' sums to yield; the other columns split a hot area over tasks
+    dealt = own.repartitionByRange(tasks, "by", "area", *CONTINUOUS, *CATEGORICAL, "is_black").sortWithinPartitions("by", "area")
+    kinds = ", ".join([*(f"{c} double" for c in numbers), *(f"{c} int" for c in spots)])
+    ready = written(dealt.mapInPandas(laid_out, f"by string, area string, is_black int, n long, d long, {kinds}"), "model-rows")
     ready = ready.coalesce(1) if tasks == 1 else ready
     wide = max(width.values(), default=0)
     cols = [f"b{i}" for i in range(wide)]
@@ -110,12 +122,11 @@ def adjusted_disparity(rows: DataFrame, iterations: int = 100, tolerance: float
                     h, g, _ = total[name]
                     for a in range(0, len(every), FIT_ROWS):
                         part = every.iloc[a : a + FIT_ROWS]
-                        x = np.zeros((len(part), len(g)))
+                        x = np.zeros((len(part), len(g) + 1))
                         x[:, 0], x[:, 1] = 1, part["is_black"]
-                        numbers = np.stack(part["x"].to_list())
-                        x[:, 2 : 2 + numbers.shape[1]] = numbers
-                        spots = part["spots"].to_list()
-                        x[np.repeat(np.arange(len(part)), [len(s) for s in spots]), np.concatenate(spots).astype(np.int64)] = 1
+                        x[:, 2 : 2 + varying[name]] = part[numbers[: varying[name]]]
+                        x[np.arange(len(part))[:, None], part[spots].to_numpy()] = 1  # -1: the last column, cut off
+                        x = x[:, :-1]
                         count, theta, moved = part["n"].to_numpy(float), *((part[c] if known is None else part["area"].map(known[c].get(name, {})).fillna(0.0)).to_numpy(float) for c in ("theta", "far"))
                         p = 1 / (1 + np.exp(-np.clip(x @ beta[name] + theta, -30, 30)))
                         weight, rest = count * np.maximum(p * (1 - p), 1e-9), part["d"].to_numpy(float) - count * p
