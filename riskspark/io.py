@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,28 @@ def write_bronze(raw: DataFrame, root: str, scope: str, year: str = "activity_ye
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, bytes, retrieved_at) of every data file below path, of any size.
 
-    Files are read as byte strings between line feeds, by as many tasks as they have splits, and each file's pieces stream in order through a
-    digest in one task, sorted and spilled by Spark; a task holds one batch of pieces at a time. A file that ends with a line feed has one
+    Files are read as byte strings between line feeds, by as many tasks as they have splits, which join neighbouring lines, and each file's pieces
+    stream in order through a digest in one task, sorted and spilled by Spark; a task holds one batch of pieces at a time. A file that ends with a line feed has one
     byte more than its pieces. Spark's readers pass over empty files, which have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("retrieved_at"))  # contents aren't read
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").option("lineSep", "\n").text(path)
-    pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"), F.col("value").cast("binary").alias("piece"))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("piece"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's lines of one split as one numbered piece: few rows are dealt, and the path goes along once a piece."""
+        i = 0
+        for b in batches:
+            path, at = b.column("path"), b.column("at")
+            if not len(b):
+                continue
+            new = pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(at[1:], at[:-1]))
+            starts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1)]
+            pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array([*starts, len(b)], pa.int32()), b.column("piece")), b"\n")
+            yield pa.RecordBatch.from_arrays([*b.select(["path", "size", "at"]).take(pa.array(starts)).columns, pa.array(range(i, i + len(starts)), pa.int64()), pieces], ["path", "size", "at", "i", "piece"])
+            i += len(starts)
+
+    pieces = lines.mapInArrow(joined, "path string, size long, at long, i long, piece binary")
     pieces = pieces.repartition("path").sortWithinPartitions("path", "at", "i").select("path", "size", "piece")
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
