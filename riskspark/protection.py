@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from statistics import NormalDist
 
@@ -85,30 +85,31 @@ def counted(app: DataFrame, fields: Sequence[str] = INSTITUTION, actions: Sequen
     return app.groupBy(*fields).agg(F.count("*").alias("k"), *[F.count_if(F.col("action_taken").eqNullSafe(F.lit(a))).alias(c) for a, c in names.items()]), names
 
 
-def rolled(app: DataFrame | Coded, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
+def rolled(app: DataFrame | Coded, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION, keep: Sequence[str] = ()) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
     """Classes of protected fields with their size k and a count for each action, for each configuration; the counts' columns by action.
 
     Counting actions in columns gives a class's size in the same sums, so no window is needed and a configuration costs one exchange, of sums that
     tasks have made before; it starts from the last configuration that nests in it, whose exchange Spark reuses, and only the first
-    reads records. Coded records are summed by their profile, which is unpacked in what is returned.
+    reads records. Coded records are summed by their profile, which is unpacked in what is returned, but for the fields to keep; large tables of
+    them are dealt to more tasks first, so that a task's classes don't grow with the table.
     """
     if isinstance(app, Coded):
         keys = [*[f for f in fields if f not in app.vocabularies], "profile"]
         if missing := [f for f in (*fields, *app.vocabularies) if (f not in app.vocabularies and f not in app.rows.columns) or f not in fields]:
             raise ValueError(f"coded records have classes of all their fields alone: {missing}")
-        classes, names = _rolled(app.rows, configs, keys, app.actions)
-        return [(p, app.unpacked(n)) for p, n in classes], names
+        classes, names = _rolled(app.rows, configs, keys, app.actions, lambda df: app.dealt(df, *keys))
+        return [(p, app.unpacked(n, keep)) for p, n in classes], names
     return _rolled(app, configs, fields)
 
 
-def _rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str], actions: Sequence[int | None] | None = None) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
-    records, names = counted(app, fields, actions)
+def _rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str], actions: Sequence[int | None] | None = None, deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
+    records, names = counted(deal(app), fields, actions)
     done = [(ProtectionConfig("records"), records)]
     out = []
     for p in configs:
         of, n = next((q, d) for q, d in reversed(done) if nests(q, p))
         if (of.geography, of.bands) != (p.geography, p.bands):
-            n = protected(n, p).groupBy(*fields).agg(*[F.sum(c).alias(c) for c in ("k", *names.values())])
+            n = deal(protected(n, p)).groupBy(*fields).agg(*[F.sum(c).alias(c) for c in ("k", *names.values())])
         done.append((p, n))
         out.append((p, n))
     return out, names
@@ -192,17 +193,37 @@ def modeling_cohort(app: DataFrame, configs: Sequence[ProtectionConfig] = PROTEC
     return _union(parts)
 
 
-def modeling_cells(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
-    """The modeling cohort summed up: its columns and n, the records alike in all of them. Internal as well."""
+COVARIATES = ("applicant_age", "applicant_sex", "loan_type", "debt_to_income_ratio", "loan_purpose", "occupancy_type", "lien_status", "derived_dwelling_category")
+
+
+#: Records that the modeling cohort is made of; a class holds such ones alone or none, as both fields stay as they are in every configuration.
+FOCAL = {"derived_race": (WHITE, BLACK), "derived_ethnicity": (NON_HISPANIC,)}
+
+
+def modeling_classes(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION, packed: bool = False) -> DataFrame:
+    """The modeling cohort by class: its columns and n, a class's records of either decision; cells of several institutions have several rows.
+    packed: the closed vocabularies among coded records' covariates stay one number, `kept`. Internal as well."""
+    if packed and not isinstance(app, Coded):
+        raise ValueError("only coded records are packed")
     cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC)
-    parts, names = rolled(app, configs, fields)
-    rest = ["applicant_age", "applicant_sex", "loan_type", "debt_to_income_ratio", "loan_purpose", "occupancy_type", "lien_status", "derived_dwelling_category"]
+    parts, names = rolled(app, configs, fields, COVARIATES if packed else ())
+    rest = ["kept"] if packed else COVARIATES
     rows = []
     for p, n in parts:
         keys = [F.lit(p.name).alias("configuration"), (F.col("derived_race") == BLACK).cast("int").alias("is_black"), F.col("census_tract").alias("protected_geography"), F.col("income").alias("protected_income"), F.col("loan_amount").alias("protected_loan_amount")]
         sides = F.array(*[F.struct(F.lit(v).alias("is_denied"), n_.alias("n")) for v, n_ in ((1, _sum_of(names, DENIALS)), (0, _sum_of(names, [a for a in DECISIONS if a not in DENIALS])))])
         rows.append(n.where((F.col("k") >= (p.suppress_k_below or 1)) & cohort).select(*keys, *rest, F.explode(sides).alias("s")).select("configuration", "is_black", "s.is_denied", "protected_geography", "protected_income", "protected_loan_amount", *rest, "s.n").where("n > 0"))
-    every = _union(rows)
+    return _union(rows)
+
+
+def by_covariates(app: DataFrame | Coded, rows: DataFrame) -> DataFrame:
+    """Rows of the modeling cohort dealt by configuration and covariates, for sums by these or more, where the table needs more tasks than Spark takes."""
+    return app.dealt(rows, *[c for c in rows.columns if c not in ("is_black", "is_denied", "n")]) if isinstance(app, Coded) else rows
+
+
+def modeling_cells(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+    """The modeling cohort summed up: its columns and n, the records alike in all of them. Internal as well."""
+    every = by_covariates(app, modeling_classes(app, configs, fields))
     return every.groupBy(*[c for c in every.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 

@@ -304,7 +304,8 @@ def fair_lending_cohort_counts(spark: SparkSession, d: str) -> DataFrame:
 c as (select * exclude (b), sum(1 - b) as n0, sum(b) as n1 from m group by all)
 select configuration, sum(case when n0 > 0 and n1 > 0 then n0 else 0 end)::double / nullif(sum(n0), 0) as common_support_reference_share, sum(case when n0 > 0 and n1 > 0 then n1 else 0 end)::double / nullif(sum(n1), 0) as common_support_comparison_share from c group by 1""")
 def common_support(spark: SparkSession, d: str) -> DataFrame:
-    return M.common_support(P.modeling_cells(coded(spark, d)))
+    app = coded(spark, d, only=P.FOCAL)
+    return M.common_support(P.by_covariates(app, P.modeling_classes(app, packed=True)))
 
 
 _STATE = PROTECTIONS[3]

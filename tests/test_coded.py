@@ -1,3 +1,4 @@
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -56,3 +57,40 @@ def test_classes_are_dealt_by_numbers(spark):
     assert not any(f"{c}#" in line for line in found.splitlines() if "Exchange" in line for c in VOCABULARIES)
     for name in ("protection_utility_cells", "protection_equivalence_classes", "common_support", "fair_lending_cohort_counts"):
         assert "lineitem_digits" in plan(queries.QUERIES[name](spark, SF))
+
+
+def test_tasks_of_sums_and_joins_grow_in_number_with_the_table(spark, monkeypatch):
+    """No exchange of records, classes or cells is left at Spark's number of partitions, and many parts are not sent to every task."""
+    names = ("common_support", "fair_lending_cohort_counts", "protection_utility_cells")
+    few = {n: sorted(queries.QUERIES[n](spark, SF).collect()) for n in names}
+    monkeypatch.setattr("riskspark.lar.JOIN_ROWS", 400)
+    monkeypatch.setattr("riskspark.lar.PART_ROWS", 10)
+    tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 400)
+    for n in names:
+        df = queries.QUERIES[n](spark, SF)
+        dealt = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+        left = [line for line in dealt if f", {tasks})" not in line]
+        assert len(dealt) > 8 and len(left) == 1 and "hashpartitioning(configuration#" in left[0] and "protected_geography" not in left[0]  # the last sums: a row a task for each cohort
+        assert [line for line in plan(df).splitlines() if "Join [l_partkey" in line and "SortMergeJoin" not in line] == []
+        assert sorted(df.collect()) == few[n] != []
+
+
+def test_records_of_wanted_values_alone(spark):
+    packed = coded(spark, SF, only=P.FOCAL)
+    app = load(spark, SF).where(F.col("derived_race").isin(*P.FOCAL["derived_race"]) & F.col("derived_ethnicity").isin(*P.FOCAL["derived_ethnicity"]))
+    one, other = (df.select(*FIELDS).groupBy(*FIELDS).count() for df in (packed.unpacked(packed.rows), app))
+    assert one.count() > 50 and one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    for only in ({"loan_type": ("2",)}, {"lei": (None, "LEI009"), "applicant_age": ("<25",)}):
+        part = coded(spark, SF, only=only)
+        rows = load(spark, SF).where(" and ".join(f"array_contains(array({', '.join(repr(v) for v in values if v)}), {f})" for f, values in only.items())).count()
+        assert part.rows.count() == rows > 0
+    with pytest.raises(ValueError, match="not packed"):
+        coded(spark, SF, only={"income": ("1",)})
+
+
+def test_packed_covariates_give_the_cells_of_texts(spark):
+    packed = P.modeling_classes(coded(spark, SF), packed=True)
+    texts = P.modeling_classes(load(spark, SF))
+    a, b = (df.groupBy(*[c for c in df.columns if c not in ("n", "is_black", "is_denied")]).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("is_black")).alias("x")).groupBy("configuration", "protected_geography", "protected_income", "protected_loan_amount", "n", "x").count() for df in (packed, texts))
+    assert a.count() > 20 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert not [c for c in packed.columns if c in VOCABULARIES]
