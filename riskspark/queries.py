@@ -297,7 +297,7 @@ def privacy_utility_frontier(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_PROT + f" select configuration, (derived_race <> 'White')::int as is_black, count(*)::bigint as record_count, sum(is_denied::int)::bigint as denials from scored where k >= 5 and {_FOCAL} group by all")
 def fair_lending_cohort_counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.modeling_cells(coded(spark, d)).groupBy("configuration", "is_black").agg(F.sum("n").alias("record_count"), F.sum(F.col("is_denied") * F.col("n")).alias("denials"))
+    return P.modeling_classes(coded(spark, d, only=P.FOCAL)).groupBy("configuration", "is_black").agg(F.sum("n").alias("record_count"), F.sum(F.col("is_denied") * F.col("n")).alias("denials"))
 
 
 @query(_PROT + f""", m as (select configuration, (derived_race <> 'White')::int as b, {', '.join(c for c in INSTITUTION if c not in ('lei', 'derived_race', 'derived_ethnicity'))} from scored where k >= 5 and {_FOCAL}),
