@@ -66,12 +66,17 @@ def k_distribution(classes: DataFrame) -> DataFrame:
     return classes.groupBy("k").agg(F.count("*").alias("classes"), F.sum("k").alias("records"))
 
 
+def publishable(table: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
+    """A table without its rows of fewer records than the minimum."""
+    return table.where(F.col("record_count") >= minimum)
+
+
 def class_risk(classes: DataFrame, by: Sequence[str], minimum: int = MIN_CELL, with_ten: bool = True) -> DataFrame:
     """Risk by cohort columns that are quasi-identifiers themselves: sums over classes, no join back to records."""
     n = F.sum("k")
     ten = [share(_upto(10), n).alias("share_records_k_lt_10")] if with_ten else []
     out = classes.groupBy(*by).agg(n.alias("record_count"), share(_upto(2), n).alias("sample_uniqueness_rate"), share(_upto(5), n).alias("share_records_k_lt_5"), *ten, share(F.count("*"), n).alias("prosecutor_expected_match_risk"))
-    return out.where(F.col("record_count") >= minimum)
+    return publishable(out, minimum)
 
 
 def cohort_risk(df: DataFrame, fields: Sequence[str], cohort: Sequence[str], minimum: int = MIN_CELL) -> DataFrame:
@@ -84,7 +89,7 @@ def cohort_risk(df: DataFrame, fields: Sequence[str], cohort: Sequence[str], min
         F.sum("n").alias("record_count"), share(F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0)), F.sum("n")).alias("sample_uniqueness_rate"),
         F.round(F.sum(F.col("n").cast("double") / F.col("k")) / F.sum("n"), 9).alias("mean_match_risk"),
     )
-    return out.where(F.col("record_count") >= minimum)
+    return publishable(out, minimum)
 
 
 def cohort_risk_report(df: DataFrame, fields: Sequence[str], cohort: Sequence[str], universe: str, minimum: int = MIN_CELL) -> DataFrame:
@@ -98,7 +103,7 @@ def cohort_risk_report(df: DataFrame, fields: Sequence[str], cohort: Sequence[st
 
 def cohort_counts(app: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     out = app.groupBy("activity_year", "derived_race", "derived_ethnicity").agg(F.count("*").alias("record_count"), share(F.sum(F.col("is_denied").cast("long")), F.count("is_denied")).alias("denial_rate"))
-    return out.where(F.col("record_count") >= minimum)
+    return publishable(out, minimum)
 
 
 def tier_sensitivity(df: DataFrame, by: Sequence[str], minimum: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.classes import equivalence_classes, share
+from riskspark.classes import equivalence_classes, publishable, share
 from riskspark.config import DEMO_GEO, MIN_CELL
 from riskspark.ranking import exact_percentile, ntile
 from riskspark.shared import broadcast_within
@@ -57,9 +57,9 @@ def tract_context(population: DataFrame, gaz: DataFrame) -> DataFrame:
     return both.select("census_tract", F.col("population").cast("long").alias("population"), "land_area_sqmi", F.round(F.col("population") / F.col("land_area_sqmi"), 9).alias("population_density_per_sqmi"))
 
 
-def release_density(app: DataFrame) -> DataFrame:
-    """Quintiles of tracts by applications, ties by tract; ranked over ranges of tracts."""
-    counts = app.where("census_tract is not null").groupBy("census_tract").agg(F.count("*").alias("application_count"))
+def release_density(app: DataFrame, records: Column | None = None) -> DataFrame:
+    """Quintiles of tracts by applications, ties by tract; ranked over ranges of tracts. records: the column with a row's number of applications, where it isn't one."""
+    counts = app.where("census_tract is not null").groupBy("census_tract").agg((F.count("*") if records is None else F.sum(records)).alias("application_count"))
     return ntile(counts, 5, ["application_count", "census_tract"], "release_density_quintile")
 
 
@@ -75,10 +75,14 @@ def _record_risk() -> list[Column]:
 
 
 def risk_by_release(app: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
-    joined = equivalence_classes(app, DEMO_GEO).join(broadcast_within(release_density(app)), "census_tract")
+    return release_risk(equivalence_classes(app, DEMO_GEO), release_density(app), minimum)
+
+
+def release_risk(classes: DataFrame, density: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
+    joined = classes.join(broadcast_within(density), "census_tract")
     n = F.sum("k")
     out = joined.groupBy("release_density_quintile", "derived_race", "derived_ethnicity").agg(n.alias("record_count"), share(F.sum(F.when(F.col("k") == 1, 1).otherwise(0)), n).alias("sample_uniqueness_rate"), share(F.count("*"), n).alias("prosecutor_expected_match_risk"))
-    return out.where(F.col("record_count") >= minimum)
+    return publishable(out, minimum)
 
 
 def release_overall(by_cell: DataFrame) -> DataFrame:
@@ -88,11 +92,15 @@ def release_overall(by_cell: DataFrame) -> DataFrame:
 
 
 def risk_by_residential(app: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
+    return residential_risk(equivalence_classes(app, DEMO_GEO), context, minimum)
+
+
+def residential_risk(classes: DataFrame, context: DataFrame, minimum: int = MIN_CELL) -> DataFrame:
     """Cohorts and, as ALL, whole quintiles, in one pass of grouping sets."""
     q = broadcast_within(residential_density(context).select("census_tract", "residential_density_quintile"))
-    scored = equivalence_classes(app, DEMO_GEO).join(q, "census_tract")
+    scored = classes.join(q, "census_tract")
     keys = [F.col("residential_density_quintile"), F.col("derived_race"), F.col("derived_ethnicity")]
-    out = scored.groupingSets([keys, keys[:1]], *keys).agg(F.grouping_id().alias("gid"), *_record_risk()).where(F.col("record_count") >= minimum)
+    out = publishable(scored.groupingSets([keys, keys[:1]], *keys).agg(F.grouping_id().alias("gid"), *_record_risk()), minimum)
     label = lambda c: F.when(F.col("gid") > 0, "ALL").otherwise(F.col(c)).alias(c)
     return out.select("residential_density_quintile", label("derived_race"), label("derived_ethnicity"), "record_count", "sample_uniqueness_rate", "prosecutor_expected_match_risk")
 

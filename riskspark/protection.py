@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from statistics import NormalDist
 
@@ -85,7 +86,37 @@ def counted(app: DataFrame, fields: Sequence[str] = INSTITUTION, actions: Sequen
     return app.groupBy(*fields).agg(F.count("*").alias("k"), *[F.count_if(F.col("action_taken").eqNullSafe(F.lit(a))).alias(c) for a, c in names.items()]), names
 
 
-def rolled(app: DataFrame | Coded, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION, keep: Sequence[str] = ()) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
+@dataclass(frozen=True)
+class Classes:
+    """Coded records' classes by all their fields, with their size k and a count for each action; the counts' columns by action."""
+
+    of: Coded
+    rows: DataFrame
+    names: dict[object, str]
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Classes added up by configuration, race, ethnicity and size k, with a count for each action; the counts' columns by action."""
+
+    rows: DataFrame
+    names: dict[object, str]
+
+
+def _keys(of: Coded, fields: Sequence[str]) -> list[str]:
+    keys = [*[f for f in fields if f not in of.vocabularies], "profile"]
+    if missing := [f for f in (*fields, *of.vocabularies) if (f not in of.vocabularies and f not in of.rows.columns) or f not in fields]:
+        raise ValueError(f"coded records have classes of all their fields alone: {missing}")
+    return keys
+
+
+def coded_classes(app: Coded, fields: Sequence[str] = INSTITUTION) -> Classes:
+    """The classes of coded records, which all else is rolled up from; large tables are dealt to more tasks first."""
+    keys = _keys(app, fields)
+    return Classes(app, *counted(app.dealt(app.rows, *keys), keys, app.actions))
+
+
+def rolled(app: DataFrame | Coded | Classes, configs: Sequence[ProtectionConfig], fields: Sequence[str] = INSTITUTION, keep: Sequence[str] = ()) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
     """Classes of protected fields with their size k and a count for each action, for each configuration; the counts' columns by action.
 
     Counting actions in columns gives a class's size in the same sums, so no window is needed and a configuration costs one exchange, of sums that
@@ -94,16 +125,16 @@ def rolled(app: DataFrame | Coded, configs: Sequence[ProtectionConfig], fields:
     them are dealt to more tasks first, so that a task's classes don't grow with the table.
     """
     if isinstance(app, Coded):
-        keys = [*[f for f in fields if f not in app.vocabularies], "profile"]
-        if missing := [f for f in (*fields, *app.vocabularies) if (f not in app.vocabularies and f not in app.rows.columns) or f not in fields]:
-            raise ValueError(f"coded records have classes of all their fields alone: {missing}")
-        classes, names = _rolled(app.rows, configs, keys, app.actions, lambda df: app.dealt(df, *keys))
-        return [(p, app.unpacked(n, keep)) for p, n in classes], names
-    return _rolled(app, configs, fields)
+        app = coded_classes(app, fields)
+    if isinstance(app, Classes):
+        of, keys = app.of, _keys(app.of, fields)
+        classes = _rolled(app.rows, configs, keys, app.names, lambda df: of.dealt(df, *keys))
+        return [(p, of.unpacked(n, keep)) for p, n in classes], app.names
+    records, names = counted(app, fields)
+    return _rolled(records, configs, fields, names), names
 
 
-def _rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str], actions: Sequence[int | None] | None = None, deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[list[tuple[ProtectionConfig, DataFrame]], dict[object, str]]:
-    records, names = counted(deal(app), fields, actions)
+def _rolled(records: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequence[str], names: dict[object, str], deal: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[tuple[ProtectionConfig, DataFrame]]:
     done = [(ProtectionConfig("records"), records)]
     out = []
     for p in configs:
@@ -112,7 +143,7 @@ def _rolled(app: DataFrame, configs: Sequence[ProtectionConfig], fields: Sequenc
             n = deal(protected(n, p)).groupBy(*fields).agg(*[F.sum(c).alias(c) for c in ("k", *names.values())])
         done.append((p, n))
         out.append((p, n))
-    return out, names
+    return out
 
 
 def _by_action(names: dict[object, str]) -> Column:
@@ -129,11 +160,17 @@ def protection_classes(app: DataFrame | Coded, configs: Sequence[ProtectionConfi
     return _union([n.select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k") for p, n in rolled(app, configs, fields)[0]])
 
 
-def protection_cells(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
-    """Records by configuration, cohort, action and class size."""
+def cohort_sizes(app: DataFrame | Coded | Classes, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> Sizes:
+    """The classes of every configuration added up by cohort and size, in one pass over them."""
     parts, names = rolled(app, configs, fields)
     cells = _union([n.select(F.lit(p.name).alias("configuration"), "derived_race", "derived_ethnicity", "k", *names.values()) for p, n in parts])
-    cells = cells.groupBy("configuration", "derived_race", "derived_ethnicity", "k").agg(*[F.sum(c).alias(c) for c in names.values()])
+    return Sizes(cells.groupBy("configuration", "derived_race", "derived_ethnicity", "k").agg(*[F.sum(c).alias(c) for c in names.values()]), names)
+
+
+def protection_cells(app: DataFrame | Coded | Classes | Sizes, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+    """Records by configuration, cohort, action and class size."""
+    sizes = app if isinstance(app, Sizes) else cohort_sizes(app, configs, fields)
+    cells, names = sizes.rows, sizes.names
     return cells.select("configuration", "derived_race", "derived_ethnicity", "k", _by_action(names).alias("a")).select("configuration", "derived_race", "derived_ethnicity", "a.action_taken", "k", "a.record_count")
 
 
@@ -205,15 +242,19 @@ def modeling_classes(app: DataFrame | Coded, configs: Sequence[ProtectionConfig]
     packed: the closed vocabularies among coded records' covariates stay one number, `kept`. Internal as well."""
     if packed and not isinstance(app, Coded):
         raise ValueError("only coded records are packed")
-    cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC)
     parts, names = rolled(app, configs, fields, COVARIATES if packed else ())
-    rest = ["kept"] if packed else COVARIATES
-    rows = []
-    for p, n in parts:
-        keys = [F.lit(p.name).alias("configuration"), (F.col("derived_race") == BLACK).cast("int").alias("is_black"), F.col("census_tract").alias("protected_geography"), F.col("income").alias("protected_income"), F.col("loan_amount").alias("protected_loan_amount")]
-        sides = F.array(*[F.struct(F.lit(v).alias("is_denied"), n_.alias("n")) for v, n_ in ((1, _sum_of(names, DENIALS)), (0, _sum_of(names, [a for a in DECISIONS if a not in DENIALS])))])
-        rows.append(n.where((F.col("k") >= (p.suppress_k_below or 1)) & cohort).select(*keys, *rest, F.explode(sides).alias("s")).select("configuration", "is_black", "s.is_denied", "protected_geography", "protected_income", "protected_loan_amount", *rest, "s.n").where("n > 0"))
-    return _union(rows)
+    rest = [F.col(c) for c in (["kept"] if packed else COVARIATES)]
+    values = [F.col("census_tract").alias("protected_geography"), F.col("income").alias("protected_income"), F.col("loan_amount").alias("protected_loan_amount")]
+    return _union([_decided(n, p, names, [*values, *rest]) for p, n in parts])
+
+
+def _decided(classes: DataFrame, p: ProtectionConfig, names: dict[object, str], fields: Sequence[Column]) -> DataFrame:
+    """The modeling cohort of a configuration's classes or of sums of classes alike in race, ethnicity and size: its codes, the fields and n."""
+    cohort = F.col("derived_race").isin(WHITE, BLACK) & (F.col("derived_ethnicity") == NON_HISPANIC)
+    keys = [F.lit(p.name).alias("configuration"), (F.col("derived_race") == BLACK).cast("int").alias("is_black")]
+    sides = F.array(*[F.struct(F.lit(v).alias("is_denied"), n_.alias("n")) for v, n_ in ((1, _sum_of(names, DENIALS)), (0, _sum_of(names, [a for a in DECISIONS if a not in DENIALS])))])
+    kept = classes.where((F.col("k") >= (p.suppress_k_below or 1)) & cohort).select(*keys, F.explode(sides).alias("s"), *fields)
+    return kept.select("configuration", "is_black", "s.is_denied", *kept.columns[3:], "s.n").where("n > 0")
 
 
 def by_covariates(app: DataFrame | Coded, rows: DataFrame) -> DataFrame:
@@ -221,9 +262,13 @@ def by_covariates(app: DataFrame | Coded, rows: DataFrame) -> DataFrame:
     return app.dealt(rows, *[c for c in rows.columns if c not in ("is_black", "is_denied", "n")]) if isinstance(app, Coded) else rows
 
 
-def modeling_cells(app: DataFrame | Coded, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
-    """The modeling cohort summed up: its columns and n, the records alike in all of them. Internal as well."""
-    every = by_covariates(app, modeling_classes(app, configs, fields))
+def modeling_cells(app: DataFrame | Coded | Sizes, configs: Sequence[ProtectionConfig] = PROTECTIONS, fields: Sequence[str] = INSTITUTION) -> DataFrame:
+    """The modeling cohort summed up: its columns and n, the records alike in all of them; of sizes, which lack the covariates, its configurations and codes alone.
+    Internal as well."""
+    if isinstance(app, Sizes):
+        every = _union([_decided(app.rows.where(F.col("configuration") == p.name), p, app.names, []) for p in configs])
+    else:
+        every = by_covariates(app, modeling_classes(app, configs, fields))
     return every.groupBy(*[c for c in every.columns if c != "n"]).agg(F.sum("n").alias("n"))
 
 
